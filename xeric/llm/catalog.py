@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, minhash, mixing, token_counts
+from . import bpe, exact_dedup, line_dedup, minhash, mixing, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_minhash": minhash.op4_minhash,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_token_counts": token_counts.op8_token_counts,
