@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, minhash, mixing, token_counts, toxicity
+from . import bpe, exact_dedup, line_dedup, minhash, mixing, token_counts, toxicity, vector_dedup
 
 
 def queries() -> dict:
     return {
+        "op10_vector_dedup": vector_dedup.op10_vector_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_minhash": minhash.op4_minhash,
