@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, minhash, mixing, token_counts, toxicity, vector_dedup
+from . import bpe, exact_dedup, licenses, line_dedup, minhash, mixing, secrets, token_counts, toxicity, vector_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
         "op10_vector_dedup": vector_dedup.op10_vector_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_bpe": bpe.op3_bpe,
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op6_mixing": mixing.op6_mixing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_secret_scan": secrets.op9_secret_scan,
     }
 
 
