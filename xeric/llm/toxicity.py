@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import materialise, read_table, text_of
 from .gru import Adam, BiGru, sigmoid
@@ -335,20 +336,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TO
     return [r["body"] for r in rows], [r["toxic"] for r in rows], (rates[0] / rates[1] if rates[1] else 1.0)
 
 
-def _scored(shared):
+def _scored(shared, text_at: int):
+    """Arrow batches with their score as a last column; the others pass through."""
+
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
         for batch in batches:
             out: list[float] = []
-            for part in slices(batch.column(1).to_pylist(), SLICE_CHARS):
+            for part in slices([t or "" for t in batch.column(text_at).to_pylist()], SLICE_CHARS):
                 out += model.score(part).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "_tox_score"])
 
     return run
 
 
+def scored(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the score of each whole text as ``_tox_score``; see ``toxicity``."""
+    texts, y, other_weight = training_rows(docs, labels, most_toxic, most_other, id_col, text_col)
+    if not 0 < sum(y) < len(y):
+        return docs.withColumn("_tox_score", F.lit(sum(y) / len(y) if y else 0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, y, other_weight))
+    schema = StructType([*docs.schema.fields, StructField("_tox_score", DoubleType())])
+    return docs.mapInArrow(_scored(shared, docs.columns.index(text_col)), schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each row's whole text: ``id_col, held_out, score, predicted``.
 
@@ -359,16 +372,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     toxic or without another label all scores are the share of toxic labels. Rows with null or repeated ids are scored
     like any other. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    texts, y, other_weight = training_rows(docs, labels, most_toxic, most_other, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
-    if 0 < sum(y) < len(y):
-        shared = spark.sparkContext.broadcast(fit(texts, y, other_weight))
-        out = rows.mapInArrow(_scored(shared), f"id {dict(rows.dtypes)['id']}, score double")
-    else:
-        out = rows.select("id", F.lit(sum(y) / len(y) if y else 0.0).alias("score"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = scored(rows, labels, most_toxic, most_other, "id", "text")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 2, F.lit(False))
-    return out.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = F.col("_tox_score")
+    return out.select(F.col("id").alias(id_col), held_out.alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
