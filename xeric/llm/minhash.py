@@ -22,6 +22,8 @@ THRESHOLD = 0.8
 MISS = 1e-6
 #: Rows of a bucket that are compared with each other, or with as many others, in one group.
 BLOCK = 128
+#: Ids of candidates that are broadcast to pick their texts (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 SLICE_CHARS = 3_000_000
 REMEMBER = 500_000
 
@@ -257,7 +259,10 @@ def _block_pairs(need: dict[int, int], threshold: float):
 def _confirm(pairs: DataFrame, nodes: DataFrame, base: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
     """The pairs whose full shingle sets, made again from whole texts, reach the threshold."""
     involved = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    who = nodes.select("id", "p1").join(involved, "id")
+    involved = materialise(involved, f"{name}-ids")
+    if involved.count() <= BROADCAST_IDS:
+        involved = F.broadcast(involved)
+    who = nodes.select("id", "p1").join(involved, "id", "left_semi")
     texts = base.join(involved, "id", "left_semi")
     sets = texts.mapInArrow(_set_rows(words), "id long, p1 long, hashes binary")
     sets = materialise(sets.join(who, ["id", "p1"], "left_semi").dropDuplicates(["id"]), f"{name}-sets")
