@@ -21,7 +21,7 @@ THRESHOLD = 0.8
 #: Probability at which a pair at the threshold may be pruned before it is verified on its full sets.
 MISS = 1e-6
 #: Rows of a bucket that are compared with each other, or with as many others, in one group.
-BLOCK = 128
+BLOCK = 384
 #: Ids of candidates that are broadcast to pick their texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 SLICE_CHARS = 3_000_000
@@ -236,36 +236,131 @@ def _verified(threshold_ppm: int):
     return run
 
 
-def _block_pairs(need: dict[int, int], threshold: float):
-    """Rows of one block, or of two blocks, of a bucket -> the pairs of different components that stay candidates."""
+def _groups(batches, keys: int):
+    """Arrow batches sorted by their first ``keys`` columns -> one table for each key; a key may span batches."""
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(k[:, lo].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(need: dict[int, int], threshold: float, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block (or two) of a bucket, and the pairs of different components that stay candidates."""
+    ids, comp, n, side = (table.column(c).to_numpy() for c in ("id", "component", "n", "side"))
+    ok = np.triu(comp[:, None] != comp[None, :], 1)
+    ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
+    if side.min() != side.max():
+        ok &= side[:, None] != side[None, :]
+    if not ok.any():
+        return ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+    matches = np.zeros(ok.shape, np.uint8)
+    for n_seen, least in need.items():
+        for v in range(n_seen - BATCH, n_seen):
+            own = np.ascontiguousarray(sig[:, v])
+            matches += own[:, None] == own[None, :]
+        ok &= matches >= least
+        if not ok.any():
+            break
+    i, j = np.nonzero(ok)
+    return ids, i, j
+
 
-    def run(pdf):
-        import pandas as pd
+def _open_rows(need: dict[int, int], threshold: float):
+    """Sorted rows of blocks -> the rows that have a candidate in their block."""
 
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, HASHES)
-        ids, comp, n, side = (pdf[c].to_numpy() for c in ("id", "component", "n", "side"))
-        i, j = np.triu_indices(len(pdf), 1)
-        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-        if side.min() != side.max():
-            ok &= side[i] != side[j]
-        i, j = i[ok], j[ok]
-        at = _survivors(need, sig[i], sig[j])
-        a, b = ids[i[at]], ids[j[at]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def run(batches):
+        for table in _groups(batches, 3):
+            _, i, j = _candidates(need, threshold, table)
+            if len(i):
+                yield from table.take(np.unique(np.concatenate([i, j]))).combine_chunks().to_batches()
 
     return run
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, base: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
-    """The pairs whose full shingle sets, made again from whole texts, reach the threshold."""
-    involved = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+def _block_links(need: dict[int, int], threshold: float):
+    """Sorted rows of blocks with their full sets -> verified links, no more than join the block's components.
+
+    Sets become bits over the hashes that two of them hold, so an intersection is a count of common bits.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        ppm = round(threshold * 1_000_000)
+        for table in _groups(batches, 3):
+            ids, i, j = _candidates(need, threshold, table)
+            if not len(i):
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(count > 1)
+            place = np.full(len(values), -1, np.int64)
+            place[shared] = np.arange(len(shared))
+            column, row = place[column], np.repeat(np.arange(len(sets)), sizes)
+            row, column = row[column >= 0], column[column >= 0]
+            width = -(-max(1, len(shared)) // 64)
+            bits = np.zeros(len(sets) * width, np.uint64)
+            np.bitwise_or.at(bits, row * width + (column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+            bits = bits.reshape(len(sets), width)
+            links_a, links_b = [], []
+            step = max(1, 4_000_000 // width)
+            for a in range(0, len(i), step):
+                x, y = i[a : a + step], j[a : a + step]
+                both = np.bitwise_count(bits[x] & bits[y]).sum(1).astype(np.int64)
+                good = 1_000_000 * both >= ppm * (sizes[x] + sizes[y] - both)
+                links_a.append(x[good])
+                links_b.append(y[good])
+            comp = table.column("component").to_numpy()
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.get(c, c) != c:
+                    parent[c] = parent.get(parent[c], parent[c])
+                    c = parent[c]
+                return c
+
+            out = []
+            for x, y in zip(np.concatenate(links_a).tolist(), np.concatenate(links_b).tolist(), strict=True):
+                u, v = root(int(comp[x])), root(int(comp[y]))
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    out.append((int(ids[x]), int(ids[y])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _full_sets(involved: DataFrame, nodes: DataFrame, base: DataFrame, words: int, name: str) -> DataFrame:
+    """(id, hashes): the full shingle sets of the ids in ``involved``, made again from whole texts."""
     involved = materialise(involved, f"{name}-ids")
     if involved.count() <= BROADCAST_IDS:
         involved = F.broadcast(involved)
     who = nodes.select("id", "p1").join(involved, "id", "left_semi")
-    texts = base.join(involved, "id", "left_semi")
-    sets = texts.mapInArrow(_set_rows(words), "id long, p1 long, hashes binary")
-    sets = materialise(sets.join(who, ["id", "p1"], "left_semi").dropDuplicates(["id"]), f"{name}-sets")
+    sets = base.join(involved, "id", "left_semi").mapInArrow(_set_rows(words), "id long, p1 long, hashes binary")
+    return materialise(sets.join(who, ["id", "p1"], "left_semi").dropDuplicates(["id"]).drop("p1"), f"{name}-sets")
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, base: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    involved = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _full_sets(involved, nodes, base, words, name)
     j = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
     j = j.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
     return materialise(j.mapInArrow(_verified(round(threshold * 1_000_000)), "a long, b long"), name)
@@ -279,7 +374,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     candidates. First each meets the smallest id of its bucket only, so a group of any size gives a linear number of
     pairs. Pairs are pruned by the posterior of their similarity and the rest verified on full sets, made again from
     whole texts. Then only buckets that still hold several components are compared all through, in blocks of bounded
-    size that give out nothing but pairs of different components which stay candidates, and those are verified too.
+    size: pruned in the same way, verified on full sets inside the block, and given out as no more links than join the
+    block's components.
     No pair that shares a band is left out. A pair at the threshold 0.85 shares none with probability 8e-7 (0.8: 8e-5).
 
     Returns ``id_col, n_shingles, component_id, kept`` per row. Null, empty and blank texts have no shingle, link with
@@ -312,17 +408,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     links = _confirm(pairs, nodes, base, words, threshold, "minhash-links")
     found = materialise(connected_components(links, "minhash-stars"), "minhash-found")
 
-    labelled = held.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # A bucket of two was compared in full by its star.
+    labelled = held.filter("m > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     rest = labelled.join(mixed, "key").join(sizes, "id").select("key", "id", "component", "n", "sig", "m")
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     rest = rest.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"), "id", "component", "n", "sig")
-    more = rest.groupBy("key", "x", "y").applyInPandas(_block_pairs(need, threshold), "a long, b long").distinct()
-    more = materialise(more, "minhash-more")
-    if not more.isEmpty():
-        links = links.unionAll(_confirm(more, nodes, base, words, threshold, "minhash-more-links"))
+    key = ["key", "x", "y"]
+    rest = rest.repartition(*key).sortWithinPartitions(*key).mapInArrow(_open_rows(need, threshold), rest.schema)
+    rest = materialise(rest, "minhash-rest")
+    if not rest.isEmpty():
+        sets = _full_sets(rest.select("id").distinct(), nodes, base, words, "minhash-rest")
+        rest = rest.join(sets, "id").select(*key, "side", "id", "component", "n", "sig", "hashes")
+        more = rest.repartition(*key).sortWithinPartitions(*key).mapInArrow(_block_links(need, threshold), "a long, b long")
+        links = links.unionAll(materialise(more, "minhash-more"))
         found = materialise(connected_components(links, "minhash-all"), "minhash-found")
 
     label = member.join(found.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("component", "head").alias("component"))
