@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import event_queries, series_queries  # noqa: F401
+from .base import QUERIES, SQL
+
 FLAGSHIP = "drought_events"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
