@@ -89,7 +89,32 @@ def build_graph(x: np.ndarray, shards: int = SHARDS) -> tuple[list[np.ndarray],
         to = np.concatenate([b, a])[order]
         for i in mine.tolist():
             links[i].append(to[ends[i] : ends[i + 1]])
-    return [np.unique(np.concatenate(p)) if p else np.zeros(0, np.int64) for p in links], np.unique(medoids)
+    graph = [np.unique(np.concatenate(p)) if p else np.zeros(0, np.int64) for p in links]
+    return graph, np.unique(medoids + unreached(x, graph, medoids))
+
+
+def unreached(x: np.ndarray, graph: list[np.ndarray], medoids: list[int]) -> list[int]:
+    """A medoid for each part of the graph that no edge joins to those there are, as tight groups link to themselves."""
+    seen = np.zeros(len(graph), bool)
+
+    def visit(start: list[int]) -> list[int]:
+        part, todo = [], [i for i in dict.fromkeys(start) if not seen[i]]
+        seen[todo] = True
+        while todo:
+            part += todo
+            ahead = np.unique(np.concatenate([graph[i] for i in todo]))
+            ahead = ahead[~seen[ahead]]
+            seen[ahead] = True
+            todo = ahead.tolist()
+        return part
+
+    visit(medoids)
+    out = []
+    for i in range(len(graph)):
+        if not seen[i]:
+            part = np.array(visit([i]))
+            out.append(int(part[(x[part] @ x[part].mean(0)).argmax()]))
+    return out
 
 
 def range_search(x: np.ndarray, graph: list[np.ndarray], medoids: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> np.ndarray:
