@@ -18,7 +18,9 @@ FIT_SAMPLE = 20_000
 #: Cells that a query is sent to at first; doubled while the audit finds a recall below TARGET.
 ROUTES, TARGET = 4, 0.99
 AUDIT = 256
-SHARDS, DEGREE, CANDIDATES, ALPHA, BEAM = 4, 24, 64, 1.2, 24
+SHARDS, DEGREE, CANDIDATES, ALPHA, BEAM = 4, 24, 64, 1.2, 32
+#: Edges of each point to points at random, as the nearest candidates of a point in a tight group all lie in it.
+FAR_EDGES = 4
 SEED = 9
 
 
@@ -69,13 +71,21 @@ def build_graph(x: np.ndarray, shards: int = SHARDS) -> tuple[list[np.ndarray],
     """Adjacency lists over all points and the medoids of the shards.
 
     Points are clustered, each goes to its two nearest clusters, every cluster gets a robust-pruned graph of its own,
-    and a point's lists are united; edges count both ways.
+    and a point's lists are united with a few edges to points at random; edges count both ways.
     """
     n = len(x)
     centres = spherical_kmeans(x, max(1, min(shards, n // 32)))
     near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :2]
     links: list[list[np.ndarray]] = [[] for _ in range(n)]
     medoids = []
+    if n > 1:
+        far = np.random.Generator(np.random.PCG64(SEED)).integers(0, n, (n, FAR_EDGES))
+        for i in range(n):
+            links[i].append(far[i])
+        order = np.argsort(far.ravel(), kind="stable")
+        ends = np.searchsorted(far.ravel()[order], np.arange(n + 1))
+        for i in range(n):
+            links[i].append(order[ends[i] : ends[i + 1]] // FAR_EDGES)
     for s in range(len(centres)):
         mine = np.flatnonzero((near == s).any(1))
         if not len(mine):
