@@ -1,0 +1,200 @@
+import random
+
+import numpy as np
+import pytest
+from plain import SCHEMA, components, documents, targets
+
+from xeric.llm import licenses, mixing, secrets, toxicity, vector_dedup
+from xeric.llm.gru import BiGru
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), SCHEMA).repartition(4)
+
+
+def test_gradients_by_differences():
+    r = np.random.default_rng(0)
+    net, x, y, w, m = BiGru(4, 3, 1), r.normal(size=(3, 5, 4)), np.array([0, 1, 1.0]), np.array([1, 2, 0.5]), np.ones((3, 5))
+    m[1, 3:] = 0
+    _, grad, dx = net.gradients(x, y, w, m)
+    for name, v in net.p.items():
+        at = tuple(r.integers(0, s) for s in v.shape)
+        keep, out = v[at], []
+        for e in (1e-6, -1e-6):
+            v[at] = keep + e
+            out.append(net.gradients(x, y, w, m)[0])
+        v[at] = keep
+        assert abs((out[0] - out[1]) / 2e-6 - grad[name][at]) < 1e-6
+    assert dx.shape == x.shape and not dx[1, 3:].any()
+
+
+def test_windows_overlap_and_cover():
+    for n in (0, 1, 31, 32, 33, 100, 1000):
+        s = toxicity.window_starts(n)
+        assert s[0] == 0 and (np.diff(s) <= toxicity.STRIDE).all() and s[-1] + toxicity.WINDOW >= n
+
+
+def toxic_rows(n=420, seed=4):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6))) for _ in range(200)]
+    out = []
+    for i in range(n):
+        text = [r.choice(words) for _ in range(r.choice((5, 40, 200)))]
+        bad = i % 4 == 0
+        if bad:
+            for _ in range(2):
+                text.insert(r.randrange(len(text)), r.choice(["vileword", "nastyone"]))
+        out.append((i, " ".join(text), int(bad)))
+    return out
+
+
+def test_toxicity_on_held_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 4)
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9001, None), (9002, ""), (None, "x"), (9003, "!!! 123")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) + 4 and all(0 <= r["score"] <= 1 for r in got)
+    truth = {i: y for i, _, y in rows}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert len(held) > 60 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
+    assert not next(r for r in got if r["doc_id"] is None)["held_out"]
+    one = {r["score"] for r in got if r["doc_id"] in (9001, 9002, 9003)}
+    assert len(one) == 1
+
+
+def test_toxicity_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in toxicity.toxicity(docs, none).collect()} == {0.0}
+    assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), none).collect() == []
+
+
+def test_targets_and_takings(spark, docs):
+    rows = documents()
+    sizes, words = {}, {}
+    for r in rows:
+        words[r[0]] = len((r[1] or "").split())
+    import re
+
+    words = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + words[r[0]]
+    want = targets(sizes)
+    got = mixing.mix(docs, shard_tokens=2048).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == words
+    taken = {}
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    for s, t in taken.items():
+        assert abs(t - want[s]) <= 16 * 8, (s, t, want[s])
+    again = mixing.mix(docs.repartition(7), shard_tokens=2048).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+
+
+def test_mixed_texts_hold_the_words_taken(docs):
+    plan = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, shard_tokens=2048).collect()}
+    out = {}
+    for r in mixing.mixed_documents(docs, shard_tokens=2048).collect():
+        out[r["doc_id"]] = out.get(r["doc_id"], 0) + len(__import__("re").findall(r"[^\x20\x09-\x0D]+", r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert out == {i: n for i, n in plan.items() if n}
+
+
+def test_mixing_odd_tables(spark):
+    assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+    d = spark.createDataFrame([(1, "a b c", None), (1, "a b c", None), (None, "d", ""), (2, None, "z"), (3, " ", "z")], "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    assert len(got) == 5 and all(r["taken"] == 0 for r in got if r["source"] == "z")
+
+
+def test_highest_quotients(spark):
+    r = random.Random(5)
+    for seats in (0, 1, 7, 100):
+        votes = {k: r.randint(0, 500) for k in range(9)} | {9: 0}
+        quotients = sorted(((-v / (2 * j + 1), k) for k, v in votes.items() if v for j in range(seats)))[:seats]
+        want = {k: sum(1 for _, x in quotients if x == k) for k in votes}
+        p = spark.createDataFrame([("g", k, v, seats) for k, v in votes.items()], "g string, k int, votes long, seats long")
+        assert {x["k"]: x["quota"] for x in mixing.sainte_lague(p, ["g"], ["k"], "votes", "seats").collect()} == want
+
+
+def test_licenses_in_texts(spark):
+    rows, want = [], {}
+    for i, (name, notices) in enumerate(licenses.NOTICES.items()):
+        for j, notice in enumerate(notices):
+            rows.append((i * 10 + j, f"Some words first.\n{notice}\nAnd more words.", 1))
+            want[i * 10 + j] = [name]
+    changed = licenses.NOTICES["MIT"][3].replace("merge, ", "combine, ")
+    rows += [(900, changed, 1), (901, None, 1), (902, "", 1), (903, "a licence to nothing known", 1), (904, "no cue " * 20000, 1), (905, "word " * 5000 + "\nReleased under the MIT License.\n" + "word " * 5000, 1)]
+    want |= {900: ["MIT"], 901: [], 902: [], 903: [], 904: [], 905: ["MIT"]}
+    out = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, id int")).collect()
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in out}
+    assert got == want
+    text = dict((r[0], r[1]) for r in rows)
+    for r in out:
+        for x in r["licenses"]:
+            assert text[r["doc_id"]][x["begin"] : x["end"]].split()[0].lower() in {n.split()[0].lower().strip('"') for n in licenses.NOTICES[x["license"]]}
+    assert next(r for r in out if r["doc_id"] == 900)["licenses"][0]["n_different"] == 1
+    assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_secrets(spark):
+    trees = secrets.train_forest(spark)
+    held = secrets.labelled_findings(300, 77)
+    rows = [(i, f"{b} {w} {a}") for i, (b, w, a, _) in enumerate(held)]
+    rows += [(9000, None), (9001, ""), (9002, 'token = "' + "0123456789abcdef" * 2 + '1a2b3c4d"'), (9002, "x"), (9003, "-----BEGIN RSA PRIVATE KEY-----"), (9004, "order 4068516892505468 now"), (None, "hello " * 9000)]
+    out = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), trees=trees)
+    got = {}
+    for r in out.collect():
+        got[r["doc_id"]] = r
+    right = [(got[i]["n_secrets"] > 0) == bool(y) for i, (*_, y) in enumerate(held)]
+    assert np.mean(right) > 0.95
+    assert got[9002]["n_secrets"] == 1 and got[9003]["n_secrets"] == 1 and got[9004]["n_secrets"] == 0 and got[9004]["n_candidates"] == 1 and got[9000]["n_candidates"] == 0
+    assert out.count() == len(rows)
+    plan = out._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    assert secrets.secret_scan(spark.createDataFrame([], SCHEMA), trees=trees).collect() == []
+
+
+def brute_links(rows, t=0.9):
+    good = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and np.abs(v).max() > 0}
+    links = []
+    for i, a in good.items():
+        for j, b in good.items():
+            if i < j and len(a) == len(b) and (a / np.abs(a).max()) @ (b / np.abs(b).max()) / np.linalg.norm(a / np.abs(a).max()) / np.linalg.norm(b / np.abs(b).max()) >= t:
+                links.append((i, j))
+    return links
+
+
+def test_vectors_match_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = []
+    for c in range(30):
+        centre = r.normal(size=16)
+        rows += [(len(rows), (centre + r.normal(size=16) * 0.12).tolist()) for _ in range(int(r.integers(1, 25)))]
+    n = len(rows)
+    rows += [(n, rows[0][1]), (n + 1, rows[0][1]), (n + 2, [0.0] * 16), (n + 3, None), (n + 4, [float("nan")] * 16), (n + 5, [1.0, None]), (n + 6, [1e-300, 1e-300]), (n + 7, [2e200, 2e200]), (n + 8, []), (n + 9, [float("inf")] * 16)]
+    links = brute_links(rows)
+    comp = components([i for i, _ in rows], links)
+    d = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, id int")
+    out = vector_dedup.vector_dedup(d, cell=60, part=64).collect()
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in out}
+    assert got == {i: (sum(i in p for p in links), comp[i], comp[i] == i) for i, _ in rows}
+
+
+def test_vectors_odd_tables(spark):
+    assert vector_dedup.vector_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    d = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0])], "vec_id long, embedding array<float>")
+    got = sorted(((x["vec_id"] or 0), x["n_links"], x["component_id"], x["kept"]) for x in vector_dedup.vector_dedup(d).collect())
+    assert got == [(0, 0, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_graph_search_leaves_few_out():
+    r = np.random.default_rng(8)
+    x = np.concatenate([c + r.normal(size=(40, 24)) * 0.1 for c in r.normal(size=(20, 1, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, medoids = vector_dedup.build_graph(x)
+    found = vector_dedup.range_search(x, graph, medoids, x)
+    truth = x @ x.T >= 0.9
+    assert not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum()
