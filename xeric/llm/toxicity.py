@@ -41,16 +41,12 @@ def characters(word: str) -> list[str]:
     return [word[:k] + "+" for k in range(3, min(8, n - 1) + 1)] + ["-" + word[-k:] for k in (3, 4) if n > k]
 
 
-def evidence(found: list[set[str]], y: np.ndarray) -> dict[str, float]:
-    """For each sequence, how far its document frequency differs between the classes, in standard errors."""
-    of = (Counter(), Counter())
-    for s, label in zip(found, y, strict=True):
-        of[int(label)].update(s)
-    n1 = max(1.0, float(y.sum()))
-    n0 = max(1.0, len(y) - n1)
+def evidence(toxic: Counter, other: Counter, n1: int, n0: int) -> dict[str, float]:
+    """For each sequence, how far its document frequency differs between n1 toxic and n0 other texts, in standard errors."""
+    n1, n0 = max(1.0, float(n1)), max(1.0, float(n0))
     out = {}
-    for g in of[1].keys() | of[0].keys():
-        a, b = of[1][g], of[0][g]
+    for g in toxic.keys() | other.keys():
+        a, b = toxic[g], other[g]
         if a + b >= LEAST_DOCS:
             share = (a + b) / (n0 + n1)
             a_, b_ = a + share, b + 2 * (1 - share) * n0 / n1 * share + share
@@ -61,6 +57,34 @@ def evidence(found: list[set[str]], y: np.ndarray) -> dict[str, float]:
     return out
 
 
+class Frequencies:
+    """Document frequencies of words and character sequences by fold and label; no text's own set is kept."""
+
+    def __init__(self) -> None:
+        self.counts = [[[Counter(), Counter()] for _ in range(2)] for _ in range(FOLDS)]
+        self.n = np.zeros((FOLDS, 2), np.int64)
+
+    def add(self, fold: int, label: int, words: list[str]) -> None:
+        found = set(words)
+        self.counts[fold][label][0].update(found)
+        self.counts[fold][label][1].update({g for w in found for g in characters(w)})
+        self.n[fold, label] += 1
+
+    def inputs(self, without: int | None = None) -> Inputs:
+        """Evidence from all folds but one."""
+        folds = [k for k in range(FOLDS) if k != without] if without is None or self.n.sum() > self.n[without].sum() else [without]
+        parts = []
+        for kind in range(2):
+            both = []
+            for label in range(2):
+                total: Counter = Counter()
+                for k in folds:
+                    total.update(self.counts[k][label][kind])
+                both.append(total)
+            parts.append(evidence(both[1], both[0], self.n[folds, 1].sum(), self.n[folds, 0].sum()))
+        return Inputs(*parts)
+
+
 class Characters:
     """Numbers for character sequences, so that each is hashed and looked up once however many words hold it."""
 
@@ -227,16 +251,17 @@ def fit(texts: list[str], labels: list[int], other_weight: float = 1.0, seed: in
     rng = np.random.Generator(np.random.PCG64(seed))
     y = np.array(labels, float)
     split = [words_of(t) for t in texts]
-    found_w = [set(s) for s in split]
-    found_c = [{g for w in s for g in characters(w)} for s in found_w]
     fold = rng.permutation(len(texts)) % FOLDS
-    inputs = Inputs(evidence(found_w, y), evidence(found_c, y))
+    seen = Frequencies()
+    for k, label, words in zip(fold.tolist(), labels, split, strict=True):
+        seen.add(k, int(label), words)
+    inputs = seen.inputs()
     net = BiGru(Inputs.WIDTH, HIDDEN, seed)
     ew, ec = rng.normal(0, 0.1, (BUCKETS, EMBED)), rng.normal(0, 0.1, (BUCKETS, EMBED))
     params = {**net.p, "ew": ew, "ec": ec}
     net.p = params
 
-    vocabulary = list(dict.fromkeys(w for s in found_w for w in sorted(s)))
+    vocabulary = list(dict.fromkeys(w for s in split for w in s))
     place = {w: i + 1 for i, w in enumerate(vocabulary)}
     chars = Characters()
     sequences, counts = chars.of(["", *vocabulary])
@@ -245,12 +270,12 @@ def fit(texts: list[str], labels: list[int], other_weight: float = 1.0, seed: in
     begin = np.cumsum(counts) - counts
     fixed = []
     for k in range(FOLDS):
-        others = np.flatnonzero(fold != k) if len(set(fold)) > 1 else np.arange(len(texts))
-        part = Inputs(evidence([found_w[i] for i in others], y[others]), evidence([found_c[i] for i in others], y[others]))
+        part = seen.inputs(without=k)
         fixed.append(fixed_part(*part.values(["", *vocabulary], names), sequences, counts).astype(np.float32))
-    del found_w, found_c
+    del seen
     codes = [np.fromiter((place[w] for w in s), np.int64, len(s)) for s in split]
     starts = [window_starts(len(s)) for s in split]
+    del split
 
     def window(i: int, s: int) -> tuple[np.ndarray, int]:
         c = codes[i][s : s + WINDOW]
