@@ -23,8 +23,8 @@ def effective_correlation(df: DataFrame, entity: list[str], x: str = "x", y: str
     w = Window.partitionBy(*entity).orderBy(time)
     d = df.withColumns({"_x": F.lag(x).over(w), "_y": F.lag(y).over(w)})
     g = d.groupBy(*entity).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"), ((F.corr(x, "_x") + F.corr(y, "_y")) / 2).alias("r1"))
-    n = F.greatest(F.lit(3.0), F.bround(F.col("n") * (1 - F.col("r1")) / (1 + F.col("r1"))))
-    return g.withColumn("n_eff", n).withColumn("t", F.col("r") * F.sqrt((n - 2) / (1 - F.col("r") * F.col("r"))))
+    n = F.greatest(F.lit(3.0), F.bround(F.try_divide(F.col("n") * (1 - F.col("r1")), 1 + F.col("r1"))))
+    return g.withColumn("n_eff", n).withColumn("t", F.col("r") * F.sqrt(F.try_divide(n - 2, F.round(1 - F.col("r") * F.col("r"), 12))))
 
 
 def leave_year_out(df: DataFrame, entity: list[str], x: str = "x", y: str = "y", time: str = "month", dry: float = -1.282) -> DataFrame:

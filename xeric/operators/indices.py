@@ -171,8 +171,8 @@ def eof(df: DataFrame, site: str, time: str, value: str, k: int = 3, most_sites:
     m = np.zeros((len(names), len(names)))
     for r in pairs:
         m[place[r["_i"]], place[r["_j"]]] = m[place[r["_j"]], place[r["_i"]]] = r["_s"]
-    values, vectors = np.linalg.eigh(m) if len(names) else (np.zeros(0), np.zeros((0, 0)))
-    order = np.argsort(-values)[:k]
+    values, vectors = np.linalg.eigh(m) if names else (np.zeros(k), np.zeros((0, k)))
+    order = np.argsort(-values, kind="stable")[:k]
     vectors = vectors[:, order] * np.where(vectors[:, order].sum(0) < 0, -1, 1)
     spark = df.sparkSession
     cols = [f"pattern_{i + 1}" for i in range(len(order))]

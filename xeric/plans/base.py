@@ -69,7 +69,7 @@ def gapped(idx: DataFrame) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station, date, value): the events' daily means by type."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("station"), F.to_date("ts").alias("date")).agg(F.round(F.avg("value"), 4).alias("value"))
+    return e.groupBy(F.col("event_type").alias("station"), F.to_date("ts").alias("date")).agg(F.round(F.avg("value") + 1e-9, 4).alias("value"))
 
 
 SITE_MONTHS = """sm AS (SELECT c_nationkey AS site, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
@@ -87,4 +87,4 @@ idx AS (SELECT site, month, month(month) AS cal_month, {_P} AS p, round({normal_
   FROM rk3 WHERE k_value IS NOT NULL AND n >= 5)"""
 GAPPED = f"""{INDEX},
 gz AS (SELECT site, month, CASE WHEN (site * 7 + month(month)) % 11 <> 0 THEN z END AS z FROM idx)"""
-DAILY = """dy AS (SELECT event_type AS station, CAST(ts AS DATE) AS date, round(avg(value), 4) AS value FROM events GROUP BY 1, 2)"""
+DAILY = """dy AS (SELECT event_type AS station, CAST(ts AS DATE) AS date, round(avg(value) + 1e-9, 4) AS value FROM events GROUP BY 1, 2)"""

@@ -181,7 +181,7 @@ def chow_test(spark, sf):
     return r6(T.chow(d, SITE, "t", "value", F.col("t") < 36), "f")
 
 
-@query("detrended_months", f"""WITH {SITE_MONTHS}, f AS (SELECT site, month(month) AS m, coalesce(regr_slope(value, year(month)), 0) AS b, avg(year(month)) AS y FROM sm GROUP BY 1, 2)
+@query("detrended_months", f"""WITH {SITE_MONTHS}, f AS (SELECT site, month(month) AS m, CASE WHEN regr_sxx(value, year(month)) > 0 THEN regr_slope(value, year(month)) ELSE 0 END AS b, avg(year(month)) AS y FROM sm GROUP BY 1, 2)
   SELECT sm.site, sm.month, round(value - b * (year(sm.month) - y), 6) AS detrended FROM sm JOIN f ON f.site = sm.site AND f.m = month(sm.month)""")
 def detrended_months(spark, sf):
     from xeric.operators.series import detrend_by_month
@@ -298,8 +298,8 @@ def _xy(spark, sf):
 
 
 @query("effective_correlation", f"""WITH {INDEX}, {_XY}, l AS (SELECT *, lag(x) OVER w AS x1, lag(y) OVER w AS y1 FROM xy WINDOW w AS (PARTITION BY site ORDER BY month)),
-  g AS (SELECT site, corr(y, x) AS r, count(*) AS n, (corr(x, x1) + corr(y, y1)) / 2 AS r1 FROM l GROUP BY site), e AS (SELECT *, greatest(3, round_even(n * (1 - r1) / (1 + r1), 0)) AS n_eff FROM g)
-  SELECT site, n, round(r, 6) AS r, round(r1, 6) AS r1, n_eff, round(r * sqrt((n_eff - 2) / (1 - r * r)), 6) AS t FROM e""")
+  g AS (SELECT site, corr(y, x) AS r, count(*) AS n, (corr(x, x1) + corr(y, y1)) / 2 AS r1 FROM l GROUP BY site), e AS (SELECT *, greatest(3, round_even(n * (1 - r1) / nullif(1 + r1, 0), 0)) AS n_eff FROM g)
+  SELECT site, n, round(r, 6) AS r, round(r1, 6) AS r1, n_eff, round(r * sqrt((n_eff - 2) / nullif(round(1 - r * r, 12), 0)), 6) AS t FROM e""")
 def effective_correlation(spark, sf):
     return r6(A.effective_correlation(_xy(spark, sf), SITE), "r", "r1", "t")
 
@@ -356,14 +356,14 @@ def water_balance(spark, sf):
     return _pairs(spark, sf).select("site", "month", F.round(F.col("x") - 0.5 * F.col("y"), 6).alias("balance"))
 
 
-@query("stage_to_storage", """WITH c AS (SELECT CAST(p_size AS DOUBLE) AS level, sum(p_retailprice) OVER (ORDER BY p_size) AS storage FROM (SELECT p_size, round(avg(p_retailprice), 4) AS p_retailprice FROM part WHERE p_size % 5 = 0 GROUP BY 1)),
+@query("stage_to_storage", """WITH c AS (SELECT CAST(p_size AS DOUBLE) AS level, sum(p_retailprice) OVER (ORDER BY p_size) AS storage FROM (SELECT p_size, round(avg(p_retailprice) + 1e-7, 4) AS p_retailprice FROM part WHERE p_size % 5 = 0 GROUP BY 1)),
   s AS (SELECT level AS a, storage AS sa, lead(level) OVER (ORDER BY level) AS b, lead(storage) OVER (ORDER BY level) AS sb FROM c), r AS (SELECT l_orderkey, l_linenumber, l_quantity + 0.25 AS stage FROM lineitem WHERE l_linenumber = 1)
-  SELECT l_orderkey, stage, round(sa + (stage - a) / (b - a) * (sb - sa), 4) AS storage FROM r LEFT JOIN s ON b IS NOT NULL AND stage >= a AND stage < b""")
+  SELECT l_orderkey, stage, round(sa + (stage - a) / (b - a) * (sb - sa) + 1e-7, 4) AS storage FROM r LEFT JOIN s ON b IS NOT NULL AND stage >= a AND stage < b""")
 def stage_to_storage(spark, sf):
-    c = table(spark, sf, "part").filter("p_size % 5 = 0").groupBy(F.col("p_size").cast("double").alias("level")).agg(F.round(F.avg("p_retailprice"), 4).alias("area"))
+    c = table(spark, sf, "part").filter("p_size % 5 = 0").groupBy(F.col("p_size").cast("double").alias("level")).agg(F.round(F.avg("p_retailprice") + 1e-7, 4).alias("area"))
     c = c.select("level", F.sum("area").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)).alias("storage"))
     r = table(spark, sf, "lineitem").filter("l_linenumber = 1").select("l_orderkey", (F.col("l_quantity") + 0.25).alias("stage"))
-    return H.stage_storage(r, c).select("l_orderkey", "stage", F.round("storage", 4).alias("storage"))
+    return H.stage_storage(r, c).select("l_orderkey", "stage", F.round(F.col("storage") + 1e-7, 4).alias("storage"))
 
 
 @query("hypsometric_volume", """WITH c AS (SELECT p_brand AS lake, CAST(p_size AS DOUBLE) AS e, round(avg(p_retailprice) + 1e-7, 2) AS a FROM part GROUP BY 1, 2), s AS (SELECT lake, e, coalesce((e - lag(e) OVER w) * (a + lag(a) OVER w) / 2, 0) AS v FROM c WINDOW w AS (PARTITION BY lake ORDER BY e))
