@@ -154,3 +154,13 @@ def test_components_and_errors():
     assert slope == pytest.approx(2, abs=0.01) and 0 < se < 0.01
     lo, hi = K.block_bootstrap_mean(r.normal(5, 1, 200))
     assert lo < 5 < hi
+
+
+def test_margins_and_intervals():
+    r = np.random.default_rng(3)
+    assert K.best_margin(r.gamma(1.2, 3, 3000))[0] == "gamma"
+    assert K.best_margin(np.exp(r.normal(0, 1, 3000)))[0] == "lnorm"
+    assert K.best_margin(r.normal(0, 1, 3000))[0] == "norm"
+    low, high = K.poisson_interval(10, 50)
+    assert low == pytest.approx(50 / 18.390, rel=1e-3) and high == pytest.approx(50 / 4.795, rel=1e-3)
+    assert K.poisson_interval(0, 50)[1] == np.inf

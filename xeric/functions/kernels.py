@@ -576,3 +576,28 @@ def block_bootstrap_mean(x: np.ndarray, draws: int = 1000, block: int = 6, seed:
     at = (start[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n]
     lo, hi = np.percentile(x[at].mean(1), [2.5, 97.5])
     return float(lo), float(hi)
+
+
+def best_margin(x: np.ndarray) -> tuple[str, tuple[float, float], float]:
+    """Family, parameters and AIC of the best margin; positive families only for positive samples."""
+    n, m, s = len(x), x.mean(), x.std()
+    found = [("norm", (m, s), -n * log(s * sqrt(2 * pi)) - ((x - m) ** 2).sum() / (2 * s * s), 2)]
+    sc = s * sqrt(3) / pi
+    y = (x - m) / sc
+    found.append(("logis", (m, sc), float((-y - log(sc) - 2 * np.log1p(np.exp(-y))).sum()), 2))
+    if (x > 0).all():
+        found.append(("exp", (1 / m, np.nan), -n * log(m) - n, 1))
+        a, b = fit_gamma(*l_moments(x)[:2])
+        found.append(("gamma", (a, b), float(((a - 1) * np.log(x) - x / b).sum() - n * (lgamma(a) + a * log(b))), 2))
+        v = np.log(x)
+        found.append(("lnorm", (v.mean(), v.std()), float(-v.sum() - n * log(v.std() * sqrt(2 * pi)) - n / 2), 2))
+    scored = [(2 * k - 2 * ll, f, p) for f, p, ll, k in found if np.isfinite(ll)]
+    aic, f, p = min(scored, key=lambda z: z[0])
+    return f, (float(p[0]), float(p[1])), float(aic)
+
+
+def poisson_interval(count: int, years: float, level: float = 0.95) -> tuple[float, float]:
+    """Bounds of a return period from the count of events in so many years."""
+    low = chi2_quantile((1 - level) / 2, 2 * count) / 2 if count else 0.0
+    high = chi2_quantile((1 + level) / 2, 2 * count + 2) / 2
+    return years / high, years / low if low else np.inf

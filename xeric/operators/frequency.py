@@ -82,3 +82,36 @@ def tie_diagnostics(df: DataFrame, keys: list[str], u: str, quantiles: tuple[flo
     """Share of values above each quantile against its nominal share."""
     q = F.explode(F.array(*map(F.lit, quantiles))).alias("q")
     return df.select(*keys, u, q).groupBy(*keys, "q").agg(F.avg((F.col(u) > F.col("q")).cast("double")).alias("share"), F.first(1 - F.col("q")).alias("nominal"))
+
+
+def copula_cdf(family: str, theta: float, u: Column, v: Column) -> Column:
+    """C(u, v) of a one-parameter copula."""
+    t = F.lit(float(theta))
+    if family == "clayton":
+        return F.pow(F.pow(u, -t) + F.pow(v, -t) - 1, -1 / t)
+    if family == "gumbel":
+        return F.exp(-F.pow(F.pow(-F.log(u), t) + F.pow(-F.log(v), t), 1 / t))
+    if family == "frank":
+        return -F.log1p((F.exp(-t * u) - 1) * (F.exp(-t * v) - 1) / (F.exp(-t) - 1)) / t
+    if family == "joe":
+        a, b = F.pow(1 - u, t), F.pow(1 - v, t)
+        return 1 - F.pow(a + b - a * b, 1 / t)
+    if family == "independence":
+        return u * v
+    raise ValueError(f"no copula family {family}")
+
+
+def joint_return_period(df: DataFrame, family: str, theta: float, u: str, v: str, mean_gap_months: str) -> DataFrame:
+    """Years between events that pass both margins: mu / (12 (1 - u - v + C(u, v)))."""
+    p = 1 - F.col(u) - F.col(v) + copula_cdf(family, theta, F.col(u), F.col(v))
+    return df.withColumns({"p_both": p, "joint_years": F.try_divide(F.col(mean_gap_months), 12 * F.when(p > 1e-12, p))})
+
+
+def shrunk_ratio(df: DataFrame, entity: list[str], observed: str, modelled: str, time: str = "month", full_at: int = 5, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """Monthly median ratio of observed to modelled, drawn to the all-month median by min(1, n / 5), clipped to .5-2."""
+    d = df.withColumn("_r", F.try_divide(observed, modelled)).withColumn("cal_month", F.month(time))
+    all_months = d.groupBy(*entity).agg(F.median("_r").alias("prior"))
+    by_month = d.groupBy(*entity, "cal_month").agg(F.count("_r").alias("n"), F.median("_r").alias("_m"))
+    w = F.least(F.lit(1.0), F.col("n") / full_at)
+    ratio = w * F.coalesce("_m", "prior") + (1 - w) * F.col("prior")
+    return by_month.join(all_months, entity).select(*entity, "cal_month", "n", F.least(F.greatest(ratio, F.lit(low)), F.lit(high)).alias("ratio"))

@@ -180,3 +180,84 @@ def eof(df: DataFrame, site: str, time: str, value: str, k: int = 3, most_sites:
     patterns = spark.createDataFrame([(s, *map(float, vectors[i])) for i, s in enumerate(names)], f"{site} {kind}" + "".join(f", {c} double" for c in cols))
     scores = d.join(F.broadcast(patterns), site).groupBy(time).agg(*[F.sum(F.col("_z") * F.col(c)).alias(f"score_{i + 1}") for i, c in enumerate(cols)])
     return patterns, scores
+
+
+def supply_index(components: DataFrame, entity: list[str], weights: dict[str, float], time: str = "month", least: int = 2, cap: float = 4.2) -> DataFrame:
+    """Surface supply: weighted mean of the components' normal scores by calendar month, weights renormalised.
+
+    A component's place is rank / (n + 1) among its calendar month's values, 0.5 if it has under two different ones. At
+    least two components must be there; the result is held to +-4.2.
+    """
+    from xeric.functions.labels import clip, normal_quantile
+
+    d = components.withColumn("cal_month", F.month(time))
+    for c in weights:
+        w = Window.partitionBy(*entity, "cal_month")
+        d = average_rank(d, [*entity, "cal_month"], c, f"_r_{c}")
+        d = d.withColumn(f"_n_{c}", F.count(c).over(w)).withColumn(f"_s_{c}", F.max(c).over(w) > F.min(c).over(w))
+        p = F.when(F.col(f"_s_{c}"), F.col(f"_r_{c}") / (F.col(f"_n_{c}") + 1)).otherwise(0.5)
+        d = d.withColumn("_p", F.when(F.col(c).isNotNull(), F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4)))).withColumn(f"z_{c}", normal_quantile("_p"))
+    there = [F.when(F.col(f"z_{c}").isNotNull(), F.lit(float(x))).otherwise(0.0) for c, x in weights.items()]
+    total = sum(there[1:], there[0])
+    count = sum((F.col(f"z_{c}").isNotNull().cast("int") for c in weights), F.lit(0))
+    score = sum((F.coalesce(F.col(f"z_{c}"), F.lit(0.0)) * float(x) for c, x in weights.items()), F.lit(0.0))
+    return d.select(*entity, time, *[f"z_{c}" for c in weights], clip(F.when(count >= least, F.try_divide(score, total)), -cap, cap).alias("supply"))
+
+
+def multi_scale_index(df: DataFrame, entity: list[str], scales: list[str], time: str = "month") -> DataFrame:
+    """First principal component of an entity's indices at several scales, standardised; its weights' sum is positive."""
+    d = df.select(*entity, F.col(time).alias("month"), *[F.col(c).cast("double").alias(c) for c in scales])
+    kinds = dict(d.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*entity, "month"]) + ", score double, share double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("month").reset_index(drop=True)
+        x = pdf[scales].to_numpy(float)
+        ok = np.isfinite(x).all(1)
+        out = pdf[[*entity, "month"]].copy()
+        out["score"], out["share"] = None, None
+        if ok.sum() > len(scales) + 1:
+            scores, _, share = K.principal_components(x[ok], np.ones(len(scales)), 1)
+            s = scores[:, 0]
+            out.loc[ok, "score"], out["share"] = (s - s.mean()) / s.std(ddof=1), float(share[0])
+        return out.astype({"score": float, "share": float})
+
+    return d.groupBy(*entity).applyInPandas(run, schema)
+
+
+def marginal_fit(df: DataFrame, entity: list[str], value: str, least: int = 10) -> DataFrame:
+    """The margin of smallest AIC among exponential, gamma, log-normal, normal and logistic, moments or L-moments."""
+    d = df.select(*entity, F.col(value).cast("double").alias("x"))
+    kinds = dict(d.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in entity) + ", n int, family string, p1 double, p2 double, aic double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf["x"].dropna().to_numpy(float)
+        row = {**{c: pdf[c].iloc[0] for c in entity}, "n": len(x), "family": None, "p1": None, "p2": None, "aic": None}
+        if len(x) >= least and x.std() > 0:
+            family, p, aic = K.best_margin(x)
+            row |= {"family": family, "p1": p[0], "p2": p[1], "aic": aic}
+        return pd.DataFrame([row]).astype({"p1": float, "p2": float, "aic": float})
+
+    return d.groupBy(*entity).applyInPandas(run, schema)
+
+
+def discordancy(sites: DataFrame, region: list[str], site: str) -> DataFrame:
+    """Hosking and Wallis's D of each site's (L-CV, t3, t4) in its region; regions of under 5 sites have nulls."""
+    d = sites.select(*region, site, F.try_divide("l2", "l1").alias("t"), "t3", "t4")
+    kinds = dict(d.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*region, site]) + ", d double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[[*region, site]].copy()
+        out["d"] = np.nan
+        u = pdf[["t", "t3", "t4"]].to_numpy(float)
+        ok = np.isfinite(u).all(1)
+        if ok.sum() >= 5:
+            c = u[ok] - u[ok].mean(0)
+            s = c.T @ c
+            if np.linalg.matrix_rank(s) == 3:
+                out.loc[ok, "d"] = ok.sum() / 3 * np.einsum("ij,jk,ik->i", c, np.linalg.inv(s), c)
+        return out
+
+    return d.groupBy(*region).applyInPandas(run, schema)

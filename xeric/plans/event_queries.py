@@ -415,3 +415,28 @@ def groundwater_index(spark, sf):
 @query("site_weights", f"WITH {WEIGHTS} SELECT site, weight, lat, lon FROM sw")
 def weights(spark, sf):
     return site_weights(spark, sf)
+
+
+@query("joint_return_period", f"""WITH {SITE_MONTHS}, {_PAIR}, {_U} SELECT site, month, round(1 - u - v + exp(-sqrt(ln(u) * ln(u) + ln(v) * ln(v))), 6) AS p_both, round(6.0 / (12 * (1 - u - v + exp(-sqrt(ln(u) * ln(u) + ln(v) * ln(v))))), 4) AS joint_years FROM ps""")
+def joint_return_period(spark, sf):
+    d = Q.pseudo_observations(_pairs(spark, sf), SITE, ["x", "y"]).withColumn("gap", F.lit(6.0))
+    out = Q.joint_return_period(d, "gumbel", 2.0, "u_x", "u_y", "gap")
+    return out.select("site", "month", F.round("p_both", 6).alias("p_both"), F.round("joint_years", 4).alias("joint_years"))
+
+
+@query("shrunk_bias_ratio", f"""WITH {SITE_MONTHS}, {_PAIR}, a AS (SELECT site, median(x / nullif(y, 0)) AS prior FROM pr GROUP BY 1), m AS (SELECT site, month(month) AS cal_month, count(x / nullif(y, 0)) AS n, median(x / nullif(y, 0)) AS m FROM pr GROUP BY 1, 2)
+  SELECT site, cal_month, n, round(least(greatest(least(1.0, n / 5.0) * coalesce(m, prior) + (1 - least(1.0, n / 5.0)) * prior, 0.5), 2.0), 6) AS ratio FROM m JOIN a USING (site)""")
+def shrunk_bias_ratio(spark, sf):
+    return r6(Q.shrunk_ratio(_pairs(spark, sf), SITE, "x", "y"), "ratio")
+
+
+_WEIBULL = "CASE WHEN max({c}) OVER w > min({c}) OVER w THEN least(greatest((rank() OVER (PARTITION BY site, month(month) ORDER BY {c}) + (count(*) OVER (PARTITION BY site, month(month), {c}) - 1) / 2.0) / (count(*) OVER w + 1), 1e-4), 1 - 1e-4) ELSE 0.5 END"
+
+
+@query("supply_index", f"""WITH {SITE_MONTHS}, {_PAIR}, p AS (SELECT site, month, {_WEIBULL.format(c='x')} AS px, {_WEIBULL.format(c='y')} AS py FROM pr WINDOW w AS (PARTITION BY site, month(month))),
+  z AS (SELECT site, month, {L.normal_quantile_sql('px')} AS zx, {L.normal_quantile_sql('py')} AS zy FROM p)
+  SELECT site, month, round(least(greatest((0.6 * zx + 0.4 * zy) / (0.6 + 0.4), -4.2), 4.2), 6) AS supply FROM z""")
+def supply_index(spark, sf):
+    from xeric.operators.indices import supply_index as index
+
+    return index(_pairs(spark, sf), SITE, {"x": 0.6, "y": 0.4}).select("site", "month", F.round("supply", 6).alias("supply"))

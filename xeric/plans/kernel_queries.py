@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from xeric.operators import frequency as Q
@@ -85,3 +86,39 @@ def robust_slope(spark, sf):
 @query("eof_scores")
 def eof_scores(spark, sf):
     return I.eof(site_months(spark, sf), "site", "month", "value")[1]
+
+
+@query("multi_scale_index")
+def multi_scale_index(spark, sf):
+    d = site_months(spark, sf)
+    for k in (1, 2, 3, 6):
+        d = trailing(d, SITE, k, out=f"k{k}")
+    return I.multi_scale_index(d, SITE, ["k1", "k2", "k3", "k6"])
+
+
+@query("marginal_fit")
+def marginal_fit(spark, sf):
+    return I.marginal_fit(site_months(spark, sf), SITE, "value")
+
+
+@query("discordancy")
+def discordancy(spark, sf):
+    return I.discordancy(Q.l_moments(site_months(spark, sf), SITE).withColumn("region", F.col("site") % 2), ["region"], "site")
+
+
+@query("return_period_interval")
+def return_period_interval(spark, sf):
+    """One row per site: the interval is computed where the counts are, in a vectorised function."""
+    from xeric.functions.kernels import poisson_interval
+    from xeric.operators.events import detect_events
+
+    idx = index_months(spark, sf)
+    e = detect_events(idx, SITE, value="z").groupBy("site").agg(F.count("*").alias("n"))
+    years = idx.groupBy("site").agg((F.count("*") / 12).alias("years"))
+
+    @F.pandas_udf("low double, high double")
+    def interval(n: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([poisson_interval(int(a), float(b)) for a, b in zip(n, y, strict=True)], columns=["low", "high"])
+
+    d = e.join(years, "site").withColumn("i", interval("n", "years"))
+    return d.select("site", "n", (F.col("years") / F.col("n")).alias("return_period"), "i.low", "i.high")
