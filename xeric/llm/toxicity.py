@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
-from collections import Counter
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +14,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import materialise, read_table, text_of
 from .gru import Adam, BiGru, sigmoid
+from .merging import _gather
 from .token_counts import slices
 
 #: Labelled rows that the classifier is fitted on at most: toxic ones, others.
-TRAIN_TOXIC, TRAIN_OTHER = 900, 1800
+TRAIN_TOXIC, TRAIN_OTHER = 600, 1200
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, BUCKETS = 8, 4, 4096
 FOLDS, EPOCHS, BATCH = 5, 8, 64
@@ -41,48 +42,15 @@ def characters(word: str) -> list[str]:
     return [word[:k] + "+" for k in range(3, min(8, n - 1) + 1)] + ["-" + word[-k:] for k in (3, 4) if n > k]
 
 
-def evidence(toxic: Counter, other: Counter, n1: int, n0: int) -> dict[str, float]:
+def evidence(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """For each sequence, how far its document frequency differs between n1 toxic and n0 other texts, in standard errors."""
     n1, n0 = max(1.0, float(n1)), max(1.0, float(n0))
-    out = {}
-    for g in toxic.keys() | other.keys():
-        a, b = toxic[g], other[g]
-        if a + b >= LEAST_DOCS:
-            share = (a + b) / (n0 + n1)
-            a_, b_ = a + share, b + 2 * (1 - share) * n0 / n1 * share + share
-            delta = np.log(a_ / n1) - np.log(b_ / n0)
-            z = float(delta / np.sqrt(1 / a_ + 1 / b_))
-            if abs(z) > 1:
-                out[g] = max(-8.0, min(12.0, z)) / 4
-    return out
-
-
-class Frequencies:
-    """Document frequencies of words and character sequences by fold and label; no text's own set is kept."""
-
-    def __init__(self) -> None:
-        self.counts = [[[Counter(), Counter()] for _ in range(2)] for _ in range(FOLDS)]
-        self.n = np.zeros((FOLDS, 2), np.int64)
-
-    def add(self, fold: int, label: int, words: list[str]) -> None:
-        found = set(words)
-        self.counts[fold][label][0].update(found)
-        self.counts[fold][label][1].update({g for w in found for g in characters(w)})
-        self.n[fold, label] += 1
-
-    def inputs(self, without: int | None = None) -> Inputs:
-        """Evidence from all folds but one."""
-        folds = [k for k in range(FOLDS) if k != without] if without is None or self.n.sum() > self.n[without].sum() else [without]
-        parts = []
-        for kind in range(2):
-            both = []
-            for label in range(2):
-                total: Counter = Counter()
-                for k in folds:
-                    total.update(self.counts[k][label][kind])
-                both.append(total)
-            parts.append(evidence(both[1], both[0], self.n[folds, 1].sum(), self.n[folds, 0].sum()))
-        return Inputs(*parts)
+    share = (toxic + other) / (n0 + n1)
+    a = toxic + share
+    b = other + 2 * (1 - share) * n0 / n1 * share + share
+    with np.errstate(all="ignore"):
+        z = (np.log(a / n1) - np.log(b / n0)) / np.sqrt(1 / a + 1 / b)
+    return np.where((toxic + other >= LEAST_DOCS) & (np.abs(z) > 1), np.clip(z, -8, 12) / 4, 0.0)
 
 
 class Characters:
@@ -94,13 +62,12 @@ class Characters:
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's sequences (number 0 if it has none) end to end, and how many they are."""
         number = self.number
-        flat: list[int] = []
-        counts = []
+        flat, counts = array("q"), array("q")
         for w in words:
             found = characters(w) or [""]
             counts.append(len(found))
-            flat += [number[g] if g in number else number.setdefault(g, len(number)) for g in found]
-        return np.array(flat, np.int64), np.array(counts, np.int64)
+            flat.extend([number[g] if g in number else number.setdefault(g, len(number)) for g in found])
+        return np.frombuffer(flat, np.int64).copy() if len(flat) else np.zeros(0, np.int64), np.array(counts, np.int64)
 
 
 def buckets(names: list[str]) -> np.ndarray:
@@ -250,32 +217,40 @@ def fit(texts: list[str], labels: list[int], other_weight: float = 1.0, seed: in
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     y = np.array(labels, float)
-    split = [words_of(t) for t in texts]
+    # Texts become numbers of words at once; only the distinct words are kept as strings.
+    place: dict[str, int] = {"": 0}
+    codes = [np.fromiter((place[w] if w in place else place.setdefault(w, len(place)) for w in words_of(t)), np.int32) for t in texts]
+    vocabulary = list(place)
+    del place
+    chars = Characters()
+    sequences, counts = chars.of(vocabulary)
+    names = list(chars.number)
+    del chars
+    begin = np.cumsum(counts) - counts
+    own, grams = buckets(vocabulary), buckets(names)[sequences]
     fold = rng.permutation(len(texts)) % FOLDS
-    seen = Frequencies()
-    for k, label, words in zip(fold.tolist(), labels, split, strict=True):
-        seen.add(k, int(label), words)
-    inputs = seen.inputs()
+    of_words, of_chars = np.zeros((FOLDS, 2, len(vocabulary)), np.int32), np.zeros((FOLDS, 2, len(names)), np.int32)
+    for k, label, c in zip(fold.tolist(), labels, codes, strict=True):
+        held = np.unique(c)
+        of_words[k, label, held] += 1
+        of_chars[k, label, np.unique(sequences[_gather(begin[held], counts[held])])] += 1
+    per_fold = np.array([[((fold == k) & (y == label)).sum() for label in range(2)] for k in range(FOLDS)])
+
+    def values(without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence of words and sequences from all folds but one."""
+        use = [k for k in range(FOLDS) if k != without and per_fold[k].sum()] or [without or 0]
+        n1, n0 = int(per_fold[use, 1].sum()), int(per_fold[use, 0].sum())
+        return tuple(evidence(of[use, 1].sum(0), of[use, 0].sum(0), n1, n0) for of in (of_words, of_chars))
+
+    whole = values(None)
+    inputs = Inputs(*({text[i]: float(z[i]) for i in np.flatnonzero(z).tolist()} for text, z in zip((vocabulary, names), whole, strict=True)))
+    fixed = [fixed_part(*values(k), sequences, counts).astype(np.float32) for k in range(FOLDS)]
+    del of_words, of_chars, whole, sequences, names, vocabulary
     net = BiGru(Inputs.WIDTH, HIDDEN, seed)
     ew, ec = rng.normal(0, 0.1, (BUCKETS, EMBED)), rng.normal(0, 0.1, (BUCKETS, EMBED))
     params = {**net.p, "ew": ew, "ec": ec}
     net.p = params
-
-    vocabulary = list(dict.fromkeys(w for s in split for w in s))
-    place = {w: i + 1 for i, w in enumerate(vocabulary)}
-    chars = Characters()
-    sequences, counts = chars.of(["", *vocabulary])
-    names = list(chars.number)
-    own, grams = buckets(["", *vocabulary]), buckets(names)[sequences]
-    begin = np.cumsum(counts) - counts
-    fixed = []
-    for k in range(FOLDS):
-        part = seen.inputs(without=k)
-        fixed.append(fixed_part(*part.values(["", *vocabulary], names), sequences, counts).astype(np.float32))
-    del seen
-    codes = [np.fromiter((place[w] for w in s), np.int64, len(s)) for s in split]
-    starts = [window_starts(len(s)) for s in split]
-    del split
+    starts = [window_starts(len(s)) for s in codes]
 
     def window(i: int, s: int) -> tuple[np.ndarray, int]:
         c = codes[i][s : s + WINDOW]
@@ -297,9 +272,9 @@ def fit(texts: list[str], labels: list[int], other_weight: float = 1.0, seed: in
             if not rows:
                 continue
             rows, mask = np.concatenate(rows), np.concatenate(mask)
-            table = net.gates(vectors(fixed[k], own, grams, counts, params["ew"], params["ec"])).astype(np.float32)
             frozen = BiGru(Inputs.WIDTH, HIDDEN)
             frozen.p = {n: v.astype(np.float32) for n, v in params.items()}
+            table = frozen.gates(vectors(fixed[k], own, grams, counts, frozen.p["ew"], frozen.p["ec"]).astype(np.float32))
             logits = np.concatenate([frozen.score(table, rows[a : a + WINDOWS_AT_ONCE], mask[a : a + WINDOWS_AT_ONCE]) for a in range(0, len(rows), WINDOWS_AT_ONCE)])
             for i, part in zip(mine, np.split(logits, np.cumsum([len(starts[i]) for i in mine])[:-1]), strict=True):
                 out[i] = part
