@@ -34,7 +34,8 @@ def test_stages_take_effect(spark, tmp_path, monkeypatch):
     for r in mixed.collect():
         took[r["source"]] = took.get(r["source"], 0) + count(r["text"])
     for s, t in targets(sizes).items():
-        assert abs(took.get(s, 0) - t) <= 32
+        # Half a block of 16 in the quota, and a last block of one word instead of 16 in both rounds.
+        assert abs(took.get(s, 0) - t) <= 8 + 2 * 15 + 1
     codec = bpe.Codec(bpe.model_path())
     assert sorted(codec.decode(r["ids"]) for r in outs[4][1].collect()) == sorted(r["text"] for r in mixed.collect())
 
