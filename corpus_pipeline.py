@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from xeric.llm import bpe, line_dedup, minhash, mixing, toxicity
 from xeric.llm.common import materialise, read_table
 
-NEAR_THRESHOLD = 0.85
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic. A row with a null text is scored as an empty one."""
@@ -27,7 +25,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies. Rows with a null id stay."""
-    gone = minhash.near_duplicates(docs, NEAR_THRESHOLD).filter(~F.col("kept")).select("doc_id")
+    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

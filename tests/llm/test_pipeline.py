@@ -44,3 +44,15 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_from_80_percent_go(spark):
+    words = [f"w{i}" for i in range(54)]
+    apart = lambda k: " ".join([*words[:k], "changed", *words[k + 1 :]])
+    # One changed word of 54 leaves 45 of 55 shingles: 0.818; two far apart leave 40 of 60: 0.667.
+    two = apart(20).replace("w35 ", "other ")
+    rows = [(1, " ".join(words), "en", "s", 0, "", "", 0), (2, apart(20), "en", "s", 0, "", "", 0), (3, two.replace("changed", "third"), "en", "s", 0, "", "", 0)]
+    comps = near_components([(r[0], r[1]) for r in rows], percent=80)
+    assert [c for _, c in comps.values()] == [1, 1, 3]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {r["doc_id"] for r in out.collect()} == {1, 3}
