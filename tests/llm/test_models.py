@@ -139,6 +139,24 @@ def test_licenses_in_texts(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def licenses_in(text):
+    import re
+
+    return [x[0] for x in licenses.scan_text(text, licenses.Templates(), re.compile(licenses.CUES, re.IGNORECASE))[1]]
+
+
+def test_all_licenses_of_a_block():
+    short = [(n, t) for n, texts in licenses.NOTICES.items() for t in texts if len(t) < 150]
+    assert licenses_in("All rights reserved.\n" + licenses.NOTICES["GPL-3.0"][0]) == ["All-rights-reserved", "GPL-3.0"]
+    assert licenses_in("Copyright 2020 Some One. All rights reserved.\n" + licenses.NOTICES["GPL-3.0"][0]) == ["All-rights-reserved", "GPL-3.0"]
+    assert licenses_in("\n".join(t for _, t in short)) == [n for n, _ in short]
+    assert licenses_in("\n\n".join(t for _, t in reversed(short))) == [n for n, _ in reversed(short)]
+    # The place nearest to GPL-3 is the whole GPL-2 notice; its own has two other words.
+    two, three = licenses.NOTICES["GPL-2.0"][1], licenses.NOTICES["GPL-3.0"][1].replace("published", "issued").replace("later", "newer")
+    assert licenses_in(two + "\n" + three) == ["GPL-2.0", "GPL-3.0"]
+    assert licenses_in("Released under the MIT License. " * 2) == ["MIT", "MIT"]
+
+
 def test_secrets(spark):
     trees = secrets.train_forest(spark)
     held = secrets.labelled_findings(300, 77)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,6 @@ NOTICES: dict[str, tuple[str, ...]] = {
 CUES = r"licen[cs]|\ball rights reserved\b|public domain|permission (is hereby|to use)|redistribut|creative commons|waived all copyright|\bcc0\b"
 #: Characters of a block; longer runs of cue lines are cut into overlapping blocks.
 BLOCK_CHARS = 3000
-#: Templates whose wording is compared, in the order of their size reductions.
-RANKED = 4
 #: Largest share of a notice's words that may differ.
 MOST_DIFFERENT = 0.1
 LEVEL = 9
@@ -69,45 +68,53 @@ class Templates:
             self.by_name[n] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)
 
     def ranked(self, block: str) -> list[tuple[str, int]]:
-        """Licenses by how many bytes their dictionary takes off the compressed block."""
+        """All licenses by how many bytes their dictionary takes off the compressed block."""
         data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
         saved = [(n, alone - len(c.compress(data))) for n, c in self.by_name.items()]
-        return sorted((x for x in saved if x[1] > 0), key=lambda x: (-x[1], x[0]))
+        return sorted(saved, key=lambda x: (-x[1], x[0]))
 
-    def differences(self, name: str, words: list[str]) -> tuple[int, int, int, int] | None:
-        """Fewest differing words of one of the license's notices in the block: (differences, words, first, last)."""
-        best = None
-        for notice in self.words[name]:
-            for first, last, wrong in _places(notice, words):
-                if wrong <= MOST_DIFFERENT * len(notice) and (best is None or (wrong / len(notice), -len(notice)) < (best[0] / best[1], -best[1])):
-                    best = (wrong, len(notice), first, last)
-        return best
+    def places(self, name: str, words: list[str], index: dict[tuple[str, ...], list[int]]) -> list[tuple[int, int, int, int]]:
+        """All places of the license's notices in the block: (differences, words, first, last)."""
+        return [(wrong, len(notice), first, last) for notice in self.words[name] for first, last, wrong in _places(notice, words, index) if wrong <= MOST_DIFFERENT * len(notice)]
 
 
-def _places(notice: list[str], words: list[str]):
+def positions(words: list[str]) -> dict[tuple[str, ...], list[int]]:
+    """Where each word, and each run of three words, begins."""
+    index: dict[tuple[str, ...], list[int]] = {}
+    for i in range(len(words)):
+        index.setdefault((words[i],), []).append(i)
+        index.setdefault(tuple(words[i : i + 3]), []).append(i)
+    return index
+
+
+def _places(notice: list[str], words: list[str], index: dict[tuple[str, ...], list[int]]):
     """Where a notice may stand in the words: (first, last, differing words)."""
     n = len(notice)
-    exact = [i for i in range(len(words) - n + 1) if words[i] == notice[0] and words[i : i + n] == notice]
-    if exact:
-        yield from ((i, i + n, 0) for i in exact)
-        return
+    exact = [i for i in index.get((notice[0],), ()) if words[i : i + n] == notice]
+    yield from ((i, i + n, 0) for i in exact)
     if n < 10:
         return  # one word in ten is less than a word
-    anchors = {}
+    anchors: dict[tuple[str, ...], int] = {}
     for k in range(n - 2):
         anchors.setdefault(tuple(notice[k : k + 3]), k)
-    starts = sorted({max(0, i - anchors[t]) for i in range(len(words) - 2) if (t := tuple(words[i : i + 3])) in anchors})
+    shared = sorted((i, k) for t, k in anchors.items() for i in index.get(t, ()))
+    at = [i for i, _ in shared]
+    most = int(MOST_DIFFERENT * n)
     last_start = -n
-    for s in starts:
-        if s - last_start < 3:
+    for s in sorted({max(0, i - k) for i, k in shared}):
+        # A word that differs breaks three runs at most.
+        if s - last_start < 3 or bisect_left(at, s + n + most) - bisect_left(at, s - most) < n - 2 - 3 * most:
             continue
         last_start = s
         part = words[s : s + n + 3]
         ops = [o for o in difflib.SequenceMatcher(None, notice, part, autojunk=False).get_opcodes()]
+        first = s
+        if ops and ops[0][0] == "insert":
+            first += ops.pop(0)[4]
         if ops and ops[-1][0] == "insert":
             ops.pop()
-        yield s, min(len(words), s + n), sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in ops if tag != "equal")
+        yield first, min(len(words), first + n), sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in ops if tag != "equal")
 
 
 def blocks(text: str, cue: re.Pattern) -> list[tuple[int, int]]:
@@ -141,22 +148,25 @@ _templates: list[Templates] = []
 def scan_text(text: str, templates: Templates, cue: re.Pattern) -> tuple[int, list[tuple[str, int, int, int, int]]]:
     """The number of blocks, and (license, begin, end, differing words, words) for each confirmed license."""
     spans = blocks(text, cue)
-    found: dict[tuple[str, int], tuple[str, int, int, int, int]] = {}
+    hits = set()
     for a, b in spans:
         block = text[a:b]
         tokens = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[\w.+-]*\w", block)]
         words = [t[0] for t in tokens]
-        ranked = templates.ranked(block)
-        least = ranked[min(RANKED, len(ranked)) - 1][1] if ranked else 0
-        # Those that tie with the last one ranked are compared too.
-        hits = [(hit, name) for name, saved in ranked if saved >= least and (hit := templates.differences(name, words))]
-        for (wrong, n, first, last), name in hits:
-            # Of notices that overlap, the one with the fewest differences counts; of those the longest.
-            if any(o != name and f < last and first < e and (w / m, -m, o) < (wrong / n, -n, name) for (w, m, f, e), o in hits):
-                continue
-            begin, end = a + tokens[first][1], a + tokens[last - 1][2]
-            found.setdefault((name, begin), (name, begin, end, wrong, n))
-    return len(spans), sorted(found.values(), key=lambda x: (x[1], x[0]))
+        index = positions(words)
+        for name, saved in templates.ranked(block):
+            for wrong, n, first, last in templates.places(name, words, index):
+                hits.add((wrong / n, -n, -saved, name, a + tokens[first][1], a + tokens[last - 1][2], wrong))
+    # Of notices that overlap, the one with the fewest differences counts; of those the longest, then the best compressed.
+    taken: list[tuple[int, int]] = []
+    found = []
+    for _, n, _, name, begin, end, wrong in sorted(hits):
+        at = bisect_left(taken, (begin, end))
+        if (at < len(taken) and taken[at][0] < end) or (at and taken[at - 1][1] > begin):
+            continue
+        taken.insert(at, (begin, end))
+        found.append((name, begin, end, wrong, -n))
+    return len(spans), sorted(found, key=lambda x: (x[1], x[0]))
 
 
 def _scanned(batches):
@@ -179,8 +189,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col, n_blocks, licenses``: each row's license notices as (license, begin, end, n_different, n_words).
 
     Lines with a cue and the two after them make a candidate block. Every block is compressed alone and with each
-    license's notices as a raw zstandard dictionary; the licenses that take most bytes off are compared word by word
-    and confirmed if at most a tenth of a notice's words differ. Positions count characters of the text.
+    license's notices as a raw zstandard dictionary, which orders the licenses; all are compared word by word and
+    confirmed at each place where at most a tenth of a notice's words differ. Of places that overlap the best one counts.
+    Positions count characters of the text.
 
     Texts without a cue are told apart by a pattern on the JVM's side and have 0 blocks. Null and empty texts too. Each
     row is scanned by itself, whole, with null and repeated ids passed on. An empty table gives an empty result; other
