@@ -157,6 +157,26 @@ def test_all_licenses_of_a_block():
     assert licenses_in("Released under the MIT License. " * 2) == ["MIT", "MIT"]
 
 
+def test_wrapped_licenses():
+    import re
+    import textwrap
+
+    for name, texts in licenses.NOTICES.items():
+        for t in texts:
+            for width in (12, 20, 40, 70):
+                lines = textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)
+                for mark in ("", "# ", " * "):
+                    assert licenses_in("x = 1\n" + "\n".join(mark + x for x in lines) + "\ny = 2") == [name], (name, width, mark)
+            # Cues in different words: one more than words may differ.
+            n = len(licenses.find_words(t))
+            assert len(re.findall(licenses.CUES, t, re.IGNORECASE)) > int(licenses.MOST_DIFFERENT * n) if n >= 10 else re.search(licenses.CUES, t, re.IGNORECASE), t
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    assert licenses_in(mpl) == ["MPL-2.0"]
+    long = licenses.NOTICES["MIT"][3].split(" ")
+    assert licenses_in("\n".join(["word"] * 900 + long + ["word"] * 900)) == ["MIT"]
+    assert licenses_in("license " * 430 + " ".join(long) + " license" * 900) == ["MIT"]
+
+
 def test_secrets(spark):
     trees = secrets.train_forest(spark)
     held = secrets.labelled_findings(300, 77)

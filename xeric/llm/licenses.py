@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +45,21 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "All-rights-reserved": ("All rights reserved.",),
 }
-CUES = r"licen[cs]|\ball rights reserved\b|public domain|permission (is hereby|to use)|redistribut|creative commons|waived all copyright|\bcc0\b"
-#: Characters of a block; longer runs of cue lines are cut into overlapping blocks.
-BLOCK_CHARS = 3000
+#: Every notice of ten words or more holds one cue more than words of it may differ; between words there may be line ends.
+CUES = (
+    r"licen[cs]|\ball\W+rights\W+reserved\b|public\W+domain|unencumbered|permission\W+(is\b|to\W+use)|redistribut|creative\W+commons|waived|\bcc0\b"
+    r"|extent\W+possible|neighboring\W+rights|source\W+(and\W+binary|code\W+form)|mozilla|without\W+(modification|restriction|limitation|fee\b)|following\W+conditions"
+    r"|free\W+(software|of\W+charge)|general\W+public|later\W+version|any\W+person|obtaining\W+a\W+copy|documentation\W+files|hereby\W+granted|(copyright|permission)\W+notice"
+)
+#: Words of a block; longer runs around cues are cut into blocks that overlap by twice the longest notice.
+BLOCK_WORDS = 500
 #: Largest share of a notice's words that may differ.
 MOST_DIFFERENT = 0.1
 LEVEL = 9
+each_word = re.compile(r"[\w.+-]*\w").finditer
 find_words = re.compile(r"[\w.+-]*\w").findall
+#: Words that the longest notice may take.
+REACH = max(n + int(MOST_DIFFERENT * n) for texts in NOTICES.values() for n in (len(find_words(t)) for t in texts)) + 3
 
 
 class Templates:
@@ -118,27 +126,26 @@ def _places(notice: list[str], words: list[str], index: dict[tuple[str, ...], li
 
 
 def blocks(text: str, cue: re.Pattern) -> list[tuple[int, int]]:
-    """Spans of candidate blocks: lines with a cue and the two lines after it, joined where they meet."""
-    spans: list[list[int]] = []
-    for m in cue.finditer(text):
-        a = text.rfind("\n", 0, m.start()) + 1
-        b = m.end()
-        for _ in range(3):
-            b = text.find("\n", b + 1) if b < len(text) else -1
-            if b < 0:
-                b = len(text)
-                break
-        a, b = max(a, m.start() - BLOCK_CHARS // 2), min(b, m.end() + BLOCK_CHARS // 2)
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(b, spans[-1][1])
+    """Spans of candidate blocks: cues and as many words before and after as a notice takes, joined where they meet."""
+    cues = [m.span() for m in cue.finditer(text)]
+    if not cues:
+        return []
+    words = [m.span() for m in each_word(text)]
+    begins = [a for a, _ in words]
+    runs: list[list[int]] = []
+    for a, b in cues:
+        first, last = bisect_right(begins, a) - 1, bisect_right(begins, b - 1)
+        first, last = max(0, first - REACH), min(len(words), last + REACH)
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = max(last, runs[-1][1])
         else:
-            spans.append([a, b])
+            runs.append([first, last])
     out = []
-    for a, b in spans:
-        while b - a > BLOCK_CHARS:
-            out.append((a, a + BLOCK_CHARS))
-            a += BLOCK_CHARS // 2
-        out.append((a, b))
+    for first, last in runs:
+        while last - first > BLOCK_WORDS:
+            out.append((begins[first], words[first + BLOCK_WORDS - 1][1]))
+            first += BLOCK_WORDS - 2 * REACH
+        out.append((begins[first], words[last - 1][1]))
     return out
 
 
@@ -151,7 +158,7 @@ def scan_text(text: str, templates: Templates, cue: re.Pattern) -> tuple[int, li
     hits = set()
     for a, b in spans:
         block = text[a:b]
-        tokens = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[\w.+-]*\w", block)]
+        tokens = [(m.group().lower(), m.start(), m.end()) for m in each_word(block)]
         words = [t[0] for t in tokens]
         index = positions(words)
         for name, saved in templates.ranked(block):
@@ -188,7 +195,7 @@ def _scanned(batches):
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_blocks, licenses``: each row's license notices as (license, begin, end, n_different, n_words).
 
-    Lines with a cue and the two after them make a candidate block. Every block is compressed alone and with each
+    A cue with the words around it that the longest notice may take makes a candidate block. Every block is compressed alone and with each
     license's notices as a raw zstandard dictionary, which orders the licenses; all are compared word by word and
     confirmed at each place where at most a tenth of a notice's words differ. Of places that overlap the best one counts.
     Positions count characters of the text.
