@@ -221,6 +221,26 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert got == {i: (sum(i in p for p in links), comp[i], comp[i] == i) for i, _ in rows}
 
 
+def test_vectors_of_lone_pairs_beside_a_hot_group(spark):
+    r = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot = unit(np.eye(12)[0] + r.normal(size=(300, 12)) * 0.01)
+    ends = unit(r.normal(size=(300, 12)))
+    others = unit(ends + unit(r.normal(size=(300, 12))) * 0.4)
+    x = np.concatenate([hot, ends, others])
+    truth = (x @ x.T >= 0.9).sum(1) - 1
+    d = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {v["vec_id"]: v["n_links"] for v in vector_dedup.vector_dedup(d, cell=30, routes=1).collect()}
+    lone = [i for i in range(300, 900) if truth[i]]
+    assert len(lone) > 400 and np.mean([got[i] / truth[i] for i in lone]) >= 0.97
+
+
+def test_vectors_are_searched_exactly_where_graphs_miss(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "range_search", lambda x, graph, medoids, queries, threshold: np.zeros((len(queries), len(x)), bool))
+    d = spark.createDataFrame([(i, [1.0, i * 0.01]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert {v["n_links"] for v in vector_dedup.vector_dedup(d).collect()} == {19}
+
+
 def test_vectors_odd_tables(spark):
     assert vector_dedup.vector_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     d = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0])], "vec_id long, embedding array<float>")

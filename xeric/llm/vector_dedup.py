@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,8 @@ MOST_CELLS = 4096
 FIT_SAMPLE = 20_000
 #: Cells that a query is sent to at first; doubled while the audit finds a recall below TARGET.
 ROUTES, TARGET = 4, 0.99
-AUDIT = 256
+#: Vectors audited in the first rounds, and in each later one, until LINKED of them have links or MOST_AUDITED are drawn.
+AUDIT, LINKED, MOST_AUDITED = (256, 1024, 4096), 64, 65_536
 SHARDS, DEGREE, CANDIDATES, ALPHA, BEAM = 4, 24, 64, 1.2, 32
 #: Edges of each point to points at random, as the nearest candidates of a point in a tight group all lie in it.
 FAR_EDGES = 4
@@ -187,19 +190,24 @@ def _assign(centres: np.ndarray, routes: int):
     return run
 
 
-def _search(threshold: float):
-    """The home vectors of one part and one block of queries -> (id, links, low) of queries and of linked home vectors."""
+def _search(threshold: float, exact: bool = False):
+    """The home vectors of one part and one block of queries -> (id, links, pairs, low) of queries and linked home vectors.
+
+    ``links`` counts vectors and ``pairs`` classes.
+    """
 
     def run(pdf):
         import pandas as pd
 
         home, asked = pdf[pdf["home"]].sort_values("id"), pdf[~pdf["home"]].sort_values("id")
-        empty = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "low": np.zeros(0, np.int64)})
+        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "links", "pairs", "low")})
         if not len(home) or not len(asked):
             return empty
         x, queries = np.stack(home["unit"].to_numpy()), np.stack(asked["unit"].to_numpy())
         hid, qid, copies = home["id"].to_numpy(), asked["id"].to_numpy(), home["copies"].to_numpy()
-        found = range_search(x, *build_graph(x), queries, threshold) & (qid[:, None] != hid)
+        found = qid[:, None] != hid
+        if not exact:
+            found &= range_search(x, *build_graph(x), queries, threshold)
         # Each found pair is computed once more, directly, in double precision.
         for a in range(0, len(qid), 256):
             found[a : a + 256] &= queries[a : a + 256] @ x.T >= threshold
@@ -214,26 +222,53 @@ def _search(threshold: float):
             low_q, low_h = new_q, new_h
         touched = found.any(0)
         mine = found.any(1)
-        return pd.DataFrame({"id": np.concatenate([qid[mine], hid[touched]]), "links": np.concatenate([links[mine], np.zeros(int(touched.sum()), np.int64)]), "low": np.concatenate([low_q[mine], low_h[touched]])})
+        none = np.zeros(int(touched.sum()), np.int64)
+        return pd.DataFrame({"id": np.concatenate([qid[mine], hid[touched]]), "links": np.concatenate([links[mine], none]), "pairs": np.concatenate([found.sum(1)[mine], none]), "low": np.concatenate([low_q[mine], low_h[touched]])})
 
     return run
 
 
 def _audit(ids: np.ndarray, queries: np.ndarray, threshold: float):
-    """Batches of (id, copies, unit) -> by brute force, links of the audited vectors in the batch."""
+    """Batches of (id, copies, unit) -> by brute force, classes of the batch that each audited vector links with, if any."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["unit"].to_numpy())
-                hit = (queries @ x.T >= threshold) & (ids[:, None] != pdf["id"].to_numpy())
-                yield pd.DataFrame({"id": ids, "truth": hit @ pdf["copies"].to_numpy()})
+                x, own = np.stack(pdf["unit"].to_numpy()), pdf["id"].to_numpy()
+                n = np.concatenate([((queries[a : a + 256] @ x.T >= threshold) & (ids[a : a + 256, None] != own)).sum(1) for a in range(0, len(ids), 256)])
+                yield pd.DataFrame({"id": ids[n > 0], "truth": n[n > 0]})
 
     return run
 
 
+def audited(classes: DataFrame, total: int, threshold: float) -> dict[int, int]:
+    """For vectors drawn at random that have links, the classes they link with, by brute force against all."""
+    truth: dict[int, int] = {}
+    span, low, drawn, turn = 1 << 31, 0, 0, 0
+    at = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(span))
+    while low < span and len(truth) < LINKED and drawn < MOST_AUDITED:
+        high = min(span, low + -(-AUDIT[min(turn, len(AUDIT) - 1)] * span // total))
+        some = classes.filter((at >= low) & (at < high)).select("id", "unit").collect()
+        low, turn, drawn = high, turn + 1, drawn + len(some)
+        if some:
+            ids, x = np.array([r[0] for r in some]), np.array([r[1] for r in some])
+            counts = classes.mapInPandas(_audit(ids, x, threshold), "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
+            truth |= {r[0]: r[1] for r in counts.collect()}
+    if low < span and len(truth) < LINKED:
+        warnings.warn(f"vector_dedup: of {drawn} audited vectors only {len(truth)} have links, so its recall is tested on these alone", stacklevel=2)
+    return truth
+
+
+def recall(truth: dict[int, int], got: dict[int, int]) -> float:
+    """The mean share found of a vector's links, or the share of all links if that is less."""
+    if not truth:
+        return 1.0
+    hits = {i: min(got.get(i, 0), n) for i, n in truth.items()}
+    return min(sum(hits[i] / n for i, n in truth.items()) / len(truth), sum(hits.values()) / sum(truth.values()))
+
+
 def _neighbours(classes: DataFrame, total: int, threshold: float, cell: int, part: int, routes: int, target: float) -> DataFrame:
     """(id, links, low) rows for classes (id, copies, unit) of one dimension."""
     at = F.xxhash64(F.lit(SEED), "id")
@@ -241,10 +276,9 @@ def _neighbours(classes: DataFrame, total: int, threshold: float, cell: int, par
     x = np.array([r[0] for r in sample.select("unit").orderBy("unit").collect()])
     k = min(MOST_CELLS, max(1, -(-total // cell)))
     centres = spherical_kmeans(x, k)
-    audit = classes.select("id", "unit").orderBy(F.xxhash64(F.lit(SEED + 1), "id"), "id").limit(AUDIT).collect()
-    audit_ids, audit_x = np.array([r[0] for r in audit]), np.array([r[1] for r in audit])
-    truth = classes.mapInPandas(_audit(audit_ids, audit_x, threshold), "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
-    truth = {r[0]: r[1] for r in truth.collect()}
+    truth = audited(classes, total, threshold)
+    ids = classes.sparkSession.createDataFrame([(int(i),) for i in truth], "id long")
+    exact = False
     kind = "id long, copies long, unit array<double>, cell int, rank int"
     while True:
         routed = materialise(classes.mapInPandas(_assign(centres, routes), kind), "vector-cells")
@@ -255,14 +289,14 @@ def _neighbours(classes: DataFrame, total: int, threshold: float, cell: int, par
         block = F.pmod(F.xxhash64(F.lit(SEED + 3), "id"), blocks).cast("int")
         home = rows.filter("rank = 0 and n_home > 0").select("id", "copies", "unit", "cell", own.alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("home"))
         asked = rows.select("id", "copies", "unit", "cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), block.alias("block"), F.lit(False).alias("home"))
-        found = home.unionByName(asked).groupBy("cell", "part", "block").applyInPandas(_search(threshold), "id long, links long, low long")
+        found = home.unionByName(asked).groupBy("cell", "part", "block").applyInPandas(_search(threshold, exact), "id long, links long, pairs long, low long")
         found = materialise(found, "vector-links")
-        got = found.join(F.broadcast(classes.sparkSession.createDataFrame([(int(i),) for i in audit_ids], "id long")), "id").groupBy("id").agg(F.sum("links").alias("n"))
+        got = found.join(F.broadcast(ids), "id").groupBy("id").agg(F.sum("pairs").alias("n"))
         got = {r[0]: r[1] for r in got.collect()}
-        wanted = sum(truth.values())
-        recall = sum(min(got.get(i, 0), n) for i, n in truth.items()) / wanted if wanted else 1.0
-        if recall >= target or routes >= k:
+        if exact or recall(truth, got) >= target:
             return found
+        # With all cells asked, the graphs are what misses links.
+        exact = routes >= k
         routes *= 2
 
 
@@ -274,8 +308,10 @@ def vector_dedup(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
     side. In each group the home vectors get a flat graph (overlapping shards, robust-pruned, lists united), the
     queries walk it from the shards' medoids, and found pairs are computed again directly. A query asks its ``routes``
     nearest cells; a link counts in the one cell where the other vector is at home. The recall is audited by brute force
-    on 256 vectors against all, and ``routes`` doubled until it reaches ``target`` or all cells are asked. Groups give
-    out counts and the smallest id reached, never pairs.
+    against all, as the mean over vectors that have links, copies counted once: vectors are drawn until 64 with links are
+    found or 65,536 are drawn (a warning tells of fewer). ``routes`` is doubled until the recall reaches ``target``; where
+    all cells are asked and it is still missed, the cells are searched exactly. Groups give out counts and the smallest
+    id reached, never pairs.
 
     Returns ``id_col, n_links, component_id, kept`` per row. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing; so do rows with a null id, and vectors of different lengths with each
