@@ -195,6 +195,27 @@ def test_secrets(spark):
     assert secrets.secret_scan(spark.createDataFrame([], SCHEMA), trees=trees).collect() == []
 
 
+def test_secrets_in_short_values_and_in_parts_of_words(spark):
+    key, other = "x9Kf3mQz7Lp2Vt8Rw4Yb6Nc1", "q7Zt2Wm9Xc4Vb6Nk1Lp8Rs3D"
+    rows = [
+        (1, "the password = hunter2hunter and"),
+        (2, "the secret: Tr0ub4dor-99 and"),
+        (3, 'so {"api_key":"' + key + '","path":"/usr/local/share/data"} then'),
+        (4, f"see https://example.com/page?token={key}&page=home_page_of_site then"),
+        (5, f'so {{"token":"{key}","secret":"{other}"}} then'),
+        (6, "token = qWmZxKvPrTyBnLsDfGhJcXeR then"),
+        (7, "an internationalisation of counterrevolutionaries"),
+    ]
+    out = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = {r["doc_id"]: [x["word"] for x in r["secrets"]] for r in out}
+    candidates = {r["doc_id"]: r["n_candidates"] for r in out}
+    assert candidates[1] == candidates[2] == candidates[6] == 1
+    assert words[2] == ["Tr0ub4dor-99"] and len(words[6]) == 1
+    assert len(words[3]) == 1 and key in words[3][0] and len(words[4]) == 1 and key in words[4][0]
+    assert len(words[5]) == 2 and key in words[5][1] + words[5][0] and other in words[5][0] + words[5][1]
+    assert words[7] == [] and candidates[7] == 2
+
+
 def brute_links(rows, t=0.9):
     good = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and np.abs(v).max() > 0}
     links = []

@@ -20,6 +20,10 @@ TOKEN = "[A-Za-z0-9+/_.=-]"
 #: Words that name a secret, and words that name something else that looks like one.
 SECRET_CUES = "token|secret|passw|pwd|api[_-]?key|apikey|auth|bearer|credential|private|access[_-]?key|aws|client[_-]?key|signing"
 OTHER_CUES = "sha|md5|commit|checksum|digest|hash|uuid|guid|revision|build|version|isbn|order|invoice|tracking|etag|rev|phone|card|account|serial|image|file|path|url|http"
+#: Names of values that may be short, and where a word ends one value and begins the next.
+NAMES = r"(?i)(passw\w*|pwd|secret\w*|\w*token|api_?key|access_?key|auth\w*)[\"']?"
+LONG = r"[A-Za-z0-9+/_=-]{16,}"
+BETWEEN = r"[,;&?{}()\[\]|<>]++(?!$)|(?<=[A-Za-z0-9+/_=-]{16})(?<=[0-9][A-Za-z+/_=-]{0,15})[^A-Za-z0-9+/_.=-]++(?!$)"
 #: Common English words and parts of names; a candidate made of them is no random string.
 DICTIONARY = (
     "the and for that with this from have not are was but they his her you all one out about who get which when make can like time just him know take people into year your good some could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most"
@@ -70,7 +74,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     names = ["token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "aws_secret_access_key", "TOKEN", "API_KEY", "SECRET_KEY", "Authorization:"]
 
     def secret() -> str:
-        return r.choice([lambda: of(hexes, r.choice((32, 40, 40, 64))), lambda: of(hexes.upper(), 40), lambda: of(alnum, r.randint(20, 48)), lambda: of(b64, 40), lambda: "AKIA" + of(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + of(alnum, 36), lambda: "sk_live_" + of(alnum, 24), lambda: "eyJ" + of(alnum, 30) + "." + of(alnum, 40), lambda: of(alnum + "!", 12)])()
+        return r.choice([lambda: of(hexes, r.choice((32, 40, 40, 64))), lambda: of(hexes.upper(), 40), lambda: of(alnum, r.randint(20, 48)), lambda: of(b64, 40), lambda: "AKIA" + of(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + of(alnum, 36), lambda: "sk_live_" + of(alnum, 24), lambda: "eyJ" + of(alnum, 30) + "." + of(alnum, 40), lambda: of(alnum + "!", 12), lambda: of(string.ascii_letters, r.randint(20, 40)), lambda: of(alnum, r.randint(8, 15)), lambda: of(string.ascii_lowercase, r.randint(3, 7)) + of(string.digits, r.randint(1, 3)) + of(string.ascii_lowercase + "!-", r.randint(4, 7))])()
 
     def positive() -> tuple[str, str, str]:
         s, name = secret(), r.choice(names)
@@ -85,7 +89,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
 
     def negative() -> tuple[str, str, str]:
         glue = lambda k: "".join(prose() for _ in range(k))
-        kind = r.randrange(12)
+        kind = r.randrange(16)
         tail = r.choice(["", "", ",", ".", "###", "!!", "$$$"])
         if kind == 0:
             return r.choice(["commit", "Merge commit", "sha1 :", "rev =", "git revision"]), of(hexes, 40) + tail, prose()
@@ -108,6 +112,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
             return f"{prose()} {prose()}", "".join(prose().capitalize() for _ in range(4)) + str(r.randint(1, 99)) + tail, prose()
         if kind == 10:
             return f"{prose()} {prose()}", f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}" + tail, prose()
+        if kind == 11:
+            return f"{prose()} {prose()}", r.choice([glue(5), "_".join(prose() for _ in range(5)), "/" + "/".join(prose() for _ in range(5)), "".join(prose().capitalize() for _ in range(5))]) + tail, prose()
+        if kind == 12:
+            return f"{prose()} {r.choice(names)}{r.choice([':', ' =', ' :'])}", r.choice([glue(2), glue(3), "_".join(prose() for _ in range(3)), "required", "get_" + prose() + "_value"]) + tail, prose()
+        if kind == 13:
+            return f"{prose()} {prose()}", f'"{prose()}":"' + r.choice([glue(4), "/" + "/".join(prose() for _ in range(4)), f"https://{glue(2)}.com/{prose()}"]) + '"' + tail, prose()
+        if kind == 14:
+            return f"{prose()} {prose()}", f"https://{glue(2)}.com/{prose()}/{prose()}_{prose()}" + tail, prose()
         return r.choice(["version", "build", "release"]), f"{r.randint(1, 30)}.{r.randint(0, 20)}.{r.randint(0, 20)}-{prose()}.{r.randint(1000, 99999)}" + tail, prose()
 
     return [(*positive(), 1) for _ in range(n)] + [(*negative(), 0) for _ in range(n)]
@@ -122,19 +134,26 @@ def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, int]]
 
 
 def secret_findings(docs: DataFrame, trees: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, word, score): every candidate of every text; ``at`` is the number of the word in its text.
+    """(id, at, word, score): every candidate of every text; ``at`` is the number of its word in the text.
 
-    A candidate is a word that holds 16 token characters in a row and a digit, or assigns 8 characters or more to a name
-    like password, or stands in the first line of a private key.
+    A candidate is a part of a word that holds 16 token characters in a row, or 8 characters or more assigned to a name
+    like password in the word or in those before; or a word in the first line of a private key. Words are cut into parts
+    where one value ends and the next begins, as in JSON without blanks or a query; if no part is one, the word may be.
     """
     words = docs.select(F.col(id_col).alias("id"), F.split(text_of(text_col), r"[\x20\x09-\x0D]+").alias("words"))
-    long = r"[A-Za-z0-9+/_=-]{16,}"
-    named = r"(?i)(passw\w*|pwd|secret\w*|token|api_?key)[\"']?[:=][\"']?[^\s\"']{8,}"
-    numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-    unnamed = lambda w: (F.length(w) >= 16) & w.rlike(long) & w.rlike("[0-9]")
-    assigned = lambda w: (F.length(w) >= 12) & w.rlike("[:=]") & w.rlike(named)
-    picked = F.filter(numbered, lambda x: unnamed(x["word"]) | assigned(x["word"]) | (x["word"] == "PRIVATE"))
-    found = words.select("id", "words", F.explode(picked).alias("c"))
+    named = NAMES + r"[:=][\"']?[^\s\"']{8,}"
+    get = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    follows = lambda i: F.concat_ws(" ", get(i - 2), get(i - 1)).rlike(NAMES + r"\s*[:=]+$")
+    alone = lambda w: ((F.length(w) >= 16) & w.rlike(LONG)) | ((F.length(w) >= 12) & w.rlike("[:=]") & w.rlike(named))
+
+    def parts(w: Column, i: Column) -> Column:
+        cut = F.split(w, BETWEEN)
+        own = F.filter(cut, lambda x, k: alone(x) | ((k == 0) & (F.length(x) >= 8) & follows(i)))
+        whole = F.when(alone(w) | follows(i), F.array(w)).otherwise(F.array().cast("array<string>"))
+        return F.when(w == "PRIVATE", F.array(w)).when(F.length(w) < 8, F.array().cast("array<string>")).when(F.size(own) > 0, own).otherwise(whole)
+
+    numbered = F.transform("words", lambda w, i: F.transform(parts(w, i), lambda x: F.struct(i.alias("at"), x.alias("word"))))
+    found = words.select("id", "words", F.explode(F.flatten(numbered)).alias("c"))
     at = F.col("c.at")
     word = lambda k: F.coalesce(F.get("words", at + F.lit(k)), F.lit(""))
     before = F.concat_ws(" ", word(-2), word(-1))
