@@ -111,3 +111,33 @@ def test_digests_of_registered_queries(spark, tmp_path):
     assert {i: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for i, r in got.items()} == {i: (a, b, sha(c)) for i, (a, b, c) in drop_lines([(r[0], r[1]) for r in rows]).items()}
     got = {r["doc_id"]: r["text_sha256"] for r in exact_dedup.op2_exact_dedup(spark, str(tmp_path)).collect()}
     assert got == {r[0]: sha((r[1] or "").translate(LOWER)) for r in rows}
+
+
+def test_exact_dedup_keeps_rows_of_one_id_apart(spark):
+    rows = [(1, "aa"), (1, "bb"), (2, "aa"), (None, "bb2"), (None, "aa"), (3, "cc")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, exact_dedup.exact_dedup(d, digests=True).collect()), key=str)
+    want = [(1, 2, 3, False, sha("aa")), (1, 1, 1, True, sha("bb")), (2, 2, 3, True, sha("aa")), (None, None, 1, True, sha("bb2")), (None, 2, 3, False, sha("aa")), (3, 3, 1, True, sha("cc"))]
+    assert got == sorted(want, key=str)
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    line = "y" * 45
+    rows = [(i, line, i, i + 1, i + 2, i + 3) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _ld_gone int, _ld_id int, _LD_lines int, _ld_dropped int")
+    out = line_dedup.line_dedup(d)
+    assert out.columns == [*d.columns, "_ld___lines", "_ld___dropped"]
+    got = sorted(map(tuple, out.collect()))
+    assert got == [(i, line if i == 5 else "", i, i + 1, i + 2, i + 3, 1, int(i < 5)) for i in range(6)]
+
+
+def test_line_runs_are_merged_without_shuffles_or_sorts(spark):
+    runs = line_dedup.LineRuns(spark, fan_in=3)
+    for k in range(2):
+        runs.add(spark.createDataFrame([(i, i, k) for i in range(k, 50)], "h1 long, h2 long, id long"))
+    with line_dedup.sorted_buckets(spark):
+        plan = runs._merge(runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    got = {r["h1"]: (r["n_docs"], r["keeper"], r["first_seen"]) for r in runs._merge(runs.runs()).collect()}
+    assert got == {i: (1 + (i > 0), 0, True) for i in range(50)}
+    runs.drop(runs.runs())

@@ -23,7 +23,7 @@ def test_stages_take_effect(spark, tmp_path, monkeypatch):
     clean, lines, kept = get(0), get(1), get(2)
     assert sum(i >= 5000 for i in clean) <= 2 and sum(i < 5000 for i in clean) >= len(rows) - 3
     assert lines == {i: x[2] for i, x in drop_lines(list(clean.items())).items()}
-    comps = near_components(list(lines.items()))
+    comps = near_components(list(lines.items()), percent=80)
     assert set(kept) == {i for i, (_, c) in comps.items() if c == i}
     mixed = outs[3][1]
     assert all(o.columns == spark.read.parquet(str(tmp_path / "documents.parquet")).columns for _, o in outs[:4])

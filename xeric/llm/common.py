@@ -37,9 +37,38 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that materialise wrote and that nothing still to be computed reads."""
+    for t in tables:
+        path = t.__dict__.get("_scratch_path")
+        if path:
+            target = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_stem(columns: list[str], stem: str) -> str:
+    """``stem``, with underscores added until no column's name begins with it, upper and lower case being the same."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(stem.lower()) for c in taken):
+        stem += "_"
+    return stem
+
+
+def share_file(spark: SparkSession, data: bytes, stem: str) -> str:
+    """Put bytes into the shared folder and send them to all executors as a Spark file; returns its name for SparkFiles."""
+    name = f"{stem}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/xeric/{name}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addFile(target.toString())
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z only; every other character stays, so lengths in bytes stay too."""
     return F.translate(c, UPPER, LOWER)
@@ -59,5 +88,29 @@ def attach(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> Da
     return left.join(r, left[key].eqNullSafe(r["_right_key"]), how).drop("_right_key")
 
 
+#: Keys that hold at least this share of all rows are joined by broadcast: there can be no more of them than 1 / share.
+HOT_SHARE = 1 / 1024
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", count: str | None = None) -> DataFrame:
+    """left.join(right, keys, how), where right has one row per key and a few keys may hold most rows of left.
+
+    Rows of hot keys meet their at most 1024 rows of right by broadcast, where they lie; the others are shuffled. With
+    ``count``, a column of right (and of the result) that says how many rows of left a key has, nothing is counted
+    anew. Both sides should be cheap to read twice, as tables are. Key columns without null only.
+    """
+    least = max(2, int(left.count() * HOT_SHARE))
+    if count:
+        hot = right.filter(F.col(count) >= least).select(*keys)
+    else:
+        hot = left.groupBy(*keys).count().filter(F.col("count") >= least).select(*keys)
+    hot = materialise(hot, "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
+    some = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
+    return left.join(hot, keys, "left_anti").join(right, keys, how).unionByName(some)
+
+
 def parallel_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, materialise, read_table, text_of
+from .common import BLANKS, ascii_lower, discard, free_stem, join_skewed, materialise, parallel_tasks, read_table, scratch_root, text_of
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -20,56 +22,90 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Let scans of bucketed tables say that each bucket, being one file, is sorted; joins then merge without a sort."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
-    """Sorted runs of (h1, h2, n_docs, keeper) by level, as Parquet tables in the shared folder.
+    """Sorted runs of (h1, h2, n_docs, keeper, first_seen) by level, as bucketed tables in the shared folder.
 
     A batch holds rows (h1, h2, id), one for each document and line key, and batches come in falling order of id. Each
-    is first merge-anti-joined with the runs: a key that they lack is new, and the batch's largest id with it keeps it.
+    is first merge-anti-joined with every run: a key that they lack is new, and the batch's largest id with it keeps it.
     Then the batch adds its own run: new keys with their keeper, known keys with a count alone. Once a level has
     ``fan_in`` runs they are compacted into one of the next level, so a key is rewritten at most log(batches) times.
-    Rows are sorted by hash within hash partitions, so each join and compaction is a merge of sorted runs.
+    Runs are bucketed by hash and sorted within buckets, one file each: a join with a run, or of two, neither shuffles
+    nor sorts it. Only a batch is shuffled, once, after its keys are counted where they lie.
     """
 
-    def __init__(self, fan_in: int = FAN_IN) -> None:
-        self.fan_in = fan_in
+    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN) -> None:
+        self.spark, self.fan_in = spark, fan_in
+        self.buckets = parallel_tasks(spark)
         self.levels: list[list[DataFrame]] = []
 
-    @staticmethod
-    def _sorted(run: DataFrame, name: str) -> DataFrame:
-        return materialise(run.sortWithinPartitions("h1", "h2"), name)
+    def _sorted(self, run: DataFrame, level: int) -> DataFrame:
+        name = f"xeric_line_run_{level}_{uuid.uuid4().hex}"
+        path = f"{scratch_root(self.spark)}/xeric/{name}"
+        # Rows lie by hash(h1, h2) already, as they come from a count or a join by them, so each bucket is in one task.
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_name = path, name
+        return out
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def drop(self, runs: list[DataFrame]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run._scratch_name}")
+        discard(*runs)
+
     def add(self, batch: DataFrame) -> None:
         own = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
-        if known := self.runs():
-            keys = reduce(DataFrame.unionAll, [run.filter("first_seen").select("h1", "h2") for run in known]).withColumn("known", F.lit(True))
-            own = own.join(keys, ["h1", "h2"], "left").withColumn("first_seen", F.col("known").isNull()).drop("known")
-        else:
-            own = own.withColumn("first_seen", F.lit(True))
-        own = own.withColumn("keeper", F.when(F.col("first_seen"), F.col("keeper")))
-        self._place(self._sorted(own, "line-run-0"), 0)
+        known = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            keys = run.filter("first_seen").select("h1", "h2", F.lit(True).alias(f"known_{i}"))
+            own = own.join(keys.hint("merge"), ["h1", "h2"], "left")
+            known = known | F.col(f"known_{i}").isNotNull()
+        own = own.select("h1", "h2", "n_docs", F.when(~known, F.col("keeper")).alias("keeper"), (~known).alias("first_seen"))
+        with sorted_buckets(self.spark):
+            self._place(self._sorted(own, 0), 0)
 
     def _place(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fan_in:
-            merged = self._merge(self.levels[level])
-            self.levels[level] = []
-            self._place(self._sorted(merged, f"line-run-{level + 1}"), level + 1)
+            old, self.levels[level] = self.levels[level], []
+            merged = self._sorted(self._merge(old), level + 1)
+            self.drop(old)
+            self._place(merged, level + 1)
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
-        both = reduce(DataFrame.unionAll, runs)
-        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("first_seen").alias("first_seen"))
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.select("h1", "h2", *[F.col(c).alias(f"_{c}") for c in ("n_docs", "keeper", "first_seen")])
+            both = a.join(b.hint("merge"), ["h1", "h2"], "full")
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n_docs", F.lit(0))
+            seen = F.coalesce("first_seen", F.lit(False)) | F.coalesce("_first_seen", F.lit(False))
+            # A key is new in one run only, which names its keeper.
+            return both.select("h1", "h2", n.alias("n_docs"), F.coalesce("keeper", "_keeper").alias("keeper"), seen.alias("first_seen"))
+
+        return reduce(two, runs)
 
     def frequent(self, min_docs: int) -> DataFrame:
-        return self._merge(self.runs()).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+        with sorted_buckets(self.spark):
+            return materialise(self._merge(self.runs()).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper", "n_docs"), "line-frequent")
 
 
-def _drop_lines(text_at: int, width: int):
+def _drop_lines(text_at: int, width: int, dropped_name: str):
     """For Arrow batches of ``width`` columns, n_lines and gone: texts lose the lines at the positions in gone."""
 
     def run(batches):
@@ -77,7 +113,7 @@ def _drop_lines(text_at: int, width: int):
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            touched = table.column("_ld_gone").is_valid()
+            touched = table.column(width + 1).is_valid()
             whole, changed = table.filter(pa.compute.invert(touched)), table.filter(touched)
             for part, cut in ((whole, False), (changed, True)):
                 if not part.num_rows:
@@ -86,12 +122,12 @@ def _drop_lines(text_at: int, width: int):
                 columns = part.columns[: width + 1]
                 if cut:
                     kept, dropped = [], []
-                    for body, gone in zip(part.column(text_at).to_pylist(), part.column("_ld_gone").to_pylist(), strict=True):
+                    for body, gone in zip(part.column(text_at).to_pylist(), part.column(width + 1).to_pylist(), strict=True):
                         out = set(gone)
                         kept.append("\n".join(x for i, x in enumerate(body.split("\n")) if i not in out))
                         dropped.append(len(out))
                     columns[text_at], counts = pa.chunked_array([pa.array(kept, part.schema.field(text_at).type)]), pa.array(dropped, pa.int64())
-                names = [*part.schema.names[: width + 1], "_ld_dropped"]
+                names = [*part.schema.names[: width + 1], dropped_name]
                 yield from pa.table([*columns, counts], names=names).to_batches()
 
     return run
@@ -102,13 +138,15 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     A key is the line without white space at both ends, A-Z lower-cased; keys of under ``min_chars`` code points are
     never dropped. Keys are compared by 128 bits of hash. Returns the rows of ``docs`` with the remaining lines as text
-    (of which null and empty texts have one, empty, which stays), and ``_ld_lines`` and ``_ld_dropped``, the lines that
-    each had and lost.
+    (of which null and empty texts have one, empty, which stays), and two last columns ``_ld_lines`` and ``_ld_dropped``,
+    the lines that each had and lost. If a column's name begins with ``_ld``, those two begin with ``_ld_`` and more
+    underscores; all columns of ``docs`` pass through, whatever their names.
 
     A key that a document holds twice counts once, and its keeper keeps each of its lines. Rows that repeat an id count
     as one document with all their lines, and what is lost is lost at that line of each. A null id ranks below every
-    other. An empty table gives an empty result; other columns pass through, whatever their names. Ids are numbers.
+    other. Texts of any length are split whole. An empty table gives an empty result. Ids are numbers.
     """
+    stem = free_stem(docs.columns, "_ld")
     base = docs.withColumn(text_col, text_of(text_col))
     ids = docs.select(F.col(id_col).alias("id"))
     bounds = []
@@ -122,18 +160,18 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         .select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), number.alias("batch"))
     )
     lines = materialise(lines, "lines", "batch")
-    runs = LineRuns(fan_in)
+    runs = LineRuns(docs.sparkSession, fan_in)
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i).select("h1", "h2", "id").distinct())
-    frequent = materialise(runs.frequent(min_docs), "line-frequent")
-    gone = lines.join(frequent, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keeper")))
-    gone = gone.groupBy("id").agg(F.collect_set("pos").alias("_ld_gone"))
+    frequent = runs.frequent(min_docs)
+    runs.drop(runs.runs())
+    gone = join_skewed(lines.select("id", "pos", "h1", "h2"), frequent, ["h1", "h2"], count="n_docs").filter(~F.col("id").eqNullSafe(F.col("keeper")))
+    gone = gone.groupBy("id").agg(F.collect_set("pos").alias(f"{stem}_gone")).withColumnRenamed("id", f"{stem}_id")
     count = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
-    base = base.withColumn("_ld_lines", count.cast("long"))
-    g = gone.withColumnRenamed("id", "_ld_id")
-    joined = base.join(g, base[id_col].eqNullSafe(g["_ld_id"]), "left").drop("_ld_id")
-    schema = base.schema.add("_ld_dropped", "long")
-    return joined.mapInArrow(_drop_lines(docs.columns.index(text_col), len(docs.columns)), schema)
+    base = base.withColumn(f"{stem}_lines", count.cast("long"))
+    joined = base.join(gone, base[id_col].eqNullSafe(gone[f"{stem}_id"]), "left").drop(f"{stem}_id")
+    schema = base.schema.add(f"{stem}_dropped", "long")
+    return joined.mapInArrow(_drop_lines(docs.columns.index(text_col), len(docs.columns), f"{stem}_dropped"), schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
