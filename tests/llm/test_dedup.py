@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from plain import LOWER, SCHEMA, documents, drop_lines, near_components, sha
 
@@ -141,3 +142,47 @@ def test_line_runs_are_merged_without_shuffles_or_sorts(spark):
     got = {r["h1"]: (r["n_docs"], r["keeper"], r["first_seen"]) for r in runs._merge(runs.runs()).collect()}
     assert got == {i: (1 + (i > 0), 0, True) for i in range(50)}
     runs.drop(runs.runs())
+
+
+def test_minhash_parts_documents_that_share_a_passage(spark, monkeypatch):
+    """A large bucket of unlike documents is dealt by rare shingles: few rows meet, and no link is lost."""
+    import random
+
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        own = [f"n{i // 2}_{k}" for k in range(30)]
+        if i % 2:
+            own[-1] = "changed"
+        rows.append((i, " ".join(passage + own)))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    dealt = []
+    whole = minhash._by_rare_shingles
+    monkeypatch.setattr(minhash, "_by_rare_shingles", lambda *a: dealt.append((a[0].count(), (out := whole(*a)).count())) or out)
+    want = near_components(rows)
+    assert len({c for _, c in want.values()}) == 60
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()}
+    assert got == want
+    assert dealt[0][0] > 100 and dealt[0][1] < dealt[0][0] / 4
+
+
+def test_prefixes_of_similar_sets_meet():
+    import pyarrow as pa
+
+    class Shared:
+        value = (np.array([3, 7], np.int64), np.array([9, 2], np.int64))
+
+    r = np.random.default_rng(2)
+    base = np.arange(40)
+    sets = [np.sort(np.concatenate([r.choice(base, 34, replace=False), 100 + r.choice(9, 3, replace=False)])).astype(np.int64) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"])
+    keys = {}
+    for out in minhash._prefixes(Shared, 800_000)([batch]):
+        for i, k in zip(out.column("id").to_pylist(), out.column("key").to_pylist(), strict=True):
+            keys.setdefault(i, set()).add(k)
+    for i in range(60):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if 5 * len(a & b) >= 4 * len(a | b):
+                assert keys[i] & keys[j]

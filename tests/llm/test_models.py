@@ -109,6 +109,34 @@ def test_mixing_odd_tables(spark):
     assert len(got) == 5 and all(r["taken"] == 0 for r in got if r["source"] == "z")
 
 
+def test_mixing_of_sources_smaller_than_a_block(spark):
+    d = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    assert [r["target"] for r in got] == [4.5] and got[0]["taken"] in (3, 6)  # half of its size from the target
+    rows = [(i, "w " * n, f"s{i}") for i, n in enumerate((1, 3, 7, 400, 500, 600))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= (r["size"] / 2 if r["size"] < 16 else 8 + 15 + 1), r
+
+
+def test_mixed_documents_with_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "a b c " * 30, "s", 5, 6, 7), (1, "d e " * 40, "s", 8, 9, 10), (1, "f g h " * 50, None, 11, 12, 13), (None, "i j " * 20, "t", 14, 15, 16), (2, None, "t", 1, 2, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_size int, _mix_id int, last int")
+    plan, taken = mixing.mix(d).collect(), {}
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns
+    for r in out.collect():
+        taken[r["_mix_size"]] = taken.get(r["_mix_size"], 0) + len(r["text"].split())
+        assert (r["_mix_id"], r["last"]) == (r["_mix_size"] + 1, r["_mix_size"] + 2)
+    assert sorted(taken.values()) == sorted(r["taken"] for r in plan if r["taken"])
+
+
+def test_scores_beside_a_column_of_that_name(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = toxicity.scored(spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, _tox_score int"), none)
+    assert [tuple(r) for r in out.collect()] == [(1, "a", 7, 0.0)] and len(set(out.columns)) == 4
+
+
 def test_highest_quotients(spark):
     r = random.Random(5)
     for seats in (0, 1, 7, 100):

@@ -88,28 +88,29 @@ def attach(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> Da
     return left.join(r, left[key].eqNullSafe(r["_right_key"]), how).drop("_right_key")
 
 
-#: Keys that hold at least this share of all rows are joined by broadcast: there can be no more of them than 1 / share.
+#: Keys that hold at least this share of all rows are salted: there can be no more of them than 1 / share.
 HOT_SHARE = 1 / 1024
 
 
 def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", count: str | None = None) -> DataFrame:
     """left.join(right, keys, how), where right has one row per key and a few keys may hold most rows of left.
 
-    Rows of hot keys meet their at most 1024 rows of right by broadcast, where they lie; the others are shuffled. With
-    ``count``, a column of right (and of the result) that says how many rows of left a key has, nothing is counted
-    anew. Both sides should be cheap to read twice, as tables are. Key columns without null only.
+    Rows of a hot key are dealt by a hash into parts of at most 1 / 1024 of all rows, and its row of right goes to each
+    part. Only the at most 1024 hot keys are broadcast. With ``count``, a column of right (and of the result) that says
+    how many rows of left a key has, nothing is counted anew. Both sides should be cheap to read twice, as tables are.
+    Key columns without null only.
     """
     least = max(2, int(left.count() * HOT_SHARE))
-    if count:
-        hot = right.filter(F.col(count) >= least).select(*keys)
-    else:
-        hot = left.groupBy(*keys).count().filter(F.col("count") >= least).select(*keys)
-    hot = materialise(hot, "hot-keys")
+    hot = right if count else left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    n = F.col(count or "_n")
+    hot = materialise(hot.filter(n >= least).select(*keys, F.ceil(n / least).cast("int").alias("_parts")), "hot-keys")
     if hot.isEmpty():
         return left.join(right, keys, how)
     hot = F.broadcast(hot)
-    some = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
-    return left.join(hot, keys, "left_anti").join(right, keys, how).unionByName(some)
+    parts = F.coalesce("_parts", F.lit(1))
+    a = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
 def parallel_tasks(spark: SparkSession) -> int:

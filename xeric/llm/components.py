@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 MAX_ROUNDS = 60
 
@@ -21,12 +21,13 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     state = None
     for _ in range(MAX_ROUNDS):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v"), F.col("m"), F.col("u"))
-        pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        edges = materialise(pairs.filter("u <> v").distinct(), name)
+        # Minima are written, so that both sides of each join are plain shuffles, whose hot hubs Spark splits.
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
+        large = materialise(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, edges = edges, materialise(small.unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), name)
+        discard(last, least, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, WORD, attach, materialise, read_table, text_of
+from .common import LOWER_TABLE, WORD, attach, discard, join_skewed, materialise, read_table, text_of
 from .components import connected_components
 from .token_counts import slices
 
@@ -24,6 +24,8 @@ MISS = 1e-6
 BLOCK = 384
 #: Ids of candidates that are broadcast to pick their texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Shingles of large buckets whose frequency orders their sets (16 bytes each, sent to all tasks).
+COMMON = 65_536
 SLICE_CHARS = 3_000_000
 REMEMBER = 500_000
 
@@ -361,9 +363,70 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, base: DataFrame, words: int, th
     """The pairs whose full sets reach the threshold."""
     involved = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     sets = _full_sets(involved, nodes, base, words, name)
-    j = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    j = j.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    return materialise(j.mapInArrow(_verified(round(threshold * 1_000_000)), "a long, b long"), name)
+    j = join_skewed(pairs, sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), ["a"])
+    j = j.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    out = materialise(j.mapInArrow(_verified(round(threshold * 1_000_000)), "a long, b long"), name)
+    discard(sets)
+    return out
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, component) of keys that hold several components, with each key's rows as ``m``."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
+    return join_skewed(rows, materialise(keys.filter("lo <> hi").select("key", "m"), "minhash-mixed"), ["key"], count="m").select("key", "id", "component", "m")
+
+
+def _hashes(batches):
+    """Batches of (id, hashes) -> every hash of every set."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for x in batch.column("hashes").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["h"])
+
+
+def _prefixes(shared, threshold_ppm: int):
+    """Batches of (id, hashes) -> (id, key): of each set the rarest hashes, one of which any set so similar holds too.
+
+    Sets with a share t of their union in common share at least t n hashes of the n of either. So under one order of all
+    hashes the first n - ceil(t n) + 1 of both have one in common.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        common, often = shared.value
+        for batch in batches:
+            ids, keys = [], []
+            for i, x in zip(batch.column("id").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                s = np.frombuffer(x, np.int64)
+                k = len(s) + 1 + -threshold_ppm * len(s) // 1_000_000
+                at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
+                rank = np.where(common[at] == s, often[at], 0) if len(common) else np.zeros(len(s))
+                keys.append(s[np.lexsort((s, rank))[:k]])
+                ids.append(np.full(len(keys[-1]), i))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["id", "key"])
+
+    return run
+
+
+def _by_rare_shingles(rows: DataFrame, nodes: DataFrame, base: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Rows (key, id, component, m) of large mixed buckets, dealt anew by the rarest shingles of their sets.
+
+    Where a bucket comes from a passage that many unlike documents share, its rows part here, as the passage's shingles
+    are the common ones. No pair that reaches the threshold is parted, however the shingles are ordered; the order goes by
+    how many of these rows hold one, as far as the COMMON most frequent ones tell.
+    """
+    rows = materialise(rows.select("id", "component").distinct(), "minhash-large")
+    if rows.isEmpty():
+        return rows.select(F.lit(0).cast("long").alias("key"), "id", "component", F.lit(0).cast("long").alias("m"))
+    sets = _full_sets(rows.select("id"), nodes, base, words, "minhash-large")
+    often = sets.mapInArrow(_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    often.sort()
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64)))
+    keys = materialise(sets.mapInArrow(_prefixes(shared, round(threshold * 1_000_000)), "id long, key long"), "minhash-prefixes")
+    return _mixed(materialise(keys.join(rows, "id").select("key", "id", "component"), "minhash-rare"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,9 +436,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     are one class from the start. Signatures of 128 values are cut into 24 bands of 5; classes that share a band are
     candidates. First each meets the smallest id of its bucket only, so a group of any size gives a linear number of
     pairs. Pairs are pruned by the posterior of their similarity and the rest verified on full sets, made again from
-    whole texts. Then only buckets that still hold several components are compared all through, in blocks of bounded
-    size: pruned in the same way, verified on full sets inside the block, and given out as no more links than join the
-    block's components.
+    whole texts. Then only buckets that still hold several components are compared all through. Those of over ``BLOCK``
+    rows are dealt anew by the rarest shingles of their full sets, which parts documents that share but a passage and
+    loses no link. What remains is compared in blocks of bounded size: pruned in the same way, verified on full sets
+    inside the block, and given out as no more links than join the block's components.
     No pair that shares a band is left out. A pair at the threshold 0.85 shares none with probability 8e-7 (0.8: 8e-5).
 
     Returns ``id_col, n_shingles, component_id, kept`` per row. Null, empty and blank texts have no shingle, link with
@@ -392,26 +456,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         nodes = materialise(nodes, "minhash-nodes")
     need = minimum_matches(threshold, miss)
 
-    classes = nodes.filter("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("head"))
-    member = materialise(nodes.filter("n > 0").select("id", "n", "p1", "p2").join(classes, ["n", "p1", "p2"]).select("id", "head"), "minhash-classes")
+    full = nodes.filter("n > 0").select("id", "n", "p1", "p2")
+    classes = full.groupBy("n", "p1", "p2").agg(F.min("id").alias("head"), F.count("*").alias("m")).filter("m > 1")
+    classes = materialise(classes, "minhash-sets")
+    member = join_skewed(full, classes, ["n", "p1", "p2"], "left", "m").select("id", F.coalesce("head", "id").alias("head"))
+    member = materialise(member, "minhash-classes")
     heads = materialise(nodes.join(member.filter("id = head").select("id"), "id").select("id", "n", "p1", "sig", "bands"), "minhash-heads")
     bands = heads.select("id", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("m")).filter("m > 1")
-    held = materialise(bands.join(buckets, "key").select("key", "id", "low", "m"), "minhash-buckets")
+    buckets = materialise(bands.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("m")).filter("m > 1"), "minhash-keys")
+    held = materialise(join_skewed(bands, buckets, ["key"], count="m").select("key", "id", "low", "m"), "minhash-buckets")
 
     sizes = heads.select("id", "n", "sig")
-    stars = held.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    j = stars.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    j = j.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+    stars = materialise(held.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "minhash-stars")
+    j = join_skewed(stars, sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), ["a"])
+    j = j.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     j = j.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     pairs = materialise(j.mapInArrow(_pruned(need, threshold), "a long, b long"), "minhash-pairs")
     links = _confirm(pairs, nodes, base, words, threshold, "minhash-links")
     found = materialise(connected_components(links, "minhash-stars"), "minhash-found")
 
     # A bucket of two was compared in full by its star.
-    labelled = held.filter("m > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = labelled.join(mixed, "key").join(sizes, "id").select("key", "id", "component", "n", "sig", "m")
+    labelled = held.filter("m > 2").select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = materialise(labelled, "minhash-labels")
+    rest = _mixed(labelled)
+    rest = rest.filter(F.col("m") <= BLOCK).unionByName(_by_rare_shingles(rest.filter(F.col("m") > BLOCK), nodes, base, words, threshold)).join(sizes, "id")
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
@@ -425,6 +493,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         more = rest.repartition(*key).sortWithinPartitions(*key).mapInArrow(_block_links(need, threshold), "a long, b long")
         links = links.unionAll(materialise(more, "minhash-more"))
         found = materialise(connected_components(links, "minhash-all"), "minhash-found")
+        discard(sets)
+    discard(classes, buckets, held, stars, pairs, labelled)
 
     label = member.join(found.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("component", "head").alias("component"))
     out = attach(rows.select("id", "n"), label, "id")

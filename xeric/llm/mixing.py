@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, read_table, text_of
+from .common import WORD, free_stem, materialise, read_table, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -84,6 +84,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     and ``first, n_blocks, rounds, extra, prime, shift``: block i of the shard is taken ``rounds + ((i * prime + shift)
     mod n_blocks < extra)`` times, and the document holds its shard's words from ``first`` on.
 
+    A source's taken words differ from its target by half a block for its quota, and by up to a block less one word a
+    round for each of its shards, whose last block may be short; of sources smaller than a block, by half their size.
+
     Null text and text without words have size 0 and are taken 0 times. Null is a source of its own, ordered last; the
     empty string another. A source without words has target 0. Repeated rows are laid side by side and each is taken
     like any row; a null id is hashed as such. An empty table gives an empty result. Reruns agree in every row, or for
@@ -93,8 +96,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     sized = materialise(sized, "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, budget, max_repeat)
-    seats = F.round(F.sum("target").over(Window.partitionBy()) / block_tokens).cast("long")
-    targets = sainte_lague(targets.withColumn("one", F.lit(1)).withColumn("seats", seats), ["one"], ["source"], "target", "seats")
+    # Targets in blocks: a source of less than a block's words has one block, of its own size.
+    blocks = F.col("target") * F.ceil(F.col("source_size") / block_tokens) / F.greatest(F.col("source_size"), F.lit(1))
+    targets = targets.withColumn("one", F.lit(1)).withColumn("votes", blocks)
+    targets = targets.withColumn("seats", F.round(F.sum("votes").over(Window.partitionBy())).cast("long"))
+    targets = sainte_lague(targets, ["one"], ["source"], "votes", "seats")
     targets = materialise(targets.select("source", "source_size", "target", F.col("quota").alias("source_quota")), "mix-targets")
 
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long")
@@ -132,16 +138,21 @@ def mixed_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_repea
     """The mix itself: a row for each round in which some of a document's blocks are taken, with those blocks' words.
 
     A round that takes all blocks has the text as it was; otherwise the words keep the white space after them. All
-    columns of ``docs`` stay; ``n_chars``, if there, is counted anew. A document of which nothing is taken is not there.
-    Rows that repeat an id are taken as one of them is.
+    columns of ``docs`` stay, whatever their names; ``n_chars``, if there, is counted anew. A document of which nothing is
+    taken is not there, nor one without words. Rows that repeat an id, a source and a size are all taken as the last of
+    them is. Null ids and sources meet each other. An empty table gives an empty mix.
     """
+    source_col, m = options.get("source_col", "source"), free_stem(docs.columns, "_mix")
     plan = mix(docs, block_tokens=block_tokens, max_repeat=max_repeat, id_col=id_col, text_col=text_col, **options)
-    plan = plan.filter("taken > 0").select(F.col(id_col).alias("_mix_id"), *[F.col(c).alias(f"_mix_{c}") for c in ("size", "taken", "first", "n_blocks", "rounds", "extra", "prime", "shift")]).dropDuplicates(["_mix_id"])
-    j = docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"]))
-    j = j.withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.lit(max_repeat))))
-    times = f"(_mix_rounds + CASE WHEN pmod(((_mix_first + i) DIV {block_tokens}) * _mix_prime + _mix_shift, _mix_n_blocks) < _mix_extra THEN 1 ELSE 0 END)"
-    whole = (F.col("_mix_rounds") >= F.col("_mix_round")) | ((F.col("_mix_rounds") + 1 == F.col("_mix_round")) & (F.col("_mix_extra") == F.col("_mix_n_blocks")))
-    part = F.expr(f"array_join(filter(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0), (w, i) -> {times} >= _mix_round), '')")
+    names = ("first", "n_blocks", "rounds", "extra", "prime", "shift")
+    plan = plan.filter("taken > 0").groupBy(F.col(id_col).alias(f"{m}_id"), F.col("source").alias(f"{m}_source"), F.col("size").alias(f"{m}_size")).agg(F.max(F.struct(*names)).alias("last"))
+    plan = plan.select(f"{m}_id", f"{m}_source", f"{m}_size", *[F.col(f"last.{c}").alias(f"{m}_{c}") for c in names])
+    d = docs.withColumn(f"{m}_words", word_count(text_of(text_col)))
+    j = d.join(plan, d[id_col].eqNullSafe(plan[f"{m}_id"]) & d[source_col].cast("string").eqNullSafe(plan[f"{m}_source"]) & (d[f"{m}_words"] == plan[f"{m}_size"]))
+    j = j.withColumn(f"{m}_round", F.explode(F.sequence(F.lit(1), F.lit(max_repeat))))
+    times = f"({m}_rounds + CASE WHEN pmod((({m}_first + i) DIV {block_tokens}) * {m}_prime + {m}_shift, {m}_n_blocks) < {m}_extra THEN 1 ELSE 0 END)"
+    whole = (F.col(f"{m}_rounds") >= F.col(f"{m}_round")) | ((F.col(f"{m}_rounds") + 1 == F.col(f"{m}_round")) & (F.col(f"{m}_extra") == F.col(f"{m}_n_blocks")))
+    part = F.expr(f"array_join(filter(regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0), (w, i) -> {times} >= {m}_round), '')")
     j = j.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part)).filter(F.length(text_col) > 0)
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
