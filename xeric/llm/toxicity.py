@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 import zlib
 from array import array
@@ -12,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialise, read_table, text_of
+from .common import free_stem, materialise, read_table, text_of
 from .gru import Adam, BiGru, sigmoid
 from .merging import _gather
 from .token_counts import slices
 
 #: Labelled rows that the classifier is fitted on at most: toxic ones, others.
 TRAIN_TOXIC, TRAIN_OTHER = 600, 1200
+#: Longest text, in characters, that is drawn for the fit, which bounds the sample in bytes too.
+TRAIN_CHARS = 200_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, BUCKETS = 8, 4, 4096
 FOLDS, EPOCHS, BATCH = 5, 8, 64
@@ -320,54 +323,79 @@ def fit(texts: list[str], labels: list[int], other_weight: float = 1.0, seed: in
     return Model(inputs, net.as_float32(), ew, ec, slope)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
-    """A bounded sample of labelled whole texts, by a hash of the id, without the held-out rows; and other_weight."""
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, id_col: str = "doc_id", text_col: str = "text", most_chars: int = TRAIN_CHARS) -> tuple[DataFrame, float]:
+    """A bounded sample (id, toxic, at, body) of labelled whole texts without the held-out rows; and other_weight.
+
+    Labelled texts of up to ``most_chars`` characters are drawn by a hash of the id.
+    """
     usable = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     usable = usable.filter(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) != 2).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    usable = usable.join(docs.select(F.col(id_col).alias("id")).distinct(), "id")
+    bodies = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
+    usable = usable.join(bodies.filter(F.length("body") <= most_chars).select("id").distinct(), "id")
     usable = materialise(usable.withColumn("at", F.xxhash64(F.lit(SEED), "id")), "toxicity-labels")
     n = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     parts = [usable.filter(F.col("toxic") == k).orderBy("at", "id").limit(most) for k, most in ((1, most_toxic), (0, most_other))]
     chosen = materialise(parts[0].unionAll(parts[1]), "toxicity-sample")
-    bodies = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
-    rows = bodies.join(F.broadcast(chosen), "id").groupBy("id", "toxic", "at").agg(F.max("body").alias("body")).collect()
-    rows = sorted(rows, key=lambda r: (r["at"], r["id"]))
+    rows = bodies.filter(F.length("body") <= most_chars).join(F.broadcast(chosen), "id").groupBy("id", "toxic", "at").agg(F.max("body").alias("body"))
     rates = [min(n.get(k, 0), most) / max(1, n.get(k, 0)) for k, most in ((1, most_toxic), (0, most_other))]
-    return [r["body"] for r in rows], [r["toxic"] for r in rows], (rates[0] / rates[1] if rates[1] else 1.0)
+    return rows, (rates[0] / rates[1] if rates[1] else 1.0)
+
+
+def _fitted(other_weight: float):
+    """Batches of the sample -> the fitted model, pickled (null without both labels), and the share of toxic texts."""
+
+    def run(batches):
+        import pyarrow as pa
 
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("at", "id", "toxic", "body")), strict=True)]
+        rows.sort(key=lambda r: r[:2])
+        y, texts = [r[2] for r in rows], [r[3] for r in rows]
+        del rows
+        model = pickle.dumps(fit(texts, y, other_weight)) if 0 < sum(y) < len(y) else None
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary()), pa.array([sum(y) / max(1, len(y))], pa.float64())], names=["model", "share"])
+
+    return run
 
-def _scored(shared, text_at: int):
+
+def _scored(shared, text_at: int, name: str):
     """Arrow batches with their score as a last column; the others pass through."""
 
     def run(batches):
         import pyarrow as pa
 
-        model = shared.value
+        model = pickle.loads(shared.value)
         for batch in batches:
             out: list[float] = []
             for part in slices([t or "" for t in batch.column(text_at).to_pylist()], SLICE_CHARS):
                 out += model.score(part).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "_tox_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the score of each whole text as ``_tox_score``; see ``toxicity``."""
-    texts, y, other_weight = training_rows(docs, labels, most_toxic, most_other, id_col, text_col)
-    if not 0 < sum(y) < len(y):
-        return docs.withColumn("_tox_score", F.lit(sum(y) / len(y) if y else 0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, y, other_weight))
-    schema = StructType([*docs.schema.fields, StructField("_tox_score", DoubleType())])
-    return docs.mapInArrow(_scored(shared, docs.columns.index(text_col)), schema)
+def scored(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, id_col: str = "doc_id", text_col: str = "text", most_chars: int = TRAIN_CHARS) -> DataFrame:
+    """The rows of ``docs`` with the score of each whole text as a last column, ``_tox_score``; see ``toxicity``.
+
+    The network is fitted in one task, on the bounded sample; the driver only hands its weights on. If a column's name
+    begins with ``_tox_score``, the last column's has underscores added.
+    """
+    name = free_stem(docs.columns, "_tox_score")
+    rows, other_weight = training_rows(docs, labels, most_toxic, most_other, id_col, text_col, most_chars)
+    fitted = rows.repartition(1).mapInArrow(_fitted(other_weight), "model binary, share double").first()
+    if fitted is None or fitted["model"] is None:
+        return docs.withColumn(name, F.lit(fitted["share"] if fitted else 0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(fitted["model"]))
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_scored(shared, docs.columns.index(text_col), name), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each row's whole text: ``id_col, held_out, score, predicted``.
 
-    The classifier is fitted on at most ``most_toxic`` and ``most_other`` labelled rows, chosen by a hash of the id among
-    those whose crc32(id as text) mod 4 is not 2. Only the text is scored. All overlapping windows of 32 words count,
-    and the best one decides. Null, empty and wordless texts are one window without any evidence and get its score.
+    The classifier is fitted on at most ``most_toxic`` and ``most_other`` labelled rows of up to ``TRAIN_CHARS``
+    characters, chosen by a hash of the id among those whose crc32(id as text) mod 4 is not 2. Only the text is scored.
+    Windows of 32 words begin at every 16th word and at the last 32, so each overlaps the next by half; all count, and
+    the best one decides. Equal texts get equal scores. Null, empty and wordless texts are one window without any evidence and get its score.
     Labels that are null or neither 0 nor 1 are left out; an id labelled twice is toxic if any label says so. Without a
     toxic or without another label all scores are the share of toxic labels. Rows with null or repeated ids are scored
     like any other. An empty table gives an empty result; other columns are ignored, whatever their names.
