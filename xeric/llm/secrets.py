@@ -40,14 +40,17 @@ def features(word: Column, before: Column, after: Column) -> dict[str, Column]:
     n = F.greatest(F.length(token), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(token, F.lit(pattern)) / n
     words = "|".join(sorted({w for w in DICTIONARY if len(w) >= 3}, key=lambda w: (-len(w), w)))
-    near = F.lower(F.concat_ws(" ", before, F.substring(word, 1, 40)))
+    # What stands in the word before the token, as in name="token".
+    rest = F.length(word) - F.length(F.regexp_extract(word, "[^A-Za-z0-9+/_.=-]*$", 0)) - F.length(token)
+    head = F.substr(word, F.lit(1), F.greatest(rest, F.lit(0)))
+    near = F.lower(F.concat_ws(" ", before, head))
     return {
         "len": n,
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "lowers": share("[a-z]"),
         "switches": share("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"),
-        "variety": F.size(F.array_distinct(F.split(F.substring(token, 1, 64), ""))) / F.least(n, F.lit(64.0)),
+        "variety": F.size(F.array_distinct(F.split(token, ""))) / F.least(n, F.lit(64.0)),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(token), words, "")) / n,
         "slashes": share("/"),
         "marks": share("[._-]"),
@@ -56,7 +59,7 @@ def features(word: Column, before: Column, after: Column) -> dict[str, Column]:
         "quoted": word.rlike("[\"'`]").cast("double"),
         "assigned": (word.rlike("[:=]") | before.rlike("[:=]\\s*$")).cast("double"),
         "secret_near": near.rlike(SECRET_CUES).cast("double"),
-        "other_near": F.lower(F.concat_ws(" ", before, F.substring(word, 1, 40), after)).rlike(OTHER_CUES).cast("double"),
+        "other_near": F.lower(F.concat_ws(" ", before, head, after)).rlike(OTHER_CUES).cast("double"),
         "known_prefix": token.rlike("^(AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|glpat-|AIza|eyJ|npm_)").cast("double"),
     }
 
