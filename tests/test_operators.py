@@ -108,7 +108,8 @@ def test_reading_hydrographs(spark, tmp_path):
 def test_reading_index_tables(spark, tmp_path):
     (tmp_path / "pdo.txt").write_text("PDO header\n1950 " + " ".join(["0.5"] * 11) + " 99.99\n1950 " + " ".join(["0.5"] * 12) + "\nx\n")
     rows = tables.read_year_table(spark, str(tmp_path / "pdo.txt")).collect()
-    assert len(rows) == 12 and all(r["value"] == 0.5 for r in rows)
+    # The first line of a year counts, also where its value is missing.
+    assert len(rows) == 12 and all(r["value"] == (None if r["month"].month == 12 else 0.5) for r in rows)
     (tmp_path / "oni.txt").write_text("SEAS YR TOTAL ANOM\nDJF 1950 24.7 -1.5\nNDJ 1950 25.6 -0.8\n")
     rows = sorted(map(tuple, tables.read_season_table(spark, str(tmp_path / "oni.txt")).collect()))
     assert rows == [(datetime.date(1950, 1, 1), -1.5), (datetime.date(1950, 12, 1), -0.8)]

@@ -13,6 +13,12 @@ def norm_cdf(x: float) -> float:
     return 0.5 * (1 + erf(x / sqrt(2)))
 
 
+def norm_cdfs(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function of an array, to 1e-15: erfc by its values at the distinct arguments."""
+    values, at = np.unique(np.ravel(x), return_inverse=True)
+    return np.array([norm_cdf(v) for v in values.tolist()])[at].reshape(np.shape(x))
+
+
 def norm_quantile(p: np.ndarray) -> np.ndarray:
     from statistics import NormalDist
 
@@ -219,7 +225,7 @@ def spi(x: np.ndarray, reference: np.ndarray | None = None, least: int = 5, posi
     if len(v) < least:
         return out, 0
     spread = v.var(ddof=1)
-    if spread < 1e-9:
+    if spread < np.finfo(float).eps:
         out[ok] = 0.0
         return out, 3
     pos = v[v > 0]
@@ -245,7 +251,7 @@ def spei(x: np.ndarray, least: int = 5) -> tuple[np.ndarray, str | None]:
     v = x[ok]
     if len(v) < least:
         return out, None
-    if v.var(ddof=1) < 1e-9:
+    if v.var(ddof=1) < np.finfo(float).eps:
         out[ok] = 0.0
         return out, "constant"
     l1, l2, t3, _ = l_moments(v)
@@ -294,7 +300,7 @@ def ssmi_soil(x: np.ndarray) -> np.ndarray:
         y = np.log(v / (1 - v))
         iqr = np.subtract(*np.percentile(y, [75, 25]))
         h = 0.9 * min(y.std(ddof=1), iqr / 1.34 if iqr > 0 else y.std(ddof=1)) * len(y) ** -0.2
-        p = np.array([np.mean([norm_cdf((a - b) / h) for b in y]) for a in y])
+        p = norm_cdfs((y[:, None] - y[None, :]) / h).mean(axis=1)
     else:
         p = (average_ranks(v) - 0.375) / (len(v) + 0.25)
     out[ok] = norm_quantile(np.clip(p, 1e-6, 1 - 1e-6))
@@ -363,7 +369,11 @@ def prewhitened_mk(x: np.ndarray, always: bool = True) -> tuple[float, float, fl
 
 
 def pelt_mean(x: np.ndarray, penalty: float | None = None) -> list[int]:
-    """Change points of the mean by pruned exact search; the penalty is log n (in units of the variance) by default."""
+    """Change points of the mean by pruned exact search.
+
+    Costs are squared errors in units of the whole series' variance, known once for all segments; the penalty of a change
+    is 2 log n of these by default: a mean and a place, log n each.
+    """
     n = len(x)
     sd = x.std(ddof=1)
     if n < 4 or sd == 0:
@@ -386,6 +396,20 @@ def pelt_mean(x: np.ndarray, penalty: float | None = None) -> list[int]:
     return out[::-1]
 
 
+def _daniell(span: int) -> np.ndarray:
+    k = np.ones(2 * (span // 2) + 1)
+    k[0] = k[-1] = 0.5
+    return k / k.sum()
+
+
+def degrees_of_freedom(spans: tuple[int, ...] = (3, 5), taper: float = 0.1) -> float:
+    """Of a smoothed and tapered spectrum: 2 / sum of squared weights, less what a cosine taper of that share costs."""
+    k = np.ones(1)
+    for s in spans:
+        k = np.convolve(k, _daniell(s))
+    return float(2 / (k * k).sum() * (1 - 5 / 8 * taper * 2) ** 2 / (1 - 93 / 128 * taper * 2))
+
+
 def spectrum(x: np.ndarray, spans: tuple[int, ...] = (3, 5), taper: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Frequencies and a smoothed periodogram after a linear detrend and a cosine taper (modified Daniell kernels)."""
     n = len(x)
@@ -399,10 +423,7 @@ def spectrum(x: np.ndarray, spans: tuple[int, ...] = (3, 5), taper: float = 0.1)
     p = np.abs(np.fft.fft(y * w)) ** 2 / n / (w**2).mean()
     p[0] = (p[1] + p[-1]) / 2
     for s in spans:
-        h = s // 2
-        k = np.ones(2 * h + 1)
-        k[0] = k[-1] = 0.5
-        k /= k.sum()
+        h, k = s // 2, _daniell(s)
         p = sum(k[i + h] * np.roll(p, i) for i in range(-h, h + 1))
     half = n // 2
     return np.arange(1, half + 1) / n, p[1 : half + 1]
@@ -417,14 +438,23 @@ def chi2_quantile(p: float, df: float) -> float:
 
 
 def spectral_peaks(x: np.ndarray, least_period: float = 24.0, level: float = 0.95) -> list[tuple[float, float]]:
-    """(period, power) of local maxima above the AR(1) background at the given level, of periods of 24 steps or more."""
+    """(period, power) of the top of each run of frequencies above the AR(1) background at the given level.
+
+    Only periods of ``least_period`` steps or more count, also for the scale of the background.
+    """
     f, p = spectrum(x)
-    r = lag1(x - np.polyval(np.polyfit(np.arange(len(x)), x, 1), np.arange(len(x))))
+    keep = 1 / f >= least_period
+    if not keep.any():
+        return []
+    f, p = f[keep], p[keep]
+    r = float(np.clip(lag1(x - np.polyval(np.polyfit(np.arange(len(x)), x, 1), np.arange(len(x)))), -0.99, 0.99))
     red = (1 - r * r) / (1 + r * r - 2 * r * np.cos(2 * pi * f))
     red *= p.mean() / red.mean()
-    df = 14.0
-    line = red * chi2_quantile(level, df) / df
-    return [(float(1 / f[i]), float(p[i])) for i in range(1, len(p) - 1) if p[i] > line[i] and p[i] >= p[i - 1] and p[i] >= p[i + 1] and 1 / f[i] >= least_period]
+    df = degrees_of_freedom()
+    above = p > red * chi2_quantile(level, df) / df
+    cuts = np.flatnonzero(np.diff(np.concatenate([[0], above.astype(int), [0]])))
+    tops = [a + int(p[a:b].argmax()) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    return [(float(1 / f[i]), float(p[i])) for i in tops]
 
 
 def monotone_fill(t: np.ndarray, x: np.ndarray, longest: int = 14, context: int = 15) -> np.ndarray:

@@ -12,7 +12,7 @@ from xeric.operators import frequency as Q
 from xeric.operators import physical as H
 from xeric.operators import trend as T
 
-from .base import GAPPED, INDEX, SITE_MONTHS, WEIGHTS, gapped, index_months, query, site_months, site_weights, table
+from .base import GAPPED, INDEX, SITE_MONTHS, WEIGHTS, gapped, index_months, index_values, query, site_months, site_weights, table
 
 SITE = ["site"]
 
@@ -72,12 +72,12 @@ def composite_index_events(spark, sf):
     return e.select("site", "start", "finish", "duration", F.round("abs_sum", 6).alias("severity"), kind.alias("class"))
 
 
-@query("supply_droughts", f"""WITH {INDEX}, {_events_sql('idx', -1.0, -1.0, closed=True)}, m AS (SELECT ev.site, ev.event, ev.start, ev.duration, ev.minimum, ev.mean_value, x.month, x.z FROM ev JOIN idx x ON x.site = ev.site AND x.month BETWEEN ev.start AND ev.finish)
+@query("supply_droughts", f"""WITH {INDEX}, {_events_sql('idx', -1.0, -1.0, closed=True)}, m AS (SELECT ev.site, ev.event, ev.start, ev.duration, ev.minimum, ev.mean_value, x.month, x.z FROM ev JOIN idv x ON x.site = ev.site AND x.month BETWEEN ev.start AND ev.finish)
   SELECT site, start, any_value(duration) AS duration, round(any_value(minimum), 6) AS minimum, round(any_value(mean_value), 6) AS mean_value, (array_agg(month ORDER BY z, month))[1] AS driest FROM m GROUP BY site, start""")
 def supply_droughts(spark, sf):
     idx = index_months(spark, sf)
     e = E.detect_events(idx, SITE, -1.0, closed_onset=True, value="z")
-    months = E.months_of_events(idx, e, SITE).groupBy("site", "event").agg(F.min(F.struct("z", "month"))["month"].alias("driest"))
+    months = E.months_of_events(idx.filter("z is not null"), e, SITE).groupBy("site", "event").agg(F.min(F.struct("z", "month"))["month"].alias("driest"))
     return r6(e.join(months, ["site", "event"]).select("site", "start", "duration", "minimum", "mean_value", "driest"), "minimum", "mean_value")
 
 
@@ -140,12 +140,12 @@ def mann_kendall(spark, sf):
     return r6(T.mann_kendall(_annual(spark, sf), SITE), "tau", "variance", "z", "sen")
 
 
-@query("runs_test", f"""WITH {INDEX}, f AS (SELECT site, month, CASE WHEN z < 0 THEN 1 ELSE 0 END AS flag FROM idx), d AS (SELECT *, CASE WHEN lag(flag) OVER (PARTITION BY site ORDER BY month) = flag THEN 0 ELSE 1 END AS new FROM f),
+@query("runs_test", f"""WITH {INDEX}, f AS (SELECT site, month, CASE WHEN z < 0 THEN 1 ELSE 0 END AS flag FROM idv), d AS (SELECT *, CASE WHEN lag(flag) OVER (PARTITION BY site ORDER BY month) = flag THEN 0 ELSE 1 END AS new FROM f),
   g AS (SELECT site, CAST(sum(flag) AS DOUBLE) AS n1, CAST(sum(1 - flag) AS DOUBLE) AS n0, CAST(sum(new) AS DOUBLE) AS runs FROM d GROUP BY 1),
   m AS (SELECT *, 2 * n0 * n1 / (n0 + n1) + 1 AS expected, 2 * n0 * n1 * (2 * n0 * n1 - n0 - n1) / ((n0 + n1) * (n0 + n1) * (n0 + n1 - 1)) AS v FROM g)
   SELECT site, n0, n1, runs, round(expected, 6) AS expected, round((runs - expected) / sqrt(v), 6) AS z, CASE WHEN (runs - expected) / sqrt(v) < -1.96 THEN 'clustered' WHEN (runs - expected) / sqrt(v) > 1.96 THEN 'dispersed' ELSE 'random' END AS kind FROM m""")
 def runs_test(spark, sf):
-    d = index_months(spark, sf).withColumn("flag", (F.col("z") < 0).cast("int"))
+    d = index_values(spark, sf).withColumn("flag", (F.col("z") < 0).cast("int"))
     return r6(T.runs_test(d, SITE), "expected", "z")
 
 
@@ -269,11 +269,11 @@ def triple_collocation(spark, sf):
     return d.select("site", "n", *[F.round(c, 2).alias(c) for c in ("err_x", "err_y", "err_z")])
 
 
-_LAGS = "lg AS (SELECT a.site, l AS lag, corr(a.z, b.z) AS r, count(*) AS n FROM idx a, (SELECT unnest(range(0, 13)) AS l) JOIN idx b ON b.site = (a.site + 1) % 25 AND b.month = CAST(a.month - to_months(CAST(l AS INT)) AS DATE) GROUP BY 1, 2 HAVING count(*) >= 20)"
+_LAGS = "lg AS (SELECT a.site, l AS lag, corr(a.z, b.z) AS r, count(*) AS n FROM idv a, (SELECT unnest(range(0, 13)) AS l) JOIN idv b ON b.site = (a.site + 1) % 25 AND b.month = CAST(a.month - to_months(CAST(l AS INT)) AS DATE) GROUP BY 1, 2 HAVING count(*) >= 20)"
 
 
 def _lagged(spark, sf):
-    idx = index_months(spark, sf)
+    idx = index_values(spark, sf)
     a = idx.select("site", "month", F.col("z").alias("y"))
     b = idx.select(((F.col("site") + 24) % 25).alias("site"), "month", F.col("z").alias("x"))
     return A.lagged_correlation(a, b, SITE)
@@ -304,19 +304,19 @@ def effective_correlation(spark, sf):
     return r6(A.effective_correlation(_xy(spark, sf), SITE), "r", "r1", "t")
 
 
-@query("leave_year_out_skill", f"""WITH {INDEX}, {_XY}, f AS (SELECT o.site, o.yr, regr_slope(i.y, i.x) AS b, regr_intercept(i.y, i.x) AS a FROM (SELECT DISTINCT site, year(month) AS yr FROM xy) o JOIN xy i ON i.site = o.site AND year(i.month) <> o.yr GROUP BY 1, 2),
-  p AS (SELECT xy.site, y, a + b * x AS fit FROM xy JOIN f ON f.site = xy.site AND f.yr = year(month))
+@query("leave_year_out_skill", f"""WITH {INDEX}, {_XY}, xyv AS (SELECT * FROM xy WHERE x IS NOT NULL AND y IS NOT NULL), f AS (SELECT o.site, o.yr, regr_slope(i.y, i.x) AS b, regr_intercept(i.y, i.x) AS a FROM (SELECT DISTINCT site, year(month) AS yr FROM xyv) o JOIN xyv i ON i.site = o.site AND year(i.month) <> o.yr GROUP BY 1, 2),
+  p AS (SELECT xyv.site, y, a + b * x AS fit FROM xyv JOIN f ON f.site = xyv.site AND f.yr = year(month))
   SELECT site, count(*) AS n, round(corr(y, fit), 5) AS r, round(sqrt(avg((fit - y) * (fit - y))), 6) AS rmse, round(count(*) FILTER (y < -0.5 AND fit < -0.5) * 1.0 / nullif(count(*) FILTER (y < -0.5), 0), 6) AS hit_rate FROM p GROUP BY site""")
 def leave_year_out_skill(spark, sf):
-    out = A.leave_year_out(_xy(spark, sf), SITE, dry=-0.5)
+    out = A.leave_year_out(_xy(spark, sf).dropna(), SITE, dry=-0.5)
     return out.select("site", "n", F.round("r", 5).alias("r"), F.round("rmse", 6).alias("rmse"), F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@query("composite_months", f"""WITH {INDEX}, e AS (SELECT month, avg(z) < -0.1 AS dry FROM idx GROUP BY 1), j AS (SELECT sm.site, sm.value, dry FROM sm JOIN e USING (month))
+@query("composite_months", f"""WITH {INDEX}, e AS (SELECT month, avg(z) < -0.1 AS dry FROM idv GROUP BY 1), j AS (SELECT sm.site, sm.value, dry FROM sm JOIN e USING (month))
   SELECT site, count(*) FILTER (dry) AS n_event, round(avg(value) FILTER (dry) + 1e-9, 4) AS event_mean, round(avg(value) FILTER (NOT dry) + 1e-9, 4) AS other_mean,
   round((avg(value) FILTER (dry) - avg(value) FILTER (NOT dry)) / sqrt(var_samp(value) FILTER (dry) / count(*) FILTER (dry) + var_samp(value) FILTER (NOT dry) / count(*) FILTER (NOT dry)), 6) AS t FROM j GROUP BY site""")
 def composite_months(spark, sf):
-    e = index_months(spark, sf).groupBy("month").agg((F.avg("z") < -0.1).alias("dry"))
+    e = index_values(spark, sf).groupBy("month").agg((F.avg("z") < -0.1).alias("dry"))
     out = A.composite(site_months(spark, sf).join(e, "month"), SITE, "dry", "value")
     return out.select("site", "n_event", F.round(F.col("event_mean") + 1e-9, 4).alias("event_mean"), F.round(F.col("other_mean") + 1e-9, 4).alias("other_mean"), F.round("t", 6).alias("t"))
 
@@ -356,14 +356,14 @@ def water_balance(spark, sf):
     return _pairs(spark, sf).select("site", "month", F.round(F.col("x") - 0.5 * F.col("y"), 6).alias("balance"))
 
 
-@query("stage_to_storage", """WITH c AS (SELECT CAST(p_size AS DOUBLE) AS level, sum(p_retailprice) OVER (ORDER BY p_size) AS storage FROM (SELECT p_size, round(avg(p_retailprice) + 1e-7, 4) AS p_retailprice FROM part WHERE p_size % 5 = 0 GROUP BY 1)),
-  s AS (SELECT level AS a, storage AS sa, lead(level) OVER (ORDER BY level) AS b, lead(storage) OVER (ORDER BY level) AS sb FROM c), r AS (SELECT l_orderkey, l_linenumber, l_quantity + 0.25 AS stage FROM lineitem WHERE l_linenumber = 1)
-  SELECT l_orderkey, stage, round(sa + (stage - a) / (b - a) * (sb - sa) + 1e-7, 4) AS storage FROM r LEFT JOIN s ON b IS NOT NULL AND stage >= a AND stage < b""")
+@query("stage_to_storage", """WITH c AS (SELECT CAST(p_size AS DOUBLE) AS level, sum(p_retailprice) OVER (ORDER BY p_size) AS storage FROM (SELECT p_size, round(avg(p_retailprice) + 1e-7, 4) AS p_retailprice FROM part GROUP BY 1)),
+  s AS (SELECT level AS a, storage AS sa, lead(level) OVER (ORDER BY level) AS b, lead(storage) OVER (ORDER BY level) AS sb FROM c), r AS (SELECT l_orderkey, l_linenumber, l_quantity + 0.25 AS stage FROM lineitem)
+  SELECT l_orderkey, l_linenumber, stage, round(sa + (stage - a) / (b - a) * (sb - sa) + 1e-7, 4) AS storage FROM r LEFT JOIN s ON b IS NOT NULL AND stage >= a AND stage < b""")
 def stage_to_storage(spark, sf):
-    c = table(spark, sf, "part").filter("p_size % 5 = 0").groupBy(F.col("p_size").cast("double").alias("level")).agg(F.round(F.avg("p_retailprice") + 1e-7, 4).alias("area"))
+    c = table(spark, sf, "part").groupBy(F.col("p_size").cast("double").alias("level")).agg(F.round(F.avg("p_retailprice") + 1e-7, 4).alias("area"))
     c = c.select("level", F.sum("area").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)).alias("storage"))
-    r = table(spark, sf, "lineitem").filter("l_linenumber = 1").select("l_orderkey", (F.col("l_quantity") + 0.25).alias("stage"))
-    return H.stage_storage(r, c).select("l_orderkey", "stage", F.round(F.col("storage") + 1e-7, 4).alias("storage"))
+    r = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + 0.25).alias("stage"))
+    return H.stage_storage(r, c).select("l_orderkey", "l_linenumber", "stage", F.round(F.col("storage") + 1e-7, 4).alias("storage"))
 
 
 @query("hypsometric_volume", """WITH c AS (SELECT p_brand AS lake, CAST(p_size AS DOUBLE) AS e, round(avg(p_retailprice) + 1e-7, 2) AS a FROM part GROUP BY 1, 2), s AS (SELECT lake, e, coalesce((e - lag(e) OVER w) * (a + lag(a) OVER w) / 2, 0) AS v FROM c WINDOW w AS (PARTITION BY lake ORDER BY e))
@@ -381,11 +381,11 @@ def _climate(spark, sf):
     return site_months(spark, sf).select("site", "month", t.alias("t"), (50.0 + F.col("site") % 5).alias("lat"))
 
 
-@query("thornthwaite", f"""WITH {SITE_MONTHS}, {_CLIMATE}, h AS (SELECT site, sum(pow(greatest(t, 0) / 5, 1.514)) AS i FROM (SELECT site, month(month) AS m, avg(t) AS t FROM cl GROUP BY 1, 2) GROUP BY 1),
+@query("thornthwaite", f"""WITH {SITE_MONTHS}, {_CLIMATE}, h AS (SELECT site, sum(pow(greatest(t, 0) / 5, 1.514)) AS i FROM (SELECT site, month(month) AS m, avg(t) AS t FROM cl WHERE year(month) BETWEEN 1995 AND 1999 GROUP BY 1, 2) GROUP BY 1),
   d AS (SELECT cl.*, i, 6.75e-7 * i * i * i - 7.71e-5 * i * i + 1.792e-2 * i + 0.49239 AS a, 0.409 * sin(2 * pi() / 365 * dayofyear(CAST(month + INTERVAL 14 DAY AS DATE)) - 1.39) AS decl FROM cl JOIN h USING (site))
   SELECT site, month, CASE WHEN t <= 0 THEN 0.0 ELSE round(16 * (24 / pi() * acos(least(greatest(-tan(radians(lat)) * tan(decl), -1.0), 1.0)) / 12) * (day(last_day(month)) / 30.0) * pow(10 * t / i, a) / day(last_day(month)), 6) END AS pet FROM d""")
 def thornthwaite(spark, sf):
-    return r6(H.thornthwaite(_climate(spark, sf), SITE).select("site", "month", "pet"), "pet")
+    return r6(H.thornthwaite(_climate(spark, sf), SITE, first_year=1995, last_year=1999).select("site", "month", "pet"), "pet")
 
 
 @query("penman_monteith", f"""WITH {SITE_MONTHS}, {_CLIMATE}, v AS (SELECT site, month, t, 0.6108 * exp(17.27 * t / (t + 237.3)) AS es, 0.6108 * exp(17.27 * (t - 4) / (t - 4 + 237.3)) AS ea, t - coalesce(lag(t) OVER (PARTITION BY site ORDER BY month), t) AS dt FROM cl),
@@ -408,7 +408,7 @@ def storage_deficit(spark, sf):
 def groundwater_index(spark, sf):
     from .base import empirical_index
 
-    d = empirical_index(site_months(spark, sf), SITE, "value", least=4, a=0.5)
+    d = empirical_index(site_months(spark, sf), SITE, "value", least=4, a=0.5).filter("p is not null")
     return d.select("site", "month", F.round("p", 6).alias("p"))
 
 

@@ -9,13 +9,13 @@ from xeric.operators import frequency as Q
 from xeric.operators import indices as I
 from xeric.operators.series import calendar_spine, trailing
 
-from .base import daily, index_months, query, site_months
+from .base import daily, index_months, index_values, query, site_months, spined_months
 
 SITE = ["site"]
 
 
 def _sums(spark, sf):
-    return trailing(site_months(spark, sf), SITE, 3)
+    return trailing(spined_months(spark, sf), SITE, 3)
 
 
 @query("spi_gamma")
@@ -26,7 +26,7 @@ def spi_gamma(spark, sf):
 
 @query("spei_best_fit")
 def spei_best_fit(spark, sf):
-    sm = site_months(spark, sf)
+    sm = spined_months(spark, sf)
     mean = sm.groupBy("month").agg(F.avg("value").alias("basin"))
     d = sm.join(mean, "month").withColumn("value", F.col("value") - F.col("basin"))
     return I.spei(trailing(d, SITE, 3), SITE)
@@ -38,7 +38,7 @@ def sspi_reference(spark, sf):
 
 
 def _share(spark, sf):
-    d = trailing(site_months(spark, sf), SITE, 3, "mean")
+    d = trailing(spined_months(spark, sf), SITE, 3, "mean")
     return d.withColumn("k_value", F.col("k_value") / (F.col("k_value") + 1000))
 
 

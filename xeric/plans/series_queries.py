@@ -12,7 +12,7 @@ from xeric.operators import series as S
 from xeric.operators import spatial as P
 from xeric.sources.tables import MONTHS, unpivot_months, wide_months, year_columns_to_long
 
-from .base import DAILY, GAPPED, INDEX, SITE_MONTHS, WEIGHTS, daily, gapped, index_months, query, site_months, site_weights, table
+from .base import DAILY, GAPPED, INDEX, SITE_MONTHS, WEIGHTS, daily, gapped, index_months, index_values, query, site_months, site_weights, spined_months, table
 
 SITE = ["site"]
 
@@ -32,10 +32,10 @@ def scalar_labels(spark, sf):
   CASE WHEN z <= -4 THEN 'exceptional' WHEN z <= -3 THEN 'extreme' WHEN z <= -2 THEN 'severe' WHEN z <= -1 THEN 'moderate' WHEN z <= 0 THEN 'mild' WHEN z <= 2 THEN 'normal' ELSE 'wet' END AS supply,
   CASE WHEN z > 0 THEN 'none' WHEN z >= -1 THEN 'mild' WHEN z >= -1.5 THEN 'moderate' WHEN z >= -2 THEN 'severe' ELSE 'extreme' END AS groundwater,
   CASE WHEN z < -0.5 THEN 'Cool' WHEN z < 0.5 THEN 'Neutral' ELSE 'Warm' END AS phase,
-  least(greatest(z, -1.2), 1.2) AS clipped FROM idx""")
+  least(greatest(z, -1.2), 1.2) AS clipped FROM idv""")
 def class_labels(spark, sf):
     z = F.col("z")
-    return index_months(spark, sf).select("site", "month", "z", L.severity_class(z).alias("severity"), L.seven_classes(z).alias("seven"), L.supply_class(z).alias("supply"), L.groundwater_class(z).alias("groundwater"), L.oscillation_phase(z).alias("phase"), L.clip(z, -1.2, 1.2).alias("clipped"))
+    return index_values(spark, sf).select("site", "month", "z", L.severity_class(z).alias("severity"), L.seven_classes(z).alias("seven"), L.supply_class(z).alias("supply"), L.groundwater_class(z).alias("groundwater"), L.oscillation_phase(z).alias("phase"), L.clip(z, -1.2, 1.2).alias("clipped"))
 
 
 @query("standard_scores", f"""WITH {SITE_MONTHS} SELECT site, month,
@@ -275,14 +275,14 @@ def basin_summary(spark, sf):
     return index_months(spark, sf).groupBy("month").agg(F.round(F.median("z"), 6).alias("middle"), F.round(F.avg("z"), 6).alias("mean"), F.round(F.stddev_samp("z"), 6).alias("sd"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set((F.col("site") % 3).cast("string"))), ",").alias("sources"))
 
 
-@query("ratio_median_factor", f"""WITH {SITE_MONTHS}, p AS (SELECT a.month, a.value AS obs, b.value AS mod FROM sm a JOIN sm b ON a.month = b.month AND a.site = 1 AND b.site = 2),
-  f AS (SELECT month(month) AS cal_month, count(*) AS n, median(obs / nullif(mod, 0)) AS m FROM p GROUP BY 1)
-  SELECT cal_month, n, CASE WHEN n < 6 THEN 1.0 ELSE round(m, 6) END AS factor FROM f""")
+@query("ratio_median_factor", f"""WITH {SITE_MONTHS}, p AS (SELECT a.site, a.month, a.value AS obs, b.value AS mod FROM sm a JOIN sm b ON a.month = b.month AND b.site = (a.site + 1) % 25),
+  f AS (SELECT site, month(month) AS cal_month, count(*) AS n, median(obs / nullif(mod, 0)) AS m FROM p GROUP BY 1, 2)
+  SELECT site, cal_month, n, CASE WHEN n < 6 THEN 1.0 ELSE round(m, 6) END AS factor FROM f""")
 def ratio_median_factor(spark, sf):
     sm = site_months(spark, sf)
-    p = sm.filter("site = 1").select("month", F.col("value").alias("obs")).join(sm.filter("site = 2").select("month", F.col("value").alias("mod")), "month")
-    f = p.groupBy(F.month("month").alias("cal_month")).agg(F.count("*").alias("n"), F.median(F.try_divide("obs", "mod")).alias("m"))
-    return f.select("cal_month", "n", F.when(F.col("n") < 6, 1.0).otherwise(F.round("m", 6)).alias("factor"))
+    mod = sm.select(((F.col("site") + 24) % 25).alias("site"), "month", F.col("value").alias("mod"))
+    f = sm.withColumnRenamed("value", "obs").join(mod, ["site", "month"]).groupBy("site", F.month("month").alias("cal_month")).agg(F.count("*").alias("n"), F.median(F.try_divide("obs", "mod")).alias("m"))
+    return f.select("site", "cal_month", "n", F.when(F.col("n") < 6, 1.0).otherwise(F.round("m", 6)).alias("factor"))
 
 
 @query("climatology", f"WITH {SITE_MONTHS} SELECT site, month(month) AS cal_month, round(avg(value), 6) AS clim_mean, max(value) AS clim_max, min(value) AS clim_min FROM sm GROUP BY 1, 2")
@@ -323,11 +323,11 @@ def summary_statistics(spark, sf):
     return site_months(spark, sf).groupBy("site").agg(F.count("*").alias("n"), F.round(F.avg("value") + 1e-9, 6).alias("mean"), F.round(F.median("value"), 6).alias("middle"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.percentile("value", F.lit(0.1)), 6).alias("q10"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("q90"), F.countDistinct(F.year("month")).alias("n_years"))
 
 
-@query("conditional_probability", f"""WITH {INDEX}, t AS (SELECT z < -0.5 AS dry, CASE WHEN cal_month <= 4 THEN 'early' WHEN cal_month <= 8 THEN 'mid' ELSE 'late' END AS part, site % 2 = 0 AS even FROM idx)
+@query("conditional_probability", f"""WITH {INDEX}, t AS (SELECT z < -0.5 AS dry, CASE WHEN cal_month <= 4 THEN 'early' WHEN cal_month <= 8 THEN 'mid' ELSE 'late' END AS part, site % 2 = 0 AS even FROM idv)
   SELECT part, even, count(*) AS n, round(avg(CAST(dry AS INT)), 6) AS p_dry, round(avg(CAST(dry AS INT)) / (SELECT avg(CAST(dry AS INT)) FROM t), 6) AS ratio FROM t GROUP BY 1, 2""")
 def conditional_probability(spark, sf):
     c = F.col("cal_month")
-    t = index_months(spark, sf).select((F.col("z") < -0.5).cast("int").alias("dry"), L.chain([(c <= 4, "early"), (c <= 8, "mid")], "late").alias("part"), (F.col("site") % 2 == 0).alias("even"))
+    t = index_values(spark, sf).select((F.col("z") < -0.5).cast("int").alias("dry"), L.chain([(c <= 4, "early"), (c <= 8, "mid")], "late").alias("part"), (F.col("site") % 2 == 0).alias("even"))
     g = t.groupBy("part", "even").agg(F.count("*").alias("n"), F.sum("dry").alias("d"))
     w = Window.partitionBy()
     p = F.col("d") / F.col("n")
@@ -336,23 +336,23 @@ def conditional_probability(spark, sf):
 
 def _rolling(k: int, how: str) -> str:
     return f"""WITH {SITE_MONTHS} SELECT site, month, CASE WHEN count(value) OVER w = {k} THEN round({how}(value) OVER w + 1e-9, 4) END AS k_value
-      FROM sm WINDOW w AS (PARTITION BY site ORDER BY month ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"""
+      FROM sp WINDOW w AS (PARTITION BY site ORDER BY month ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"""
 
 
 @query("trailing_sum", _rolling(6, "sum"))
 def trailing_sum(spark, sf):
-    return S.trailing(site_months(spark, sf), SITE, 6).select("site", "month", F.round(F.col("k_value") + 1e-9, 4).alias("k_value"))
+    return S.trailing(spined_months(spark, sf), SITE, 6).select("site", "month", F.round(F.col("k_value") + 1e-9, 4).alias("k_value"))
 
 
 @query("trailing_mean", _rolling(12, "avg"))
 def trailing_mean(spark, sf):
-    return S.trailing(site_months(spark, sf), SITE, 12, "mean").select("site", "month", F.round(F.col("k_value") + 1e-9, 4).alias("k_value"))
+    return S.trailing(spined_months(spark, sf), SITE, 12, "mean").select("site", "month", F.round(F.col("k_value") + 1e-9, 4).alias("k_value"))
 
 
 @query("centred_mean", f"""WITH {SITE_MONTHS} SELECT site, month, CASE WHEN count(value) OVER w = 5 THEN round(avg(value) OVER w, 3) END AS c_value
-  FROM sm WINDOW w AS (PARTITION BY site ORDER BY month ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+  FROM sp WINDOW w AS (PARTITION BY site ORDER BY month ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def centred_mean(spark, sf):
-    return S.centred(site_months(spark, sf), SITE, 2).select("site", "month", F.round("c_value", 3).alias("c_value"))
+    return S.centred(spined_months(spark, sf), SITE, 2).select("site", "month", F.round("c_value", 3).alias("c_value"))
 
 
 @query("average_rank", """SELECT p_partkey, p_size, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS rank FROM part""")
@@ -371,13 +371,13 @@ def head_by_group(spark, sf):
 
 
 @query("water_year_to_date", f"""WITH {SITE_MONTHS} SELECT site, month, year(month) - CASE WHEN month(month) < 10 THEN 1 ELSE 0 END AS water_year,
-  round(sum(value) OVER (PARTITION BY site, year(month) - CASE WHEN month(month) < 10 THEN 1 ELSE 0 END ORDER BY month), 3) AS to_date FROM sm""")
+  round(sum(value) OVER (PARTITION BY site, year(month) - CASE WHEN month(month) < 10 THEN 1 ELSE 0 END ORDER BY month), 3) AS to_date FROM sp""")
 def water_year_to_date(spark, sf):
-    return S.water_year_to_date(site_months(spark, sf), SITE).select("site", "month", "water_year", F.round("to_date", 3).alias("to_date"))
+    return S.water_year_to_date(spined_months(spark, sf), SITE).select("site", "month", "water_year", F.round("to_date", 3).alias("to_date"))
 
 
 @query("run_lengths", f"""WITH {INDEX}, f AS (SELECT site, month, z < 0 AS flag FROM idx),
-  c AS (SELECT *, CASE WHEN lag(flag) OVER (PARTITION BY site ORDER BY month) = flag THEN 0 ELSE 1 END AS ch FROM f),
+  c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(flag) OVER w IS NOT DISTINCT FROM flag THEN 0 ELSE 1 END AS ch FROM f WINDOW w AS (PARTITION BY site ORDER BY month)),
   r AS (SELECT *, sum(ch) OVER (PARTITION BY site ORDER BY month) AS run FROM c)
   SELECT site, run, flag, min(month) AS start, count(*) AS length FROM r GROUP BY 1, 2, 3""")
 def run_lengths(spark, sf):
@@ -394,9 +394,9 @@ def rolling_years_rank(spark, sf):
     return r.select("site", "year", F.round("roll", 6).alias("roll"), F.rank().over(g.orderBy("roll")).alias("dry_rank"), F.round(F.try_divide(F.col("roll") - F.avg("roll").over(g), F.stddev_samp("roll").over(g)), 6).alias("score"))
 
 
-@query("empirical_cdf", f"WITH {INDEX} SELECT site, month, round(cume_dist() OVER (PARTITION BY site ORDER BY z), 6) AS ecdf FROM idx")
+@query("empirical_cdf", f"WITH {INDEX} SELECT site, month, round(cume_dist() OVER (PARTITION BY site ORDER BY z), 6) AS ecdf FROM idv")
 def empirical_cdf(spark, sf):
-    return index_months(spark, sf).select("site", "month", F.round(F.cume_dist().over(Window.partitionBy("site").orderBy("z")), 6).alias("ecdf"))
+    return index_values(spark, sf).select("site", "month", F.round(F.cume_dist().over(Window.partitionBy("site").orderBy("z")), 6).alias("ecdf"))
 
 
 @query("double_mass", f"""WITH {SITE_MONTHS}, b AS (SELECT month, avg(value) AS base FROM sm GROUP BY 1)

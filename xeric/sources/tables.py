@@ -62,20 +62,26 @@ def read_hydrograph(spark: SparkSession, path: str, missing: float = -1.2345) ->
     return rows.filter(F.col("pos") < F.col("start")[3].cast("int")).select("file", "kind", "site", "unit", F.timestamp_seconds(begin + F.col("pos") * step).alias("time"), F.when(F.abs(v - missing) > 1e-9, v).alias("value"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The cells ``c`` of each line, and its place (file, byte block and offset within it), which orders lines."""
+    rows = spark.read.text(path).withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
+    return rows.select(F.struct("_file", "_block", F.monotonically_increasing_id().alias("at")).alias("line"), F.split(F.trim("value"), r"\s+").alias("c"))
+
+
 def read_year_table(spark: SparkSession, path: str, missing_from: float = 9.99) -> DataFrame:
     """A climate index as lines of a year and twelve values to (month, value), the first value of a month; others skipped."""
-    cells = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("c")).filter((F.size("c") == 13) & F.col("c")[0].rlike(r"^\d{4}$"))
-    long = cells.select(F.col("c")[0].cast("int").alias("y"), F.posexplode(F.slice("c", 2, 12)).alias("m", "raw"))
+    cells = _lines(spark, path).filter((F.size("c") == 13) & F.col("c")[0].rlike(r"^\d{4}$"))
+    long = cells.select("line", F.col("c")[0].cast("int").alias("y"), F.posexplode(F.slice("c", 2, 12)).alias("m", "raw"))
     v = F.expr("try_cast(raw AS double)")
-    out = long.select(F.make_date("y", F.col("m") + 1, F.lit(1)).alias("month"), F.when(F.abs(v) < missing_from, v).alias("value"))
-    return out.groupBy("month").agg(F.max("value").alias("value"))
+    out = long.select("line", F.make_date("y", F.col("m") + 1, F.lit(1)).alias("month"), F.when(F.abs(v) < missing_from, v).alias("value"))
+    return out.groupBy("month").agg(F.min_by("value", "line").alias("value"))
 
 
 def read_season_table(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of season code, year, total and anomaly to (month, value)."""
-    cells = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("c")).filter(F.size("c") == 4)
+    """Lines of season code, year, total and anomaly to (month, value), the first line of a month."""
+    cells = _lines(spark, path).filter(F.size("c") == 4)
     number = F.create_map(*[F.lit(x) for kv in SEASON_MONTH.items() for x in kv])[F.col("c")[0]]
-    return cells.filter(F.col("c")[1].rlike(r"^\d{4}$") & number.isNotNull()).select(F.make_date(F.col("c")[1].cast("int"), number, F.lit(1)).alias("month"), F.col("c")[3].cast("double").alias("value")).dropDuplicates(["month"])
+    return cells.filter(F.col("c")[1].rlike(r"^\d{4}$") & number.isNotNull()).select("line", F.make_date(F.col("c")[1].cast("int"), number, F.lit(1)).alias("month"), F.col("c")[3].cast("double").alias("value")).groupBy("month").agg(F.min_by("value", "line").alias("value"))
 
 
 def first_name(columns: list[str], candidates: tuple[str, ...]) -> str:
