@@ -175,3 +175,82 @@ def test_operators_of_records_with_gaps(spark):
     assert len(flow) == 300 and all((x["z"] is None) == (v is None) for x, v in zip(sorted(flow, key=lambda q: (q["site"], q["month"])), [q[2] for q in rows], strict=True))
     assert risk.streamflow_index(d, ["site"], least_months=151).count() == 0
     assert {x["site"] for x in risk.noise_envelope(d, ["site"]).collect()} == {1, 2}
+
+
+def test_nearest_features_by_rings(spark):
+    from xeric.operators import spatial
+
+    r = np.random.default_rng(7)
+    f = np.concatenate([r.uniform(0, 10, (150, 2)), r.normal(30, 0.1, (100, 2)), [[3.0, 3.0], [3.0, 3.0]]])
+    p = np.concatenate([r.uniform(-20, 60, (300, 2)), [[3.0, 3.0]]])
+    d = np.hypot(p[:, None, 0] - f[None, :, 0], p[:, None, 1] - f[None, :, 1])
+    who, far = spatial.Features(f[:, 0], f[:, 1]).nearest(p[:, 0], p[:, 1])
+    assert np.allclose(far, d.min(1)) and (who == d.argmin(1)).all()
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "a int, x double, y double")
+    features = spark.createDataFrame([("u", 1.0, 0.0), ("b", 0.0, 1.0)], "k string, fx double, fy double")
+    got = {r["a"]: (r["k"], r["distance"]) for r in spatial.nearest_feature(points, features, "a", "k").collect()}
+    assert got == {1: ("b", 1.0), 2: (None, None)}
+    assert spatial.nearest_feature(points, features.limit(0), "a", "k").filter("k is not null").count() == 0
+
+
+def test_patterns_weighted_by_latitude(spark):
+    from xeric.operators import indices
+
+    r = np.random.default_rng(3)
+    base = r.normal(0, 1, 60)
+    x = np.stack([base + r.normal(0, 0.3, 60) for _ in range(4)], 1)
+    lat = [0.0, 30.0, 60.0, 80.0]
+    rows = [(s, t, float(x[i, s]), lat[s]) for i, t in enumerate(months(60)) for s in range(4) if not (i == 7 and s == 2)]
+    patterns, scores = indices.eof(spark.createDataFrame(rows, "site int, month date, value double, lat double"), "site", "month", "value", 2, lat="lat", kaiser=True)
+    keep = np.arange(60) != 7
+    own = [np.array([v for s, _, v, _ in rows if s == k]) for k in range(4)]
+    z = np.stack([(x[keep, k] - own[k].mean()) / own[k].std(ddof=1) * np.sqrt(np.cos(np.radians(lat[k]))) for k in range(4)], 1)
+    vec = np.linalg.eigh(z.T @ z)[1][:, -1]
+    got = [r["pattern_1"] for r in patterns.orderBy("site").collect()]
+    assert np.allclose(np.abs(got), np.abs(vec)) and len(patterns.columns) == 2 and scores.count() == 59
+
+
+def test_kendall_return_periods_grow_with_depth():
+    r = np.random.default_rng(11)
+    x = r.gamma(2, 1, 80)
+    y = x + r.gamma(2, 0.3, 80)
+    family, years = R.kendall_return_periods(x, y, 6.0)
+    assert family in ("clayton", "gumbel", "frank", "joe") and years[np.argmax(x + y)] > np.median(years) and (years >= 0.5 - 1e-9).all()
+
+
+def test_remote_tables(spark, tmp_path):
+    from xeric.sources import remote
+
+    def fetch(offset):
+        import json
+
+        return json.dumps([{"day": f"d{i}", "v": i + offset / 1000} for i in range(max(0, offset - 1), min(offset + 10, 25))])
+
+    got = {r["day"]: r["v"] for r in remote.read_pages(spark, fetch, 25, "day string, v double", 10, ["day"]).collect()}
+    assert len(got) == 25 and got["d9"] == 9.0 and got["d20"] == 20.02
+    calls = []
+
+    def flaky(offset):
+        calls.append(offset)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "[]"
+
+    assert remote.with_retries(flaky, 3, 0.0)(4) == "[]" and calls == [4, 4, 4]
+    with pytest.raises(OSError):
+        calls.clear()
+        remote.with_retries(flaky, 2, 0.0)(4)
+    html = "<table><TR><th>Month</th><th>mm</th></TR><tr class=a><td><b>Jan</b></td><td> 5 </td></tr><tr><td>only</td></tr></table>"
+    rows = remote.html_table(spark.createDataFrame([(1, html), (2, None), (3, "<p>none</p>")], "page int, html string"), "page", ["month", "mm"]).collect()
+    assert [(r["page"], r["month"], r["mm"]) for r in rows] == [(1, "Month", "mm"), (1, "Jan", "5")]
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(t, 1.0) for t in months(36)], "month date, value double")
+
+    for _ in range(2):
+        assert remote.cached_index(spark, str(tmp_path / "index"), make, 1981, 1981).count() == 12
+    assert made == [1]
+    remote.write_csv(make(), str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 36

@@ -130,6 +130,31 @@ def renewal_target(years: float, gap_months: float, cv: float) -> float:
     return float(np.clip(1 - happened / years / 12, 1e-9, 1 - 1e-9))
 
 
+def copula_cdf(family: str, p: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """C(u, v) of the one-parameter Archimedean families, else of independence."""
+    if family == "clayton":
+        return (u**-p + v**-p - 1) ** (-1 / p)
+    if family == "gumbel":
+        return np.exp(-(((-np.log(u)) ** p + (-np.log(v)) ** p) ** (1 / p)))
+    if family == "frank":
+        return -np.log1p(np.expm1(-p * u) * np.expm1(-p * v) / np.expm1(-p)) / p
+    if family == "joe":
+        a, b = (1 - u) ** p, (1 - v) ** p
+        return 1 - (a + b - a * b) ** (1 / p)
+    return u * v
+
+
+def kendall_return_periods(x: np.ndarray, y: np.ndarray, gap_months: float) -> tuple[str, np.ndarray]:
+    """Years between pairs at least as deep, by the Kendall function of the Archimedean copula of the ranks."""
+    n = len(x)
+    u, v = K.average_ranks(x) / (n + 1), K.average_ranks(y) / (n + 1)
+    family, p, *_ = K.fit_copula(u, v)
+    if family in ("gaussian", "independence"):
+        family, p = "frank", K.archimedean_parameter("frank", float(np.clip(K.kendall_tau(u, v), 0.02, 0.94)))
+    beyond = 1 - K.kendall_cdf(family, p, np.clip(copula_cdf(family, p, u, v), 1e-9, 1 - 1e-9))
+    return family, np.where(beyond > 0, gap_months / 12 / np.maximum(beyond, 1e-12), np.inf)
+
+
 def conditional_level(family: str, p: float, u: np.ndarray, v: float) -> np.ndarray:
     """P(U <= u | V = v) under a copula: its derivative by v."""
     u = np.clip(u, 1e-9, 1 - 1e-9)

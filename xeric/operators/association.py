@@ -57,6 +57,12 @@ def composite(df: DataFrame, keys: list[str], event: str, value: str) -> DataFra
     return g.select(*keys, "n_event", "event_mean", "other_mean", F.try_divide(F.col("event_mean") - F.col("other_mean"), se).alias("t"))
 
 
+def lagged_composite(events: DataFrame, series: DataFrame, keys: list[str], event: str, value: str, lags: int = 3, time: str = "month") -> DataFrame:
+    """The composite of the series at event times and 0..lags months before them, as ``lag``; one join for all lags."""
+    before = events.select(time, event).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn(time, F.add_months(time, -F.col("lag")))
+    return composite(series.join(before, time), [*keys, "lag"], event, value)
+
+
 def decomposition(df: DataFrame, full: str, thermal: str, gate: float = -0.5) -> DataFrame:
     """Dynamic part and, in months at or below the gate, the parts' shares."""
     dry = F.col(full) <= gate

@@ -53,9 +53,11 @@ def soil_index(df: DataFrame, entity: list[str], kind: str = "beta", value: str
     return _by_calendar_month(df, entity, lambda x, y: (f(x), kind), value, time, "kind string")
 
 
-def snow_index(df: DataFrame, entity: list[str], value: str = "k_value", time: str = "month", least_share: float = 0.75) -> DataFrame:
+def snow_index(df: DataFrame, entity: list[str], value: str = "k_value", time: str = "month", least_share: float = 0.75, cover: str | None = None, least_cover: float = 10.0) -> DataFrame:
     """Snow ranks by calendar month where enough values are above 0; zeros take hashed places below the least of them.
 
+    With ``cover``, a column of the snow-covered share in %, calendar months whose mean is below ``least_cover`` have none.
+
     The places come from a hash of entity and time, so that a rerun gives the same index.
     """
     w = Window.partitionBy(*entity, F.month(time))
@@ -63,7 +65,8 @@ def snow_index(df: DataFrame, entity: list[str], value: str = "k_value", time: s
     low = F.min(F.when(v > 0, v)).over(w)
     share = F.sum((v > 0).cast("double")).over(w) / F.count(v).over(w)
     u = (F.pmod(F.xxhash64(*entity, time), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    d = df.withColumn("cal_month", F.month(time)).withColumn("_v", F.when(share >= least_share, F.when(v > 0, v).when(v == 0, u * low)))
+    enough = share >= least_share if cover is None else (share >= least_share) & (F.avg(cover).over(w) >= least_cover)
+    d = df.withColumn("cal_month", F.month(time)).withColumn("_v", F.when(enough, F.when(v > 0, v).when(v == 0, u * low)))
     d = average_rank(d, [*entity, "cal_month"], "_v")
     from xeric.functions.labels import normal_quantile
 
@@ -151,26 +154,44 @@ def robust_slope(df: DataFrame, entity: list[str], x: str, y: str, time: str = "
     return df.select(*entity, time, x, y).groupBy(*entity).applyInPandas(run, schema)
 
 
-def eof(df: DataFrame, site: str, time: str, value: str, k: int = 3, most_sites: int = 2000) -> tuple[DataFrame, DataFrame]:
+def _moments(batches):
+    """Batches of complete times' arrays -> the rows of the sum of their outer products."""
+    total = None
+    for pdf in batches:
+        if len(pdf):
+            x = np.stack(pdf["_x"].to_numpy())
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        yield pd.DataFrame({"_i": np.arange(len(total)), "_row": list(total)})
+
+
+def eof(df: DataFrame, site: str, time: str, value: str, k: int = 3, most_sites: int = 2000, lat: str | None = None, kaiser: bool = False) -> tuple[DataFrame, DataFrame]:
     """Leading patterns of standardised series: (site, pattern columns) and (time, score columns).
 
-    Moments are summed by Spark; the driver gets one number for each pair of sites, whose number is checked, and no row
-    of the series. Times at which a site has no value are left out. A pattern's sign makes its sum positive.
+    Each time's values become one array; a task sums its arrays' outer products in one pass and gives out one row for
+    each site, so what is shuffled and sent to the driver is a matrix of at most ``most_sites`` squared, checked, and no
+    row of the series. Times at which a site has no value are left out. With ``lat`` values are weighted by the root of
+    its cosine; with ``kaiser`` only patterns of more than the mean variance stay. A pattern's sign makes its sum positive.
     """
     w = Window.partitionBy(site)
-    d = df.filter(F.col(value).isNotNull()).withColumn("_z", F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w))).filter("_z is not null")
-    n_sites = d.select(site).distinct().count()
-    if n_sites > most_sites:
-        raise ValueError(f"{n_sites} sites; eof takes {most_sites}: aggregate cells first")
-    full = d.groupBy(time).agg(F.count("*").alias("_n")).filter(F.col("_n") == n_sites).select(time)
-    d = d.join(full, time).select(site, time, "_z")
-    a, b = d.select(time, F.col(site).alias("_i"), F.col("_z").alias("_a")), d.select(time, F.col(site).alias("_j"), F.col("_z").alias("_b"))
-    pairs = a.join(b, time).filter("_i <= _j").groupBy("_i", "_j").agg(F.sum(F.col("_a") * F.col("_b")).alias("_s")).collect()
-    names = sorted({r["_i"] for r in pairs})
-    place = {s: i for i, s in enumerate(names)}
+    z = F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w))
+    d = df.filter(F.col(value).isNotNull()).withColumn("_z", z if lat is None else z * F.sqrt(F.cos(F.radians(F.col(lat))))).filter("_z is not null").select(site, time, "_z")
+    names = [r[0] for r in d.select(site).distinct().orderBy(site).limit(most_sites + 1).collect()]
+    if len(names) > most_sites:
+        raise ValueError(f"over {most_sites} sites: aggregate cells first")
+    full = d.groupBy(time).agg(F.sort_array(F.collect_list(F.struct(site, "_z"))).alias("_s")).filter(F.size("_s") == len(names))
+    parts = full.select(F.transform("_s", lambda e: e["_z"]).alias("_x")).mapInPandas(_moments, "_i int, _row array<double>")
     m = np.zeros((len(names), len(names)))
-    for r in pairs:
-        m[place[r["_i"]], place[r["_j"]]] = m[place[r["_j"]], place[r["_i"]]] = r["_s"]
+    sums = lambda pdf: pd.DataFrame({"_i": [pdf["_i"].iloc[0]], "_row": [np.sum(np.stack(pdf["_row"].to_numpy()), axis=0)]})
+    found = parts.groupBy("_i").applyInPandas(sums, "_i int, _row array<double>").collect()
+    for r in found:
+        m[r["_i"]] = r["_row"]
+    if not found:
+        names = []
+        m = np.zeros((0, 0))
+    d = d.join(full.select(time), time)
+    if kaiser and len(names):
+        k = max(1, min(k, int((np.linalg.eigvalsh(m) > np.trace(m) / len(m)).sum())))
     values, vectors = np.linalg.eigh(m) if names else (np.zeros(k), np.zeros((0, k)))
     order = np.argsort(-values, kind="stable")[:k]
     vectors = vectors[:, order] * np.where(vectors[:, order].sum(0) < 0, -1, 1)

@@ -112,6 +112,18 @@ def vine_order(df: DataFrame, entity: list[str], columns: list[str]) -> DataFram
     return _per_record(df.dropna(subset=columns), entity, columns, run, "vine string")
 
 
+def kendall_return_period(df: DataFrame, entity: list[str], x: str, y: str, gap: str) -> DataFrame:
+    """Kendall return period of each row's pair within its entity; entities of under ten rows have none."""
+    d = df.select(*entity, "month", *[F.col(c).cast("double").alias(f"_{k}") for k, c in zip("xyg", (x, y, gap), strict=True)]).dropna()
+
+    def run(pdf):
+        if len(pdf) >= 10:
+            family, years = R.kendall_return_periods(pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float), float(pdf["_g"].iloc[0]))
+            yield from zip(pdf["month"], years.tolist(), [family] * len(pdf), strict=True)
+
+    return _per_record(d, entity, ["_x", "_y", "_g"], run, "month date, years double, family string")
+
+
 def extreme_return_period(df: DataFrame, entity: list[str], first_year: int, last_year: int, value: str = "value") -> DataFrame:
     """Return period of the focus years' mean by a GEV distribution of the yearly maxima."""
     d = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))

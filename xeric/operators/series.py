@@ -55,12 +55,13 @@ def anomaly(df: DataFrame, entity: list[str], first_year: int | None = None, las
     return df.withColumn("reference", reference).withColumn("anomaly", F.col(value) - reference)
 
 
-def detrend_by_month(df: DataFrame, entity: list[str], value: str = "value", time: str = "month") -> DataFrame:
-    """Subtract each calendar month's linear trend over the years, keeping the mean."""
+def detrend_by_month(df: DataFrame, entity: list[str], value: str = "value", time: str = "month", cap: str | None = None) -> DataFrame:
+    """Subtract each calendar month's linear trend over the years, keeping the mean; not above the ``cap`` column."""
     y = F.year(time).cast("double")
     fit = df.groupBy(*entity, F.month(time).alias("cal_month")).agg(F.regr_slope(value, y).alias("slope"), F.avg(F.when(F.col(value).isNotNull(), y)).alias("mean_year"))
     j = df.withColumn("cal_month", F.month(time)).join(fit, [*entity, "cal_month"])
-    return j.withColumn("detrended", F.col(value) - F.coalesce("slope", F.lit(0.0)) * (y - F.col("mean_year")))
+    out = F.col(value) - F.coalesce("slope", F.lit(0.0)) * (y - F.col("mean_year"))
+    return j.withColumn("detrended", out if cap is None else F.least(out, F.col(cap)))
 
 
 def annual(df: DataFrame, entity: list[str], how: str = "sum", least: int = 6, months: tuple[int, ...] | None = None, value: str = "value", time: str = "month") -> DataFrame:

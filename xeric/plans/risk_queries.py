@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from xeric.functions.labels import normal_quantile, normal_quantile_sql
+from xeric.operators import association as A
 from xeric.operators import bias as B
 from xeric.operators import events as E
 from xeric.operators import physical as H
@@ -216,3 +217,18 @@ def vine_order(spark, sf):
 @query("extreme_return_period")
 def extreme_return_period(spark, sf):
     return K.extreme_return_period(site_months(spark, sf), SITE, 1997, 1998)
+
+
+@query("kendall_return_period")
+def kendall_return_period(spark, sf):
+    return K.kendall_return_period(_pairs(spark, sf).withColumn("gap", F.lit(6.0)), SITE, "x", "y", "gap")
+
+
+@query("lagged_composite", f"""WITH {INDEX}, e AS (SELECT month, avg(z) < -0.1 AS dry FROM idv GROUP BY 1),
+  l AS (SELECT lag, CAST(month - to_months(CAST(lag AS INT)) AS DATE) AS month, dry FROM e, (SELECT unnest(range(0, 4)) AS lag)),
+  j AS (SELECT sm.site, lag, value, dry FROM sm JOIN l USING (month))
+  SELECT site, lag, count(*) FILTER (dry) AS n_event, round(avg(value) FILTER (dry) + 1e-9, 4) AS event_mean, round(avg(value) FILTER (NOT dry) + 1e-9, 4) AS other_mean FROM j GROUP BY 1, 2""")
+def lagged_composite(spark, sf):
+    e = index_values(spark, sf).groupBy("month").agg((F.avg("z") < -0.1).alias("dry"))
+    out = A.lagged_composite(e, site_months(spark, sf), SITE, "dry", "value")
+    return out.select("site", "lag", "n_event", F.round(F.col("event_mean") + 1e-9, 4).alias("event_mean"), F.round(F.col("other_mean") + 1e-9, 4).alias("other_mean"))
