@@ -254,3 +254,39 @@ def test_remote_tables(spark, tmp_path):
     assert made == [1]
     remote.write_csv(make(), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 36
+
+
+def test_heterogeneity_tells_like_sites_from_unlike():
+    r = np.random.default_rng(10)
+
+    def lcv(x):
+        l1, l2, *_ = K.l_moments(np.sort(x))
+        return l2 / l1
+
+    like = [lcv(r.gamma(3, 1, 40)) for _ in range(12)]
+    unlike = [lcv(r.gamma(k, 1, 40)) for k in [0.5] * 6 + [12] * 6]
+    assert abs(R.heterogeneity([40] * 12, like)) < 2 < 5 < R.heterogeneity([40] * 12, unlike) and np.isnan(R.heterogeneity([40], like[:1]))
+    assert [R.shrink_weight(h) for h in (0.0, 0.8, 1.0, 1.2, 3.0, np.nan)] == pytest.approx([1, 1, 0.5, 0, 0, 0])
+
+
+def test_regional_index_between_region_and_site(spark):
+    r = np.random.default_rng(12)
+    x = r.gamma(3, 2, 60)
+    ref = np.ones(60, bool)
+    local, _ = K.spi(x, ref, 15, 15, 5.0)
+    whole, m1 = R.regional_index(x, ref, 0.3, 1.0)
+    half, m6 = R.regional_index(x, ref, 0.3, 0.5)
+    none, m3 = R.regional_index(x, ref, 0.3, 0.0)
+    assert (m1, m6, m3) == (1, 6, 3) and np.allclose(none, local)
+    assert ((half >= np.minimum(whole, local) - 1e-9) & (half <= np.maximum(whole, local) + 1e-9)).all()
+    rows = [(s, s % 2, t, float(v) if i % 9 else None) for s in range(6) for i, (t, v) in enumerate(zip(months(240), r.gamma(3, 2, 240), strict=True))]
+    d = spark.createDataFrame(rows, "site int, region int, month date, k_value double")
+    got = risk.regional_index(d, ["region"], "site", 1980, 1999).collect()
+    assert len(got) == len(rows) and {g["method"] for g in got} <= {0, 1, 3, 6} and abs(np.mean([g["z"] for g in got if g["z"] is not None])) < 0.1
+
+
+def test_joint_places_by_hand():
+    u = np.array([[0.2, 0.4], [0.4, 0.2], [0.6, 0.6], [0.8, 0.8]])
+    base, place, share = R.joint_places(u)
+    assert base.tolist() == [0.25, 0.25, 0.75, 1.0] and place.tolist() == [0.4, 0.4, 0.6, 0.8]
+    assert np.allclose(np.abs(share).sum(1), 1) and share[3].tolist() == [-0.5, -0.5]

@@ -323,3 +323,77 @@ def vine_order(tau: np.ndarray) -> list[int]:
         rest.remove(k)
         chain = [k, *chain] if t[k, chain[0]] >= t[k, chain[-1]] else [*chain, k]
     return chain
+
+
+def heterogeneity(lengths: np.ndarray, lcv: np.ndarray, draws: int = 200, seed: int = 123) -> float:
+    """H: how far the spread of sites' L-CV is above that of homogeneous sites, in standard deviations of simulations.
+
+    Sites are simulated with their own record lengths from a gamma distribution of the pooled L-CV (no kappa is fitted).
+    """
+    lengths, lcv = np.asarray(lengths, int), np.asarray(lcv, float)
+    if len(lengths) < 2:
+        return np.nan
+    w = lengths / lengths.sum()
+    mean = float((w * lcv).sum())
+    if not 0 < mean < 1:
+        return np.nan
+    shape, scale = K.fit_gamma(1.0, mean)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    spread = lambda t: np.sqrt((w * (t - (w * t).sum(-1, keepdims=True)) ** 2).sum(-1))
+    sim = np.empty((draws, len(lengths)))
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        x = np.sort(rng.gamma(shape, scale, (draws, len(at), n)), axis=2)
+        b0, b1 = x.mean(2), (x * np.arange(n)).mean(2) / (n - 1)
+        sim[:, at] = (2 * b1 - b0) / b0
+    v = spread(sim)
+    return float((spread(lcv[None])[0] - v.mean()) / v.std(ddof=1))
+
+
+def shrink_weight(h: float, threshold: float = 1.0, band: float = 0.2) -> float:
+    """How much of the regional fit is taken: all below the band around the threshold, none above it."""
+    return float(np.clip((threshold + band - h) / (2 * band), 0, 1)) if np.isfinite(h) else 0.0
+
+
+def regional_index(x: np.ndarray, reference: np.ndarray, lcv: float, weight: float, least: int = 15, limit: float = 5.0) -> tuple[np.ndarray, int]:
+    """Index of one calendar month from the region's gamma distribution of x / mean, blended with the local fit.
+
+    Method 1 regional, 6 blended, local ones plus 2 (3 gamma, 4 ranks, 5 constant), 0 none.
+    """
+    ok = np.isfinite(x)
+    mean = x[ok & reference].mean() if (ok & reference).any() else np.nan
+    local, method = K.spi(x, reference, least, least, limit)
+    if not (mean > 0 and 0 < lcv < 1 and weight > 0):
+        return local, method + 2 if method else 0
+    shape, scale = K.fit_gamma(1.0, lcv)
+    p0 = float((x[ok & reference] <= 0).mean())
+    p = np.where(x[ok] > 0, p0 + (1 - p0) * K.gamma_p(shape, np.maximum(x[ok], 0) / mean / scale), p0)
+    if weight < 1 - 1e-9:
+        own = local[ok]
+        p = np.where(np.isfinite(own), weight * p + (1 - weight) * normal_cdf(np.nan_to_num(own)), p)
+    out = np.full(len(x), np.nan)
+    out[ok] = np.clip(K.norm_quantile(np.clip(p, 1e-6, 1 - 1e-6)), -limit, limit)
+    return out, 1 if weight >= 1 - 1e-9 else 6
+
+
+def joint_places(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of pseudo-observations: the empirical copula, its Kendall place, and each variable's contribution.
+
+    The copula is the share of rows at or below in all variables; a row's place is the share of rows whose copula is at
+    or below its own, over n + 1. A contribution is what the copula gains if the variable is set to 0.5, over the sum of
+    absolute gains.
+    """
+    n, d = u.shape
+
+    def copula(at: np.ndarray) -> np.ndarray:
+        return np.array([(u <= a).all(1).sum() for a in at]) / n
+
+    base = copula(u)
+    place = np.searchsorted(np.sort(base), base, side="right") / (n + 1)
+    gains = np.empty((n, d))
+    for k in range(d):
+        neutral = u.copy()
+        neutral[:, k] = 0.5
+        gains[:, k] = copula(neutral) - base
+    total = np.abs(gains).sum(1)
+    return base, place, gains / np.where(total == 0, 1, total)[:, None]

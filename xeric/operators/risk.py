@@ -13,6 +13,7 @@ from xeric.functions import risk_kernels as R
 from .events import detect_events
 from .indices import _by_calendar_month, spei
 from .placement import rolling_tau
+from .frequency import l_moments
 from .series import detrend_by_month, trailing
 
 
@@ -134,3 +135,55 @@ def extreme_return_period(df: DataFrame, entity: list[str], first_year: int, las
         yield float(focus), R.gev_return_period(pdf.groupby(years)["_v"].max().to_numpy(float), float(focus))
 
     return _per_record(d, entity, ["_v"], run, "focus double, years double")
+
+
+def region_homogeneity(df: DataFrame, region: list[str], site: str, value: str = "value", least: int = 5) -> DataFrame:
+    """H of each region and its pooled L-CV: sites' L-moments are columns; a region's kernel sees two numbers a site."""
+    d = l_moments(df.filter(F.col(value) > 0), [*region, site], value).filter(F.col("n") >= least)
+    d = d.select(*region, F.col(site).alias("month"), F.col("n").cast("int").alias("_n"), F.try_divide("l2", "l1").alias("_t"))
+
+    def run(pdf):
+        n, t = pdf["_n"].to_numpy(int), pdf["_t"].to_numpy(float)
+        h = R.heterogeneity(n, t)
+        yield len(n), float((n * t).sum() / n.sum()), h if np.isfinite(h) else None, R.shrink_weight(h)
+
+    return _per_record(d, region, ["_n", "_t"], run, "n_sites int, lcv double, h double, weight double")
+
+
+def regional_index(df: DataFrame, region: list[str], site: str, first_year: int, last_year: int, value: str = "k_value", time: str = "month", least: int = 15) -> DataFrame:
+    """Local index drawn towards its region's by how homogeneous the region is, by calendar month.
+
+    The regional fit pools the reference years' values over each site's mean; one shuffle by site and month, and one row
+    for each region and month is joined to them.
+    """
+    d = df.withColumn("cal_month", F.month(time))
+    inside = d.filter(F.year(time).between(first_year, last_year) & (F.col(value) > 0))
+    pooled = region_homogeneity(inside, [*region, "cal_month"], site, value, min(5, least)).select(*region, "cal_month", "lcv", "weight")
+    rows = d.join(pooled, [*region, "cal_month"], "left").select(*region, site, "cal_month", F.col(time).alias("month"), F.col(value).cast("double").alias("x"), "lcv", "weight")
+    kinds = dict(rows.dtypes)
+    keys = [*region, site, "cal_month"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        year = pd.to_datetime(pdf["month"]).dt.year.to_numpy()
+        lcv, weight = (float(pdf[c].fillna(0.0).iloc[0]) for c in ("lcv", "weight"))
+        z, method = R.regional_index(pdf["x"].to_numpy(float), (year >= first_year) & (year <= last_year), lcv, weight, least)
+        out = pdf[[*keys, "month"]].copy()
+        out["z"], out["method"] = np.where(np.isfinite(z), z, None), method
+        return out
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "month"]) + ", z double, method int"
+    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
+def joint_index(df: DataFrame, entity: list[str], columns: list[str]) -> DataFrame:
+    """Empirical joint index of several pseudo-observations by entity, and each one's contribution.
+
+    The place is that of the empirical copula's Kendall function, not of a fitted vine.
+    """
+
+    def run(pdf):
+        base, place, share = R.joint_places(pdf[columns].to_numpy(float))
+        yield from zip(pdf["month"], base.tolist(), place.tolist(), *share.T.tolist(), strict=True)
+
+    schema = "month date, copula double, place double, " + ", ".join(f"share_{c} double" for c in columns)
+    return _per_record(df.dropna(subset=columns), entity, columns, run, schema)

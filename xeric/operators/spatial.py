@@ -133,3 +133,22 @@ def rank_top(df: DataFrame, groups: list[str], order: list, n: int, ties: bool =
     """The first n rows of each group; with ``ties`` all rows that share the last place."""
     w = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn("_n", F.rank().over(w) if ties else F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def build_regions(pixels: DataFrame, pixel: str, bands: int = 4, least: int = 8) -> DataFrame:
+    """Regions of pixels (pixel, x, y, elevation, aspect): elevation quantile band by aspect quarter, small ones merged.
+
+    Aspect is in degrees from north and 0 for flat; regions of under ``least`` pixels go to the large region with the
+    nearest centroid (of equals the smaller number). Band edges are type-7 quantiles. What is broadcast is one row a
+    region, of which there are at most 5 * bands.
+    """
+    edges = pixels.agg(F.percentile("elevation", [i / bands for i in range(1, bands)]).alias("e")).first()["e"] or []
+    e = sorted(set(edges))
+    band = sum([(F.col("elevation") > F.lit(x)).cast("int") for x in e], F.lit(0))
+    quarter = F.when(F.col("aspect").isNull() | (F.col("aspect") < 0), 0).otherwise(F.floor(((F.col("aspect") + 45) % 360) / 90) + 1)
+    d = pixels.filter("elevation is not null").withColumn("_region", (band * 5 + quarter).cast("int"))
+    centres = d.groupBy("_region").agg(F.count("*").alias("_n"), F.avg("x").alias("_x"), F.avg("y").alias("_y"))
+    large = centres.filter(F.col("_n") >= least).select(F.col("_region").alias("_to"), F.col("_x").alias("_tx"), F.col("_y").alias("_ty"))
+    far = F.struct((F.pow(F.col("_x") - F.col("_tx"), 2) + F.pow(F.col("_y") - F.col("_ty"), 2)).alias("d"), F.col("_to").alias("to"))
+    merged = centres.filter(F.col("_n") < least).join(F.broadcast(large)).groupBy("_region").agg(F.min(far)["to"].alias("_to"))
+    return d.join(F.broadcast(merged), "_region", "left").select(pixel, F.coalesce("_to", "_region").alias("region"))

@@ -11,10 +11,12 @@ from xeric.operators import events as E
 from xeric.operators import physical as H
 from xeric.operators import placement as P
 from xeric.operators import risk as K
-from xeric.operators.series import average_rank
+from xeric.operators import frequency as Q
+from xeric.operators import spatial as S
+from xeric.operators.series import average_rank, trailing
 
 from .base import INDEX, SITE_MONTHS, index_months, index_values, query, site_months, spined_months, table
-from .event_queries import _PAIR, SITE, _events_sql, _pairs, r6
+from .event_queries import _PAIR, _U, SITE, _events_sql, _pairs, r6
 
 
 @query("overlapping_events", f"""WITH {INDEX}, {_events_sql('idx', -0.5, -0.5)}
@@ -232,3 +234,39 @@ def lagged_composite(spark, sf):
     e = index_values(spark, sf).groupBy("month").agg((F.avg("z") < -0.1).alias("dry"))
     out = A.lagged_composite(e, site_months(spark, sf), SITE, "dry", "value")
     return out.select("site", "lag", "n_event", F.round(F.col("event_mean") + 1e-9, 4).alias("event_mean"), F.round(F.col("other_mean") + 1e-9, 4).alias("other_mean"))
+
+
+_JOINT = f"""{SITE_MONTHS}, {_PAIR}, {_U}, c AS (SELECT a.site, a.month, count(*) FILTER (b.u <= a.u AND b.v <= a.v) * 1.0 / count(*) AS base,
+  count(*) FILTER (0.5 >= b.u AND b.v <= a.v) * 1.0 / count(*) AS nu, count(*) FILTER (b.u <= a.u AND 0.5 >= b.v) * 1.0 / count(*) AS nv FROM ps a JOIN ps b ON a.site = b.site GROUP BY 1, 2),
+  g AS (SELECT *, abs(nu - base) + abs(nv - base) AS t FROM c)"""
+
+
+@query("joint_index", f"""WITH {_JOINT} SELECT site, month, round(base, 6) AS copula, round((rank() OVER (PARTITION BY site ORDER BY round(base, 9)) + count(*) OVER (PARTITION BY site, round(base, 9)) - 1) * 1.0 / (count(*) OVER (PARTITION BY site) + 1), 6) AS place,
+  round((nu - base) / CASE WHEN t = 0 THEN 1 ELSE t END, 6) AS share_u, round((nv - base) / CASE WHEN t = 0 THEN 1 ELSE t END, 6) AS share_v FROM g""")
+def joint_index(spark, sf):
+    d = Q.pseudo_observations(_pairs(spark, sf), SITE, ["x", "y"]).select("site", "month", F.col("u_x").alias("u"), F.col("u_y").alias("v"))
+    return r6(K.joint_index(d, SITE, ["u", "v"]), "copula", "place", "share_u", "share_v")
+
+
+@query("build_regions", """WITH p AS (SELECT c_custkey AS pixel, c_nationkey % 5 * 1.0 AS x, floor(c_nationkey / 5) * 1.0 AS y, c_acctbal AS elevation, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey * 37 % 360 * 1.0 END AS aspect FROM customer),
+  q AS (SELECT quantile_cont(elevation, 0.25) AS a, quantile_cont(elevation, 0.5) AS b, quantile_cont(elevation, 0.75) AS c FROM p),
+  r AS (SELECT p.*, CAST(((elevation > a)::INT + (elevation > b)::INT + (elevation > c)::INT) * 5 + CASE WHEN aspect IS NULL THEN 0 ELSE floor((aspect + 45) % 360 / 90) + 1 END AS INT) AS rg FROM p, q),
+  m AS (SELECT rg, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM r GROUP BY 1),
+  t AS (SELECT s.rg, l.rg AS target FROM m s, m l WHERE s.n < 60 AND l.n >= 60 QUALIFY row_number() OVER (PARTITION BY s.rg ORDER BY pow(s.mx - l.mx, 2) + pow(s.my - l.my, 2), l.rg) = 1)
+  SELECT pixel, coalesce(target, r.rg) AS region FROM r LEFT JOIN t ON t.rg = r.rg""")
+def build_regions(spark, sf):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    p = table(spark, sf, "customer").select(k.alias("pixel"), (n % 5 * 1.0).alias("x"), (F.floor(n / 5) * 1.0).alias("y"), F.col("c_acctbal").alias("elevation"), F.when(k % 7 != 0, k * 37 % 360 * 1.0).alias("aspect"))
+    return S.build_regions(p, "pixel", least=60)
+
+
+@query("region_homogeneity")
+def region_homogeneity(spark, sf):
+    return K.region_homogeneity(site_months(spark, sf).withColumn("region", F.col("site") % 3), ["region"], "site")
+
+
+@query("regional_index")
+def regional_index(spark, sf):
+    """With a gate of 5 reference values, as the tables hold 6 or 7 years."""
+    d = trailing(spined_months(spark, sf), SITE, 3).withColumn("region", F.col("site") % 3)
+    return K.regional_index(d, ["region"], "site", 1995, 2000, least=5)
