@@ -27,7 +27,7 @@ BROADCAST_IDS = 2_000_000
 #: Shingles of large buckets whose frequency orders their sets (16 bytes each, sent to all tasks).
 COMMON = 65_536
 SLICE_CHARS = 3_000_000
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 
 def minimum_matches(threshold: float, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> dict[int, int]:
@@ -165,6 +165,7 @@ def _signed(words: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(counts, pa.int64()), pa.array(p1, pa.int64()), pa.array(p2, pa.int64()), binary, lists], names=["id", "n", "p1", "p2", "sig", "bands"])
                 done += len(part)
+        s.known = {}  # the worker lives on after the task
 
     return run
 
@@ -185,6 +186,7 @@ def _set_rows(words: int):
                 binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(p1, pa.int64()), binary], names=["id", "p1", "hashes"])
                 done += len(part)
+        s.known = {}
 
     return run
 

@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 #: A word or character sequence must be in so many training documents to have an evidence value.
 LEAST_DOCS = 3
 SLICE_CHARS = 2_000_000
-REMEMBER = 300_000
+REMEMBER = 120_000
 WINDOWS_AT_ONCE = 4096
 SEED = 3
 word_runs = re.compile(r"[^\W\d_]+").findall
