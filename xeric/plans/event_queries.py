@@ -90,14 +90,14 @@ def flow_droughts(spark, sf):
     return m.groupBy("site", "start").agg(F.count("*").alias("months"), F.round(F.sum(F.when(F.col("z") < -0.84, F.abs("z"))), 6).alias("severity")).withColumn("season", L.season(F.col("start")))
 
 
-@query("area_events", f"""WITH {INDEX}, sa AS (SELECT 0 AS site, month, avg(CASE WHEN z < -0.5 THEN 1.0 ELSE 0.0 END) AS area, coalesce(avg(-0.5 - z) FILTER (z < -0.5), 0) AS sev, CASE WHEN coalesce(avg(-0.5 - z) FILTER (z < -0.5), 0) > 0.3 THEN -1.0 ELSE 1.0 END AS z FROM idx GROUP BY month),
+@query("area_events", f"""WITH {INDEX}, sa AS (SELECT 0 AS site, month, avg(CASE WHEN z < -0.5 THEN 1.0 ELSE 0.0 END) AS area, coalesce(avg(-0.5 - z) FILTER (z < -0.5), 0) AS sev, CASE WHEN coalesce(avg(-0.5 - z) FILTER (z < -0.5), 0) > 0.3 THEN -1.0 ELSE 1.0 END AS z FROM idv GROUP BY month),
   {_events_sql('sa', 0.0, 0.0, least=2)}
   SELECT ev.start, ev.finish, ev.duration, round(avg(x.sev), 6) AS mean_severity, round(max(x.sev), 6) AS max_severity, round(avg(x.area), 6) AS mean_area, round(max(x.area), 6) AS max_area
   FROM ev JOIN sa x ON x.month BETWEEN ev.start AND ev.finish GROUP BY 1, 2, 3""")
 def area_events(spark, sf):
     dry = F.col("z") < -0.5
     sev = F.coalesce(F.avg(F.when(dry, -0.5 - F.col("z"))), F.lit(0.0))
-    sa = index_months(spark, sf).groupBy("month").agg(F.avg(dry.cast("double")).alias("area"), sev.alias("sev")).withColumn("site", F.lit(0))
+    sa = index_values(spark, sf).groupBy("month").agg(F.avg(dry.cast("double")).alias("area"), sev.alias("sev")).withColumn("site", F.lit(0))
     sa = sa.withColumn("z", F.when(F.col("sev") > 0.3, -1.0).otherwise(1.0))
     m = E.months_of_events(sa, E.detect_events(sa, SITE, 0.0, min_months=2, value="z").withColumnRenamed("duration", "d").select("site", "event", "start", "finish", "d"), SITE)
     return m.groupBy("start", "finish").agg(F.count("*").alias("duration"), *[F.round(f(c), 6).alias(n) for f, c, n in ((F.avg, "sev", "mean_severity"), (F.max, "sev", "max_severity"), (F.avg, "area", "mean_area"), (F.max, "area", "max_area"))])
