@@ -608,8 +608,19 @@ def block_bootstrap_mean(x: np.ndarray, draws: int = 1000, block: int = 6, seed:
     return float(lo), float(hi)
 
 
+def _weibull_shape(logs: np.ndarray) -> float:
+    """The likeliest Weibull shape of a sample, from its logarithms, by bisection."""
+    mean, top = logs.mean(), logs.max()
+    low, high = 1e-3, 1e3
+    for _ in range(100):
+        k = sqrt(low * high)
+        w = np.exp(k * (logs - top))
+        low, high = (k, high) if (w * logs).sum() / w.sum() - 1 / k < mean else (low, k)
+    return sqrt(low * high)
+
+
 def best_margin(x: np.ndarray) -> tuple[str, tuple[float, float], float]:
-    """Family, parameters and AIC of the best margin; positive families only for positive samples."""
+    """Family, parameters and AIC of the best margin; positive families only for positive samples, beta within (0, 1)."""
     n, m, s = len(x), x.mean(), x.std()
     found = [("norm", (m, s), -n * log(s * sqrt(2 * pi)) - ((x - m) ** 2).sum() / (2 * s * s), 2)]
     sc = s * sqrt(3) / pi
@@ -621,6 +632,14 @@ def best_margin(x: np.ndarray) -> tuple[str, tuple[float, float], float]:
         found.append(("gamma", (a, b), float(((a - 1) * np.log(x) - x / b).sum() - n * (lgamma(a) + a * log(b))), 2))
         v = np.log(x)
         found.append(("lnorm", (v.mean(), v.std()), float(-v.sum() - n * log(v.std() * sqrt(2 * pi)) - n / 2), 2))
+        k = _weibull_shape(v)
+        scale = float(np.mean(x**k) ** (1 / k))
+        found.append(("weibull", (k, scale), float(n * log(k) - n * k * log(scale) + (k - 1) * v.sum() - ((x / scale) ** k).sum()), 2))
+        if (x < 1).all() and s * s < m * (1 - m):
+            c = m * (1 - m) / (s * s) - 1
+            a, b = m * c, (1 - m) * c
+            ll = (a - 1) * v.sum() + (b - 1) * np.log1p(-x).sum() + n * (lgamma(a + b) - lgamma(a) - lgamma(b))
+            found.append(("beta", (a, b), float(ll), 2))
     scored = [(2 * k - 2 * ll, f, p) for f, p, ll, k in found if np.isfinite(ll)]
     aic, f, p = min(scored, key=lambda z: z[0])
     return f, (float(p[0]), float(p[1])), float(aic)

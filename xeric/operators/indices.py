@@ -247,7 +247,7 @@ def multi_scale_index(df: DataFrame, entity: list[str], scales: list[str], time:
 
 
 def marginal_fit(df: DataFrame, entity: list[str], value: str, least: int = 10) -> DataFrame:
-    """The margin of smallest AIC among exponential, gamma, log-normal, normal and logistic, moments or L-moments."""
+    """The margin of smallest AIC among exponential, gamma, Weibull, log-normal, normal, logistic and, within (0, 1), beta."""
     d = df.select(*entity, F.col(value).cast("double").alias("x"))
     kinds = dict(d.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in entity) + ", n int, family string, p1 double, p2 double, aic double"
