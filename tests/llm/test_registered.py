@@ -111,5 +111,16 @@ def test_op10(spark, sf):
     assert len(links) > 30 and {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in run(spark, sf, 10).items()} == want
 
 
+def test_op11_to_13_return_their_columns(spark, sf):
+    spark.createDataFrame([(1, "http://a.example/", "<article><p>x  y</p></article>")], "page_id long, url string, html string").write.mode("overwrite").parquet(f"{sf}/pages.parquet")
+    columns = {
+        "op11_page_texts": ["page_id", "url", "text", "n_chars"], "op12_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
+        "op13_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    }
+    for name, want in columns.items():
+        got = catalog.queries()[name](spark, sf)
+        assert got.columns == want and got.count() > 0
+
+
 def test_every_query_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in catalog.queries()) == list(range(1, 11)) and minhash.THRESHOLD == 0.8 and secrets.THRESHOLD == 0.5
+    assert sorted(int(k[2:].split("_")[0]) for k in catalog.queries()) == list(range(1, 14)) and minhash.THRESHOLD == 0.8 and secrets.THRESHOLD == 0.5
