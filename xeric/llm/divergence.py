@@ -61,7 +61,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, df) of the terms in at least so many of a language's documents. No column of docs is null."""
-    part = docs.select("lang", "text").mapInArrow(_frequencies, "lang string, term string, n long")
+    # A task's rows differ already, so they are dealt before they are summed; a term has a few rows a task.
+    part = docs.select("lang", "text").mapInArrow(_frequencies, "lang string, term string, n long").repartition("lang", "term")
     return part.groupBy("lang", "term").agg(F.sum("n").alias("df")).filter(F.col("df") >= least_docs)
 
 
@@ -87,19 +88,37 @@ def split_vocabulary(kept: DataFrame, most_terms: int) -> tuple[dict[str, list[s
     return terms, kept.filter(~head).select("lang", "term") if rest else None
 
 
+NOWHERE = np.empty(0, np.int64)
+#: What an automaton gives: where a term's closing delimiter is, and the term's number.
+MATCH = np.dtype([("end", np.int64), ("term", np.int32)])
+
+
+def unmatched(text: str, ends: np.ndarray) -> list[str]:
+    """The terms of a padded text that don't end at one of ``ends``."""
+    space = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32
+    open_ = space.copy()
+    open_[1:] &= ~space[:-1]  # a space after a term
+    open_[0] = False
+    open_[ends] = False
+    left = []
+    for end in np.flatnonzero(open_).tolist():
+        left.append(text[text.rfind(" ", 0, end) + 1 : end])
+    return left
+
+
 class Automata:
     """One automaton for each language over its terms between two delimiters; built once in a worker."""
 
     def __init__(self, terms: dict[str, list[str]]) -> None:
         import ahocorasick
 
-        self.terms, self.by_lang, self.known = {}, {}, {}
+        self.terms, self.by_lang = {}, {}
         for lang, words in terms.items():
             a = ahocorasick.Automaton()
             for i, w in enumerate(words):
                 a.add_word(f" {w} ", i)
             a.make_automaton()
-            self.by_lang[lang], self.terms[lang], self.known[lang] = a, pa.array(words, pa.string()), set(words)
+            self.by_lang[lang], self.terms[lang] = a, pa.array(words, pa.string())
 
     def count(self, batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.RecordBatch]:
         """(lang, source, term, n, head) in parts; terms that no automaton holds only with ``rest``."""
@@ -123,17 +142,15 @@ class Automata:
 
         for b in batches:
             for lang, source, text in zip(*(b[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
-                text = padded(text).decode("utf-8", "surrogatepass")
+                text, ends = padded(text).decode("utf-8", "surrogatepass"), NOWHERE
                 if lang in self.by_lang:
-                    found = np.fromiter((i for _, i in self.by_lang[lang].iter(text)), np.int32)
+                    found = np.fromiter(self.by_lang[lang].iter(text), MATCH)
                     if len(found):
-                        ids.setdefault((lang, source), []).append(found)
+                        ids.setdefault((lang, source), []).append(found["term"].copy())
+                        ends = found["end"]
                         seen += len(found)
-                if rest:
-                    known = self.known.get(lang, ())
-                    left = [w for w in text.split(" ") if w and w not in known]
-                    if left:
-                        other.setdefault((lang, source), Counter()).update(left)
+                if rest and (left := unmatched(text, ends)):
+                    other.setdefault((lang, source), Counter()).update(left)
             if seen > FLUSH_TOKENS or sum(map(len, other.values())) > FLUSH:
                 yield from flush()
                 seen = 0
@@ -156,7 +173,8 @@ def postings(docs: DataFrame, kept: DataFrame, most_terms: int = MOST_TERMS) ->
             _BUILT[number] = Automata(shared.value)
         yield from _BUILT[number].count(batches, with_rest)
 
-    sums = docs.select("lang", "source", "text").mapInArrow(count, COUNTS).groupBy("lang", "source", "term", "head").agg(F.sum("n").alias("n"))
+    keys = ["lang", "source", "term", "head"]
+    sums = docs.select("lang", "source", "text").mapInArrow(count, COUNTS).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
     if rest is None:
         return materialise(sums.drop("head"), "postings")
     sums = materialise(sums, "term-counts")
