@@ -23,7 +23,7 @@ LEAST_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
 #: Terms of all languages in the automata, and bytes of such a term: a worker's memory. Others are counted by a shuffle.
-MOST_TERMS, TERM_BYTES = 300_000, 64
+MOST_TERMS, TERM_BYTES = 150_000, 64
 #: Entries that a task gathers before it hands its partial counts on.
 FLUSH = 400_000
 FLUSH_TOKENS = 3_000_000
@@ -133,8 +133,9 @@ class Automata:
 
         def flush():
             for group, found in ids.items():
-                who, n = np.unique(np.concatenate(found), return_counts=True)
-                yield rows(group, self.terms[group[0]].take(pa.array(who)), n, True)
+                n = np.bincount(np.concatenate(found))
+                who = np.flatnonzero(n)
+                yield rows(group, self.terms[group[0]].take(pa.array(who)), n[who], True)
             for group, c in other.items():
                 yield rows(group, pa.array(list(c), pa.string()), list(c.values()), False)
             ids.clear()
