@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from xeric.functions import fit_kernels as M
 from xeric.functions.labels import clip
+from xeric.sources.scratch import written
 
 from .indices import _by_calendar_month
 from .risk import _per_record
-from .trend import false_discovery
+from .ordered import exact_quantiles, false_discovery
 
 
 def _doubles(df: DataFrame, entity: list[str], time: str, columns: list[str]) -> DataFrame:
@@ -88,7 +89,7 @@ def moving_gamma(df: DataFrame, entity: list[str], value: str, time: str = "mont
 def composite_bootstrap(df: DataFrame, entity: list[str], event: str, value: str, time: str = "month", draws: int = 5000, block: int = 6) -> DataFrame:
     """Event composite of each entity with a moving-block interval and p, adjusted for all entities' false discoveries.
 
-    What is ranked over all entities is one row for each. Entities without event or other months are left out.
+    Entities without event or other months are left out. The adjustment puts no entities in order in one task.
     """
 
     def run(pdf):
@@ -98,7 +99,7 @@ def composite_bootstrap(df: DataFrame, entity: list[str], event: str, value: str
 
     d = df.withColumn("_event", F.col(event).cast("int"))
     got = _per_record(_doubles(d, entity, time, ["_event", value]), entity, ["_0", "_1"], run, "difference double, low double, high double, p double")
-    return false_discovery(got.withColumn("p", F.when(~F.isnan("p"), F.col("p"))), [], tie=entity[0])
+    return false_discovery(written(got.withColumn("p", F.when(~F.isnan("p"), F.col("p"))), "composites"), [])
 
 
 def bias_shift(df: DataFrame, entity: list[str], bias: str, balance: str, early: Column, late: Column, time: str = "month", draws: int = 2000) -> DataFrame:
@@ -182,11 +183,14 @@ def threshold_search(cover: DataFrame, values: DataFrame, cell: str, thresholds:
     by_year = kept.select(cell, "cal_month", "threshold").join(v, [cell, "cal_month"]).groupBy(cell, "threshold", "_y").agg(F.max("_p").alias("_p"))
     by_cell = by_year.groupBy(cell, "threshold").agg(F.sum(F.col("_p").cast("int")).alias("_years"), F.avg(F.col("_p").cast("double")).alias("_stable"))
     every = cells.withColumn("threshold", F.explode(listed)).join(by_cell, [cell, "threshold"], "left")
+    every = every.select("threshold", "_stable", (1 - F.col("_stable")).alias("_zero"), F.coalesce("_years", F.lit(0)).alias("_years"))
+    every = written(every, "thresholds")
+    middle = lambda c, name: exact_quantiles(every, c, [0.5], ["threshold"]).select("threshold", F.col("quantiles")[0].alias(name))
     g = every.groupBy("threshold").agg(
-        F.count("*").alias("_cells"), F.median(1 - F.col("_stable")).alias("zero_share"), F.median(F.coalesce("_years", F.lit(0))).alias("snow_years"),
-        (100 * F.avg((F.coalesce("_stable", F.lit(0.0)) >= stable).cast("double"))).alias("stable_pct"),
-    )
-    g = g.join(share, "threshold", "left")
+        F.count("*").alias("_cells"), (100 * F.avg((F.coalesce("_stable", F.lit(0.0)) >= stable).cast("double"))).alias("stable_pct")
+    )
+    for part in (middle("_zero", "zero_share"), middle("_years", "snow_years"), share):  # a row a threshold
+        g = g.join(F.broadcast(part), "threshold", "left")
     retained = F.coalesce("_kept", F.lit(0)) / (12 * F.col("_cells"))
     part = lambda c: F.least(c, F.lit(1.0))
     years, zero, pct = (float(t) for t in targets)

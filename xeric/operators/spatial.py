@@ -7,12 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import at_or_below, exact_quantiles
+
 
 def repair_weights(cells: DataFrame, weight: str = "weight") -> DataFrame:
-    """Weights that are null, NaN or not above 0 become the median of the good ones."""
+    """Weights that are null, NaN or not above 0 become the median of the good ones; without a good one, null."""
     good = F.when(F.col(weight).isNotNull() & ~F.isnan(weight) & (F.col(weight) > 0), F.col(weight))
-    middle = cells.agg(F.median(good).alias("_middle"))
-    return cells.join(F.broadcast(middle)).withColumn(weight, F.coalesce(good, "_middle")).drop("_middle")  # one row
+    middle = exact_quantiles(cells.select(good.alias("w")), "w", [0.5]).collect()
+    return cells.withColumn(weight, F.coalesce(good, F.lit(middle[0]["quantiles"][0] if middle else None).cast("double")))
 
 
 def weighted_mean(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
@@ -142,9 +144,8 @@ def build_regions(pixels: DataFrame, pixel: str, bands: int = 4, least: int = 8)
     nearest centroid (of equals the smaller number). Band edges are type-7 quantiles. What is broadcast is one row a
     region, of which there are at most 5 * bands.
     """
-    edges = pixels.agg(F.percentile("elevation", [i / bands for i in range(1, bands)]).alias("e")).first()["e"] or []
-    e = sorted(set(edges))
-    band = sum([(F.col("elevation") > F.lit(x)).cast("int") for x in e], F.lit(0))
+    edges = exact_quantiles(pixels, "elevation", [i / bands for i in range(1, bands)]).collect()
+    band = at_or_below(F.col("elevation"), sorted(set(edges[0]["quantiles"])) if edges else [])
     quarter = F.when(F.col("aspect").isNull() | (F.col("aspect") < 0), 0).otherwise(F.floor(((F.col("aspect") + 45) % 360) / 90) + 1)
     d = pixels.filter("elevation is not null").withColumn("_region", (band * 5 + quarter).cast("int"))
     centres = d.groupBy("_region").agg(F.count("*").alias("_n"), F.avg("x").alias("_x"), F.avg("y").alias("_y"))

@@ -44,16 +44,6 @@ def runs_test(df: DataFrame, entity: list[str], flag: str = "flag", time: str =
     return g.select(*entity, "n0", "n1", "runs", mean.alias("expected"), z.alias("z"), kind.alias("kind"))
 
 
-def false_discovery(df: DataFrame, groups: list[str], p: str = "p", tie: str | None = None) -> DataFrame:
-    """Benjamini-Hochberg adjusted p by a running minimum from the largest p down; null p stays null."""
-    w = Window.partitionBy(*groups)
-    up = w.orderBy(F.col(p).asc_nulls_last(), *([tie] if tie else []))
-    d = df.withColumn("_m", F.count(p).over(w)).withColumn("_r", F.row_number().over(up))
-    d = d.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
-    back = w.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("p_adjusted", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_q").over(back)))).drop("_m", "_r", "_q")
-
-
 def pettitt(df: DataFrame, entity: list[str], t: str = "t", v: str = "v") -> DataFrame:
     """Pettitt's change point from ranks: U_t = 2 * (sum of the first t ranks) - t (n + 1); K and its approximate p."""
     w = Window.partitionBy(*entity)

@@ -11,6 +11,9 @@ from xeric.operators import events as E
 from xeric.operators import frequency as Q
 from xeric.operators import physical as H
 from xeric.operators import trend as T
+from xeric.operators.ordered import exact_quantiles
+from xeric.operators.ordered import false_discovery as false_discovery_of
+from xeric.sources.scratch import written
 
 from .base import GAPPED, INDEX, SITE_MONTHS, WEIGHTS, gapped, index_months, index_values, query, site_months, site_weights, table
 
@@ -154,7 +157,34 @@ def runs_test(spark, sf):
   SELECT site, m, p, CASE WHEN p IS NOT NULL THEN round(least(1.0, min(p * n / k) OVER (PARTITION BY m ORDER BY k DESC)), 6) END AS p_adjusted FROM r""")
 def false_discovery(spark, sf):
     g = site_months(spark, sf).groupBy("site", F.month("month").alias("m")).agg(F.round(F.least(F.lit(1.0), 0.001 + F.abs(F.regr_slope("value", F.year("month").cast("double"))) / 1000), 9).alias("p"))
-    return r6(T.false_discovery(g, ["m"], "p", "site"), "p_adjusted").select("site", "m", "p", "p_adjusted")
+    return r6(false_discovery_of(written(g, "slopes"), ["m"], "p"), "p_adjusted").select("site", "m", "p", "p_adjusted")
+
+
+@query("false_discovery_all", f"""WITH {SITE_MONTHS}, g AS (SELECT site, year(month) AS y, month(month) AS m, round(least(1.0, 0.0005 + value / 20000), 6) AS p FROM sm),
+  r AS (SELECT *, count(p) OVER () AS n, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM g WHERE p IS NOT NULL)
+  SELECT site, y, m, p, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC, k DESC RANGE UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM r""")
+def false_discovery_all(spark, sf):
+    """One adjustment over all sites and months, with many equal p, in no task alone."""
+    p = F.round(F.least(F.lit(1.0), 0.0005 + F.col("value") / 20000), 6)
+    g = site_months(spark, sf).select("site", F.year("month").alias("y"), F.month("month").alias("m"), p.alias("p"))
+    return r6(false_discovery_of(written(g, "p-values"), [], "p"), "p_adjusted")
+
+
+@query("global_quantiles", """WITH v AS (SELECT l_extendedprice AS v FROM lineitem) SELECT p, round(CASE p WHEN 0.0 THEN quantile_cont(v, 0.0) WHEN 0.05 THEN quantile_cont(v, 0.05)
+  WHEN 0.5 THEN quantile_cont(v, 0.5) WHEN 0.98 THEN quantile_cont(v, 0.98) ELSE quantile_cont(v, 1.0) END, 6) AS value FROM v, (SELECT unnest([0.0, 0.05, 0.5, 0.98, 1.0])::DOUBLE AS p) GROUP BY p""")
+def global_quantiles(spark, sf):
+    """Quantiles over every line item, by counted ranges."""
+    probs = [0.0, 0.05, 0.5, 0.98, 1.0]
+    q = exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", probs)
+    listed = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("quantiles").alias("value"))
+    return q.select(F.explode(listed).alias("r")).select(F.col("r.p").alias("p"), F.round("r.value", 6).alias("value"))
+
+
+@query("group_quantiles", """SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, round(quantile_cont(l_quantity, 0.25), 6) AS lower, round(quantile_cont(l_quantity, 0.9), 6) AS upper
+  FROM lineitem GROUP BY 1, 2""")
+def group_quantiles(spark, sf):
+    q = exact_quantiles(table(spark, sf, "lineitem"), "l_quantity", [0.25, 0.9], ["l_returnflag", "l_linestatus"])
+    return q.select("l_returnflag", "l_linestatus", "n", F.round(F.col("quantiles")[0], 6).alias("lower"), F.round(F.col("quantiles")[1], 6).alias("upper"))
 
 
 @query("pettitt", f"""WITH {SITE_MONTHS}, r AS (SELECT site, month, rank() OVER (PARTITION BY site ORDER BY value) + (count(*) OVER (PARTITION BY site, value) - 1) / 2.0 AS rk FROM sm),

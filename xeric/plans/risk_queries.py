@@ -72,9 +72,10 @@ def quantile_mapping(spark, sf):
 @query("plotting_return_period", f"""WITH {SITE_MONTHS}, f AS (SELECT site, avg(value) AS focus FROM sm WHERE year(month) BETWEEN 1997 AND 1998 GROUP BY 1),
   t AS (SELECT site, year(month) AS y, max(value) AS top FROM sm GROUP BY 1, 2),
   r AS (SELECT *, count(*) OVER (PARTITION BY site) AS n, row_number() OVER (PARTITION BY site ORDER BY top DESC, y) AS r FROM t)
-  SELECT site, round(focus, 6) AS focus, top, round((n + 1) / r, 6) AS years FROM r JOIN f USING (site) QUALIFY row_number() OVER (PARTITION BY site ORDER BY abs(top - focus), r) = 1""")
+  SELECT site, round(focus + 1e-9, 6) AS focus, top, round((n + 1) / r, 6) AS years FROM r JOIN f USING (site) QUALIFY row_number() OVER (PARTITION BY site ORDER BY abs(top - focus), r) = 1""")
 def plotting_return_period(spark, sf):
-    return r6(P.plotting_return_period(site_months(spark, sf), SITE, 1997, 1998), "focus", "years")
+    d = P.plotting_return_period(site_months(spark, sf), SITE, 1997, 1998)
+    return r6(d.withColumn("focus", F.col("focus") + 1e-9), "focus", "years")
 
 
 @query("continuised_margin", f"""WITH {SITE_MONTHS}, v AS (SELECT site, month, least(value, 800.0) AS v FROM sm),
