@@ -177,22 +177,6 @@ def test_operators_of_records_with_gaps(spark):
     assert {x["site"] for x in risk.noise_envelope(d, ["site"]).collect()} == {1, 2}
 
 
-def test_nearest_features_by_rings(spark):
-    from xeric.operators import spatial
-
-    r = np.random.default_rng(7)
-    f = np.concatenate([r.uniform(0, 10, (150, 2)), r.normal(30, 0.1, (100, 2)), [[3.0, 3.0], [3.0, 3.0]]])
-    p = np.concatenate([r.uniform(-20, 60, (300, 2)), [[3.0, 3.0]]])
-    d = np.hypot(p[:, None, 0] - f[None, :, 0], p[:, None, 1] - f[None, :, 1])
-    who, far = spatial.Features(f[:, 0], f[:, 1]).nearest(p[:, 0], p[:, 1])
-    assert np.allclose(far, d.min(1)) and (who == d.argmin(1)).all()
-    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "a int, x double, y double")
-    features = spark.createDataFrame([("u", 1.0, 0.0), ("b", 0.0, 1.0)], "k string, fx double, fy double")
-    got = {r["a"]: (r["k"], r["distance"]) for r in spatial.nearest_feature(points, features, "a", "k").collect()}
-    assert got == {1: ("b", 1.0), 2: (None, None)}
-    assert spatial.nearest_feature(points, features.limit(0), "a", "k").filter("k is not null").count() == 0
-
-
 def test_patterns_weighted_by_latitude(spark):
     from xeric.operators import indices
 

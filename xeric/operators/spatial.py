@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +9,10 @@ from .ordered import at_or_below, exact_quantiles
 
 
 def repair_weights(cells: DataFrame, weight: str = "weight") -> DataFrame:
-    """Weights that are null, NaN or not above 0 become the median of the good ones; without a good one, null."""
+    """Weights that are null, NaN or not above 0 become the median of the good ones, or 1 if there is none."""
     good = F.when(F.col(weight).isNotNull() & ~F.isnan(weight) & (F.col(weight) > 0), F.col(weight))
     middle = exact_quantiles(cells.select(good.alias("w")), "w", [0.5]).collect()
-    return cells.withColumn(weight, F.coalesce(good, F.lit(middle[0]["quantiles"][0] if middle else None).cast("double")))
+    return cells.withColumn(weight, F.coalesce(good, F.lit(middle[0]["quantiles"][0] if middle else 1.0)))
 
 
 def weighted_mean(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
@@ -46,79 +44,6 @@ def grid_cell(df: DataFrame, x0: float, y0: float, step: float, x: str = "x", y:
     return df.withColumns({"col": F.floor((F.col(x) - x0) / step), "row": F.floor((F.col(y) - y0) / step)})
 
 
-class Features:
-    """Features in a grid of about one a cell, in the order of their cells; keys are numbered in their own order."""
-
-    def __init__(self, fx: np.ndarray, fy: np.ndarray) -> None:
-        self.n = max(1, int(np.sqrt(len(fx))))
-        self.low = np.array([fx.min(), fy.min()])
-        self.step = np.maximum((np.array([fx.max(), fy.max()]) - self.low) / self.n, 1e-12)
-        cell = self._cell(fx, 0) * self.n + self._cell(fy, 1)
-        self.order = np.argsort(cell, kind="stable")
-        self.fx, self.fy = fx[self.order], fy[self.order]
-        self.begin = np.searchsorted(cell[self.order], np.arange(self.n * self.n + 1))
-
-    def _cell(self, v: np.ndarray, axis: int) -> np.ndarray:
-        return np.clip(np.floor((v - self.low[axis]) / self.step[axis]).astype(np.int64), 0, self.n - 1)
-
-    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number and distance of each point's nearest feature: rings of cells outwards until no nearer one can follow."""
-        cx, cy = self._cell(x, 0), self._cell(y, 1)
-        best, who = np.full(len(x), np.inf), np.full(len(x), len(self.order), np.int64)
-        todo = np.arange(len(x))
-        for r in range(self.n):
-            for dx in range(-r, r + 1):
-                for dy in range(-r, r + 1) if abs(dx) == r else (-r, r):
-                    i, j = cx[todo] + dx, cy[todo] + dy
-                    inside = (i >= 0) & (i < self.n) & (j >= 0) & (j < self.n)
-                    p, c = todo[inside], i[inside] * self.n + j[inside]
-                    size = self.begin[c + 1] - self.begin[c]
-                    p = np.repeat(p, size)
-                    at = np.repeat(self.begin[c] - (np.cumsum(size) - size), size) + np.arange(len(p))
-                    d, key = np.hypot(self.fx[at] - x[p], self.fy[at] - y[p]), self.order[at]
-                    for k in np.lexsort((key, d, p))[np.unique(p[np.lexsort((key, d, p))], return_index=True)[1]].tolist():
-                        if (d[k], key[k]) < (best[p[k]], who[p[k]]):
-                            best[p[k]], who[p[k]] = d[k], key[k]
-            # What has not been looked at is at least this far: beyond the ring, on sides where the grid goes on.
-            far = np.full(len(todo), np.inf)
-            for v, c, axis in ((x, cx, 0), (y, cy, 1)):
-                c = c[todo]
-                below = np.where(c - r > 0, v[todo] - (self.low[axis] + (c - r) * self.step[axis]), np.inf)
-                above = np.where(c + r < self.n - 1, self.low[axis] + (c + r + 1) * self.step[axis] - v[todo], np.inf)
-                far = np.minimum(far, np.minimum(below, above))
-            todo = todo[best[todo] >= far]
-            if not len(todo):
-                break
-        return who, best
-
-
-def nearest_feature(points: DataFrame, features: DataFrame, point_key: str, feature_key: str, most_features: int = 1_000_000) -> DataFrame:
-    """The nearest of a table of features for each point; ties go to the smaller key.
-
-    Features are gridded once and sent to all tasks (24 bytes each), so their number is checked; a point looks through
-    the cells around it alone. Points without a place have none, as if there were no feature.
-    """
-    n = features.count()
-    if n > most_features:
-        raise ValueError(f"{n} features; nearest_feature takes {most_features}")
-    rows = features.dropna(subset=["fx", "fy"]).select(feature_key, F.col("fx").cast("double"), F.col("fy").cast("double")).orderBy(feature_key).toPandas()
-    kinds = dict(points.dtypes) | dict(features.dtypes)
-    schema = f"{point_key} {kinds[point_key]}, {feature_key} {kinds[feature_key]}, distance double"
-    shared = points.sparkSession.sparkContext.broadcast((Features(rows["fx"].to_numpy(), rows["fy"].to_numpy()) if len(rows) else None, rows[feature_key].to_numpy()))
-
-    def run(batches):
-        for pdf in batches:
-            grid, keys = shared.value
-            out = pd.DataFrame({point_key: pdf[point_key], feature_key: None, "distance": None})
-            ok = (pdf["x"].notna() & pdf["y"].notna()).to_numpy() & (grid is not None)
-            if ok.any():
-                who, far = grid.nearest(pdf["x"].to_numpy(float)[ok], pdf["y"].to_numpy(float)[ok])
-                out.loc[ok, feature_key], out.loc[ok, "distance"] = keys[who], far
-            yield out
-
-    return points.select(point_key, "x", "y").mapInPandas(run, schema)
-
-
 def in_polygon(df: DataFrame, ring: list[tuple[float, float]], x: str = "x", y: str = "y") -> DataFrame:
     """Rows inside a ring, by ray casting in column expressions after a bounding-box filter."""
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]

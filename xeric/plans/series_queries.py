@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from xeric.functions import labels as L
 from xeric.operators import series as S
 from xeric.operators import spatial as P
+from xeric.operators.grids import nearest_feature as nearest_feature_of
 from xeric.sources.tables import MONTHS, unpivot_months, wide_months, year_columns_to_long
 
 from .base import DAILY, GAPPED, INDEX, SITE_MONTHS, WEIGHTS, daily, gapped, index_months, index_values, query, site_months, site_weights, spined_months, table
@@ -163,7 +164,7 @@ def nearest_feature(spark, sf):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     p = table(spark, sf, "customer").select("c_custkey", (c * 13 % 1009 * 1.0).alias("x"), (c * 29 % 997 * 1.0).alias("y"))
     f = table(spark, sf, "supplier").select("s_suppkey", (s * 37 % 1009 * 1.0).alias("fx"), (s * 53 % 997 * 1.0).alias("fy"))
-    return P.nearest_feature(p, f, "c_custkey", "s_suppkey").withColumn("distance", F.round("distance", 6))
+    return nearest_feature_of(p, f, "c_custkey", "s_suppkey").withColumn("distance", F.round("distance", 6))
 
 
 @query("point_to_cell", "SELECT c_custkey, CAST(floor((c_custkey * 13 % 1009 - 5.0) / 12.5) AS BIGINT) AS col, CAST(floor((c_custkey * 29 % 997 - 2.0) / 12.5) AS BIGINT) AS row FROM customer")
