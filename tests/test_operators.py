@@ -74,10 +74,12 @@ def test_deficit_index_carries_on_over_nulls(spark):
 def test_patterns_equal_a_decomposition(spark):
     import numpy as np
 
+    from xeric.operators.patterns import eof
+
     r = np.random.default_rng(1)
     x = r.normal(size=(60, 1)) + 0.5 * r.normal(size=(60, 4))
     d = spark.createDataFrame([(s, month(i), float(x[i, s])) for s in range(4) for i in range(60)], "site int, month date, value double")
-    patterns, scores = indices.eof(d, "site", "month", "value", 2)
+    patterns, scores = eof(d, "site", "month", "value", 2)
     from xeric.functions.kernels import principal_components
 
     want_scores, want, _ = principal_components(x, np.ones(4), 2)

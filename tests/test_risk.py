@@ -178,14 +178,14 @@ def test_operators_of_records_with_gaps(spark):
 
 
 def test_patterns_weighted_by_latitude(spark):
-    from xeric.operators import indices
+    from xeric.operators.patterns import eof
 
     r = np.random.default_rng(3)
     base = r.normal(0, 1, 60)
     x = np.stack([base + r.normal(0, 0.3, 60) for _ in range(4)], 1)
     lat = [0.0, 30.0, 60.0, 80.0]
     rows = [(s, t, float(x[i, s]), lat[s]) for i, t in enumerate(months(60)) for s in range(4) if not (i == 7 and s == 2)]
-    patterns, scores = indices.eof(spark.createDataFrame(rows, "site int, month date, value double, lat double"), "site", "month", "value", 2, lat="lat", kaiser=True)
+    patterns, scores = eof(spark.createDataFrame(rows, "site int, month date, value double, lat double"), "site", "month", "value", 2, lat="lat", kaiser=True)
     keep = np.arange(60) != 7
     own = [np.array([v for s, _, v, _ in rows if s == k]) for k in range(4)]
     z = np.stack([(x[keep, k] - own[k].mean()) / own[k].std(ddof=1) * np.sqrt(np.cos(np.radians(lat[k]))) for k in range(4)], 1)

@@ -154,55 +154,6 @@ def robust_slope(df: DataFrame, entity: list[str], x: str, y: str, time: str = "
     return df.select(*entity, time, x, y).groupBy(*entity).applyInPandas(run, schema)
 
 
-def _moments(batches):
-    """Batches of complete times' arrays -> the rows of the sum of their outer products."""
-    total = None
-    for pdf in batches:
-        if len(pdf):
-            x = np.stack(pdf["_x"].to_numpy())
-            total = x.T @ x if total is None else total + x.T @ x
-    if total is not None:
-        yield pd.DataFrame({"_i": np.arange(len(total)), "_row": list(total)})
-
-
-def eof(df: DataFrame, site: str, time: str, value: str, k: int = 3, most_sites: int = 2000, lat: str | None = None, kaiser: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Leading patterns of standardised series: (site, pattern columns) and (time, score columns).
-
-    Each time's values become one array; a task sums its arrays' outer products in one pass and gives out one row for
-    each site, so what is shuffled and sent to the driver is a matrix of at most ``most_sites`` squared, checked, and no
-    row of the series. Times at which a site has no value are left out. With ``lat`` values are weighted by the root of
-    its cosine; with ``kaiser`` only patterns of more than the mean variance stay. A pattern's sign makes its sum positive.
-    """
-    w = Window.partitionBy(site)
-    z = F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w))
-    d = df.filter(F.col(value).isNotNull()).withColumn("_z", z if lat is None else z * F.sqrt(F.cos(F.radians(F.col(lat))))).filter("_z is not null").select(site, time, "_z")
-    names = [r[0] for r in d.select(site).distinct().orderBy(site).limit(most_sites + 1).collect()]
-    if len(names) > most_sites:
-        raise ValueError(f"over {most_sites} sites: aggregate cells first")
-    full = d.groupBy(time).agg(F.sort_array(F.collect_list(F.struct(site, "_z"))).alias("_s")).filter(F.size("_s") == len(names))
-    parts = full.select(F.transform("_s", lambda e: e["_z"]).alias("_x")).mapInPandas(_moments, "_i int, _row array<double>")
-    m = np.zeros((len(names), len(names)))
-    sums = lambda pdf: pd.DataFrame({"_i": [pdf["_i"].iloc[0]], "_row": [np.sum(np.stack(pdf["_row"].to_numpy()), axis=0)]})
-    found = parts.groupBy("_i").applyInPandas(sums, "_i int, _row array<double>").collect()
-    for r in found:
-        m[r["_i"]] = r["_row"]
-    if not found:
-        names = []
-        m = np.zeros((0, 0))
-    d = d.join(full.select(time), time)
-    if kaiser and len(names):
-        k = max(1, min(k, int((np.linalg.eigvalsh(m) > np.trace(m) / len(m)).sum())))
-    values, vectors = np.linalg.eigh(m) if names else (np.zeros(k), np.zeros((0, k)))
-    order = np.argsort(-values, kind="stable")[:k]
-    vectors = vectors[:, order] * np.where(vectors[:, order].sum(0) < 0, -1, 1)
-    spark = df.sparkSession
-    cols = [f"pattern_{i + 1}" for i in range(len(order))]
-    kind = dict(df.dtypes)[site]
-    patterns = spark.createDataFrame([(s, *map(float, vectors[i])) for i, s in enumerate(names)], f"{site} {kind}" + "".join(f", {c} double" for c in cols))
-    scores = d.join(F.broadcast(patterns), site).groupBy(time).agg(*[F.sum(F.col("_z") * F.col(c)).alias(f"score_{i + 1}") for i, c in enumerate(cols)])
-    return patterns, scores
-
-
 def supply_index(components: DataFrame, entity: list[str], weights: dict[str, float], time: str = "month", least: int = 2, cap: float = 4.2) -> DataFrame:
     """Surface supply: weighted mean of the components' normal scores by calendar month, weights renormalised.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from xeric.operators import frequency as Q
 from xeric.operators import indices as I
+from xeric.operators.patterns import eof
 from xeric.operators.series import calendar_spine, trailing
 
 from .base import daily, index_months, index_values, query, site_months, spined_months
@@ -85,7 +86,8 @@ def robust_slope(spark, sf):
 
 @query("eof_scores")
 def eof_scores(spark, sf):
-    return I.eof(site_months(spark, sf), "site", "month", "value")[1]
+    """Scores of the sites' leading patterns, positive in 1997 and 1998."""
+    return eof(site_months(spark, sf), "site", "month", "value", focus=F.year("month").between(1997, 1998))[1]
 
 
 @query("multi_scale_index")
