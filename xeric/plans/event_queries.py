@@ -160,12 +160,12 @@ def false_discovery(spark, sf):
     return r6(false_discovery_of(written(g, "slopes"), ["m"], "p"), "p_adjusted").select("site", "m", "p", "p_adjusted")
 
 
-@query("false_discovery_all", f"""WITH {SITE_MONTHS}, g AS (SELECT site, year(month) AS y, month(month) AS m, round(least(1.0, 0.0005 + value / 20000), 6) AS p FROM sm),
+@query("false_discovery_all", f"""WITH {SITE_MONTHS}, g AS (SELECT site, year(month) AS y, month(month) AS m, round(least(1.0, 0.0005000001 + value / 20000), 6) AS p FROM sm),
   r AS (SELECT *, count(p) OVER () AS n, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM g WHERE p IS NOT NULL)
   SELECT site, y, m, p, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) + 1e-9, 6) AS p_adjusted FROM r""")
 def false_discovery_all(spark, sf):
     """One adjustment over all sites and months, with many equal p, in no task alone."""
-    p = F.round(F.least(F.lit(1.0), 0.0005 + F.col("value") / 20000), 6)
+    p = F.round(F.least(F.lit(1.0), 0.0005000001 + F.col("value") / 20000), 6)
     g = site_months(spark, sf).select("site", F.year("month").alias("y"), F.month("month").alias("m"), p.alias("p"))
     d = false_discovery_of(written(g, "p-values"), [], "p")
     return r6(d.withColumn("p_adjusted", F.col("p_adjusted") + 1e-9), "p_adjusted")
