@@ -386,3 +386,24 @@ def test_secrets_planted_in_documents(spark):
     found = sum(min(n, got[i]) for i, n in planted.items())
     assert sum(planted.values()) > 5 and found >= 0.95 * sum(planted.values())
     assert sum(got[i] > 0 for i, n in planted.items() if not n) <= 0.05 * len(planted)
+
+
+def test_mix_of_hot_ids(spark):
+    """Half of the ids null, half of those rows alike: no shard is over twice its words, and reruns agree as sets."""
+    rows = [(None if i % 2 else i, ("same " * 400) if i % 4 == 1 else f"w{i} " * 400, "a") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, shard_tokens=20_000).collect()
+    assert len(got) == 2000
+    shards = {}
+    for r in got:
+        shards[r["shard"]] = shards.get(r["shard"], 0) + r["size"]
+    assert len(shards) == 40 and max(shards.values()) <= 40_000
+    again = mixing.mix(docs.repartition(9), shard_tokens=20_000).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.numbered(spark.createDataFrame([(1,)] * 9000 + [(None,)], "a int")).groupBy("a").agg({"copy": "max"}).orderBy("a").collect() == [(None, 0), (1, 8999)]
+
+
+def test_no_recall_without_links(spark):
+    r = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(40, 32)))], "vec_id long, embedding array<double>")
+    assert {x["audit_recall"] for x in vector_dedup.vector_dedup(df).collect()} == {None}

@@ -75,25 +75,46 @@ def sainte_lague(parties: DataFrame, within: list[str], names: list[str], votes:
     return won.groupBy(*keys).agg((F.max("_low") + F.sum("_won")).alias("quota"))
 
 
+def fingerprint(text_col: str) -> Column:
+    return F.xxhash64(text_of(text_col))
+
+
+#: Copies of a row that one task numbers.
+COPIES = 4096
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``copy``, a number from 0 among rows that are alike in every column.
+
+    Alike rows are counted, and the counts written out again in parts, so that they need not meet in one task.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    parts = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {COPIES}"))))
+    parts = parts.repartition(*[c for c in rows.columns], "_part")
+    last = F.least(F.col("_n"), (F.col("_part") + 1) * COPIES) - 1
+    return parts.select(*rows.columns, F.explode(F.sequence(F.col("_part") * COPIES, last)).alias("copy"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_repeat: int = MAX_REPEAT, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Apportion blocks of ``block_tokens`` words to sources, to groups of shards and to shards, then select blocks.
 
     Each source's documents are dealt by a seeded hash into shards of about ``shard_tokens`` words, however large the
     source, laid end to end in seeded order, and cut into blocks. A shard's quota of blocks gives every block its whole
     rounds and a seeded selection one more. Returns per input row ``id_col, source, size, source_size, target, taken``
-    and ``first, n_blocks, rounds, extra, prime, shift``: block i of the shard is taken ``rounds + ((i * prime + shift)
+    and ``text_hash, shard, first, n_blocks, rounds, extra, prime, shift``: block i of the shard is taken ``rounds + ((i * prime + shift)
     mod n_blocks < extra)`` times, and the document holds its shard's words from ``first`` on.
 
     A source's taken words differ from its target by half a block for its quota, and by up to a block less one word a
     round for each of its shards, whose last block may be short; of sources smaller than a block, by half their size.
 
     Null text and text without words have size 0 and are taken 0 times. Null is a source of its own, ordered last; the
-    empty string another. A source without words has target 0. Repeated rows are laid side by side and each is taken
-    like any row; a null id is hashed as such. An empty table gives an empty result. Reruns agree in every row, or for
+    empty string another. A source without words has target 0. Rows are dealt by id, text and, where both are equal, a
+    number, so neither a null id nor a repeated row fills a shard, however many rows have it; each is taken like any
+    row. A text of any length is one row of a shard, which may so be longer. An empty table gives an empty result. Reruns agree in every row, or for
     repeated rows in the rows as a set.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"))
-    sized = materialise(sized, "mix-sizes")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"), fingerprint(text_col).alias("text_hash"))
+    sized = materialise(numbered(sized), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, budget, max_repeat)
     # Targets in blocks: a source of less than a block's words has one block, of its own size.
@@ -105,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
 
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long")
     t = targets.withColumnRenamed("source", "_source")
-    placed = sized.join(t, sized["source"].eqNullSafe(t["_source"])).drop("_source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), n_shards))
+    placed = sized.join(t, sized["source"].eqNullSafe(t["_source"])).drop("_source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash", "copy"), n_shards))
     placed = placed.withColumn("shard_group", F.floor(F.col("shard") / SHARDS_A_GROUP))
     shards = placed.groupBy("source", "source_quota", "shard_group", "shard").agg(F.sum("size").alias("shard_size"))
     groups = shards.groupBy("source", "source_quota", "shard_group").agg(F.sum("shard_size").alias("group_size"))
@@ -123,7 +144,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
         F.pmod(F.shiftright(key, 8), F.col("n_blocks")).alias("shift"),
     )
     shards = materialise(shards, "mix-shards")
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "text_hash", "copy"), "id", "size", "text_hash", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = placed.withColumn("first", F.sum("size").over(line) - F.col("size"))
     laid = laid.join(shards, laid["source"].eqNullSafe(shards["_source"]) & (laid["shard"] == shards["_shard"]))
     b = str(block_tokens)
@@ -131,7 +152,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
         f"""CASE WHEN size = 0 THEN 0L ELSE aggregate(sequence(first DIV {b}, (first + size - 1) DIV {b}), 0L, (acc, i) -> acc +
         (least(first + size, (i + 1) * {b}) - greatest(first, i * {b})) * (rounds + CASE WHEN pmod(i * prime + shift, n_blocks) < extra THEN 1 ELSE 0 END)) END"""
     )
-    return laid.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "first", "n_blocks", "rounds", "extra", "prime", "shift")
+    return laid.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_hash", "shard", "first", "n_blocks", "rounds", "extra", "prime", "shift")
 
 
 def mixed_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_repeat: int = MAX_REPEAT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -139,16 +160,16 @@ def mixed_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, max_repea
 
     A round that takes all blocks has the text as it was; otherwise the words keep the white space after them. All
     columns of ``docs`` stay, whatever their names; ``n_chars``, if there, is counted anew. A document of which nothing is
-    taken is not there, nor one without words. Rows that repeat an id, a source and a size are all taken as the last of
+    taken is not there, nor one without words. Rows that repeat an id, a source and a text are all taken as the last of
     them is. Null ids and sources meet each other. An empty table gives an empty mix.
     """
     source_col, m = options.get("source_col", "source"), free_stem(docs.columns, "_mix")
     plan = mix(docs, block_tokens=block_tokens, max_repeat=max_repeat, id_col=id_col, text_col=text_col, **options)
     names = ("first", "n_blocks", "rounds", "extra", "prime", "shift")
-    plan = plan.filter("taken > 0").groupBy(F.col(id_col).alias(f"{m}_id"), F.col("source").alias(f"{m}_source"), F.col("size").alias(f"{m}_size")).agg(F.max(F.struct(*names)).alias("last"))
-    plan = plan.select(f"{m}_id", f"{m}_source", f"{m}_size", *[F.col(f"last.{c}").alias(f"{m}_{c}") for c in names])
-    d = docs.withColumn(f"{m}_words", word_count(text_of(text_col)))
-    j = d.join(plan, d[id_col].eqNullSafe(plan[f"{m}_id"]) & d[source_col].cast("string").eqNullSafe(plan[f"{m}_source"]) & (d[f"{m}_words"] == plan[f"{m}_size"]))
+    plan = plan.filter("taken > 0").groupBy(F.col(id_col).alias(f"{m}_id"), F.col("source").alias(f"{m}_source"), F.col("text_hash").alias(f"{m}_text")).agg(F.max(F.struct(*names)).alias("last"))
+    plan = plan.select(f"{m}_id", f"{m}_source", f"{m}_text", *[F.col(f"last.{c}").alias(f"{m}_{c}") for c in names])
+    d = docs.withColumn(f"{m}_hash", fingerprint(text_col))
+    j = d.join(plan, d[id_col].eqNullSafe(plan[f"{m}_id"]) & d[source_col].cast("string").eqNullSafe(plan[f"{m}_source"]) & (d[f"{m}_hash"] == plan[f"{m}_text"]))
     j = j.withColumn(f"{m}_round", F.explode(F.sequence(F.lit(1), F.lit(max_repeat))))
     times = f"({m}_rounds + CASE WHEN pmod((({m}_first + i) DIV {block_tokens}) * {m}_prime + {m}_shift, {m}_n_blocks) < {m}_extra THEN 1 ELSE 0 END)"
     whole = (F.col(f"{m}_rounds") >= F.col(f"{m}_round")) | ((F.col(f"{m}_rounds") + 1 == F.col(f"{m}_round")) & (F.col(f"{m}_extra") == F.col(f"{m}_n_blocks")))

@@ -363,10 +363,10 @@ def audited(classes: DataFrame, total: int, threshold: float) -> dict[int, int]:
     return truth
 
 
-def recall(truth: dict[int, int], got: dict[int, int]) -> float:
-    """The mean share found of a vector's links, or the share of all links if that is less."""
+def recall(truth: dict[int, int], got: dict[int, int]) -> float | None:
+    """The mean share found of a vector's links, or the share of all links if that is less; None if no audited one has any."""
     if not truth:
-        return 1.0
+        return None
     hits = {i: min(got.get(i, 0), n) for i, n in truth.items()}
     return min(sum(hits[i] / n for i, n in truth.items()) / len(truth), sum(hits.values()) / sum(truth.values()))
 
@@ -398,7 +398,7 @@ def _neighbours(classes: DataFrame, total: int, threshold: float, cell: int, par
         discard(routed, inner)
         got = found.join(F.broadcast(ids), "id").groupBy("id").agg(F.sum("pairs").alias("n"))
         now = recall(truth, {r[0]: r[1] for r in got.collect()})
-        if now >= target:
+        if now is None or now >= target:
             return found, now
         if exact:
             raise RuntimeError(f"vector_dedup: the audited recall is {now:.4f}, below {target}, with all cells searched exactly")
@@ -422,7 +422,7 @@ def vector_dedup(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
     all cells are asked and it is still missed, the cells are searched exactly, and an error is raised if that misses it. Groups give out counts and the smallest
     id reached, never pairs.
 
-    Returns ``id_col, n_links, component_id, kept, audit_recall`` per row, the last one the audited recall. Vectors that are null, empty, zero, or hold null or
+    Returns ``id_col, n_links, component_id, kept, audit_recall`` per row, the last one the audited recall, null if no audited vector has a link. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing; so do rows with a null id, and vectors of different lengths with each
     other. Rows that repeat an id are one vector (the largest array), reported for each. An empty table gives an empty
     result; other columns are ignored, whatever their names. Ids are integers.
@@ -439,11 +439,11 @@ def vector_dedup(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
     classes = usable.groupBy("unit").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
     classes = materialise(classes.select(F.col("head").alias("id"), "copies", "unit"), "vector-classes")
     member = materialise(usable.join(classes.select(F.col("id").alias("head"), "copies", "unit"), "unit").select("id", "head", "copies"), "vector-members")
-    found, least_recall = None, 1.0
+    found, least_recall = None, None
     for dim, total in sorted((r[0], r[1]) for r in classes.groupBy(F.size("unit")).count().collect()):
         own = classes.filter(F.size("unit") == dim)
         part_found, part_recall = _neighbours(own, total, threshold, cell, part, routes, target)
-        least_recall = min(least_recall, part_recall)
+        least_recall = min((r for r in (least_recall, part_recall) if r is not None), default=None)
         found = part_found if found is None else found.unionAll(part_found)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "id long, links long, low long")
@@ -453,7 +453,7 @@ def vector_dedup(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = C
     label = heads.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "head").alias("component"))
     out = attach(rows.select("id"), label, "id")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component.isNull() | (F.col("id") == component)).alias("kept"), F.lit(least_recall).alias("audit_recall"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component.isNull() | (F.col("id") == component)).alias("kept"), F.lit(least_recall).cast("double").alias("audit_recall"))
 
 
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
