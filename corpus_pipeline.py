@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each round in which blocks of a document are taken, with those blocks as its text.
 
     Documents without words, null texts among them, are not in it. Null is a source of its own. Rows that repeat an id,
-    a source and a size are taken alike. Columns of any name pass through. An empty table gives an empty one.
+    a source and a text are taken alike. Columns of any name pass through. An empty table gives an empty one.
     """
     return mixing.mixed_documents(docs)
 
