@@ -6,6 +6,7 @@ from math import pi
 
 from pyspark.sql import functions as F
 
+from xeric.operators import additive as A
 from xeric.operators import projection as J
 from xeric.operators import validation as V
 
@@ -82,3 +83,19 @@ def effective_return_period(spark, sf):
 def expected_exceedances(spark, sf):
     d = J.expected_exceedances(_annual(spark, sf), SITE, "draw", 2026, 2033)
     return r6(d, *d.columns[3:])
+
+
+def _additive(spark, sf):
+    d = _pairs(spark, sf).withColumn("cal_month", F.month("month"))
+    return d, A.fit_additive(d, "x", ["y", "w"], [("y", "w")], {"cal_month": (1.0, 13.0)})
+
+
+@query("additive_shares")
+def additive_shares(spark, sf):
+    return A.variance_shares(*_additive(spark, sf))
+
+
+@query("additive_terms")
+def additive_terms(spark, sf):
+    d, fit = _additive(spark, sf)
+    return A.predict_terms(d.select("site", "month", "cal_month", "x", "y", "w"), fit)
