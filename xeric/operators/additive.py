@@ -10,11 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from xeric.sources.scratch import written
+
 #: Coefficients at most: the driver solves with matrices of this order.
 MOST_COEFFICIENTS = 1_500
 #: Smoothing parameters that are tried for each term, and how often all terms are gone through.
 PENALTIES = tuple(10.0**e for e in range(-4, 6))
 SWEEPS = 4
+#: The cubic B-spline with evenly spaced knots at the distance c from its middle.
+CUBIC = "CASE WHEN c < 1 THEN (4 - 6 * c * c + 3 * c * c * c) / 6 WHEN c < 2 THEN (2 - c) * (2 - c) * (2 - c) / 6 ELSE 0D END"
 #: Weight of the identity in a penalty, by which a term that the data don't support shrinks to nothing.
 SHRINKAGE = 0.01
 
@@ -31,21 +35,15 @@ class Basis:
 
     def column(self) -> Column:
         """The ``size`` functions' values, which add up to 1. Values beyond the ends count as at the end; null and NaN give null."""
-        x = F.col(self.variable).cast("double")
-        width = (self.high - self.low) or 1.0
-        if self.cyclic:
-            u = (x - self.low) / width * self.size
-            places = [F.pmod(u - j + 4, F.lit(float(self.size))) for j in range(self.size)]
-        else:
-            u = F.least(F.greatest((x - self.low) / width, F.lit(0.0)), F.lit(1.0)) * (self.size - 3)
-            places = [u - j + 3 for j in range(self.size)]
-        return F.when(x.isNotNull() & ~F.isnan(x), F.array(*[_cubic(t) for t in places]))
+        x = f"CAST(`{self.variable.replace('`', '``')}` AS DOUBLE)"
+        share = f"({x} - {_number(self.low)}) / {_number((self.high - self.low) or 1.0)}"
+        place = f"pmod({share} * {self.size} - j + 4, {_number(self.size)})" if self.cyclic else f"(least(greatest({share}, 0D), 1D) * {self.size - 3} - j + 3)"
+        values = f"transform(transform(sequence(0, {self.size - 1}), j -> abs({place} - 2)), c -> {CUBIC})"
+        return F.expr(f"CASE WHEN {x} IS NOT NULL AND NOT isnan({x}) THEN {values} END")
 
 
-def _cubic(t: Column) -> Column:
-    """The cubic B-spline with knots 0, 1, 2, 3, 4."""
-    c = F.abs(t - 2)
-    return F.when(c < 1, (4 - 6 * c * c + 3 * c * c * c) / 6).when(c < 2, (2 - c) * (2 - c) * (2 - c) / 6).otherwise(0.0)
+def _number(v: float) -> str:
+    return f"({float(v)!r}D)"
 
 
 @dataclass(frozen=True)
@@ -129,7 +127,7 @@ def fit_additive(
 ) -> AdditiveFit | None:
     """response ~ smooths + products of their centred bases + cyclic terms, smoothing chosen by generalised cross-validation.
 
-    Three passes over the rows: ranges, the bases' means, and the sums of products of the design's columns.
+    The model's columns are written once and passed over three times: ranges, the bases' means, and the sums of products of the design's columns.
     The latter are all that a fit needs, for every smoothing parameter: the grid of PENALTIES is tried on them in the
     driver, for all terms together and then term by term, with matrices of as many rows as the model has coefficients
     (MOST_COEFFICIENTS at most), whatever the number of rows. Penalties are squared second differences with a share of
@@ -142,6 +140,7 @@ def fit_additive(
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in names])
     for c in names:
         rows = rows.filter(finite(c))
+    rows = written(rows, "model-rows")
     ends = rows.agg(F.count("*").alias("n"), F.avg(response).alias("y"), *[f(c).alias(f"{f.__name__}_{c}") for c in smooths for f in (F.min, F.max)]).first()
     if not ends["n"]:
         return None
