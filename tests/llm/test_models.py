@@ -185,6 +185,55 @@ def test_all_licenses_of_a_block():
     assert licenses_in("Released under the MIT License. " * 2) == ["MIT", "MIT"]
 
 
+BSD = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+
+
+def test_license_texts():
+    head = licenses.NOTICES["BSD-3-Clause"][0]
+    third = "3. " + licenses.NOTICES["BSD-3-Clause"][2]
+    assert licenses_in(f"Copyright (c) 2020, Some One\n\n{head}\n\n{BSD}\n\n{DISCLAIMER}") == ["BSD-2-Clause"]
+    assert set(licenses_in(f"Copyright (c) 2020, Some One\n\n{head}\n\n{BSD}\n\n{third}\n\n{DISCLAIMER}")) == {"BSD-3-Clause"}
+    lesser = licenses.NOTICES["LGPL-2.1"][2]
+    assert licenses_in(lesser) == ["LGPL-2.1"]
+    assert licenses_in(lesser.replace("This library", "This program").replace("; either", ", either")) == ["LGPL-2.1"]
+    assert licenses_in(lesser.replace("2.1", "3").replace("; either", ", either").replace("software;", "software:")) == ["LGPL-3.0"]
+    assert licenses_in(lesser.replace("2.1", "9")) == [] and licenses_in(lesser.replace("version 2.1", "version 2")) == []
+    assert licenses_in("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n") == ["GPL-3.0"]
+    assert licenses_in("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n") == ["GPL-2.0"]
+    assert licenses_in("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n") == ["LGPL-2.1"]
+    assert licenses_in("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n") == ["Apache-2.0"]
+
+
+def test_ranking_saves_alignments_and_changes_no_result():
+    """The ranking decides how much is aligned; in any order the same licenses are found."""
+    import random
+    import re
+
+    class Backwards(licenses.Templates):
+        def ranked(self, block):
+            return super().ranked(block)[::-1]
+
+    cue, ranked, backwards = re.compile(licenses.CUES, re.IGNORECASE), licenses.Templates(), Backwards()
+    every = [(n, t) for n, texts in licenses.NOTICES.items() for t in texts]
+    draw = random.Random(5)
+    for _ in range(150):
+        parts = []
+        for _, t in draw.sample(every, draw.randint(1, 3)):
+            words = t.split(" ")
+            for _ in range(draw.choice([0, 0, 1, 2, 3])):
+                words[draw.randrange(len(words))] = "other"
+            parts.append(" ".join(words))
+        text = "\n".join(parts)
+        assert licenses.scan_text(text, ranked, cue) == licenses.scan_text(text, backwards, cue), text
+    assert ranked.aligned < 0.95 * backwards.aligned
+    # One notice chained to the next: the places left out are aligned after all.
+    chained = licenses.NOTICES["CC0-1.0"][0].rstrip(".") + " is licensed under the GNU General Public License, version 3."
+    assert licenses.scan_text(chained, ranked, cue) == licenses.scan_text(chained, backwards, cue)
+    assert licenses._chained([(0, 5), (3, 8)]) and not licenses._chained([(0, 9), (2, 5), (3, 5), (5, 9), (9, 12), (9, 12)])
+
+
 def test_wrapped_licenses():
     import re
     import textwrap
