@@ -66,3 +66,16 @@ def months_of_events(months: DataFrame, events: DataFrame, entity: list[str], ti
     """Months inside events: an equi-join on the entity with the interval as its condition."""
     e = events.select(*entity, "event", "start", "finish")
     return months.join(e, entity).filter(F.col(time).between(F.col("start"), F.col("finish")))
+
+
+def primary_driver(months: DataFrame, events: DataFrame, entity: list[str], drivers: dict[str, str], time: str = "month") -> DataFrame:
+    """``entity, event, least_<driver>..., primary_driver``: the driver with the smallest value in each event's months.
+
+    ``drivers`` names the columns of standard scores and what each stands for. Of equal least values the first one named
+    counts; an event without any score is "Unknown".
+    """
+    inside = months_of_events(months, events, entity, time)
+    g = inside.groupBy(*entity, "event").agg(*[F.min(F.when(~F.isnan(c), F.col(c))).alias(f"least_{c}") for c in drivers])
+    lowest = F.least(*[F.col(f"least_{c}") for c in drivers], F.lit(None).cast("double"))
+    label = F.coalesce(*[F.when(F.col(f"least_{c}") == lowest, F.lit(v)) for c, v in drivers.items()], F.lit("Unknown"))
+    return g.withColumn("primary_driver", label)

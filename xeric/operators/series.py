@@ -119,3 +119,19 @@ def priority_dedup(df: DataFrame, key: list[str], rank: str, tie: list[str]) ->
     """One row per key: that of the best (lowest) source rank, then of the smallest tie columns."""
     w = Window.partitionBy(*key).orderBy(rank, *tie)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def detrend_pair(df: DataFrame, entity: list[str], value: str, capped: str, time: str = "month", least: int = 10) -> DataFrame:
+    """Adds ``<value>_detrended`` and ``<capped>_detrended``, the second not above the first (a dew point under its temperature).
+
+    Each has its own slope over the years of a calendar month; both come from one aggregate. Months with under ``least``
+    years of both values are left as they are, with nulls. A null value stays null and caps nothing.
+    """
+    y = F.year(time).cast("double")
+    both = F.col(value).isNotNull() & F.col(capped).isNotNull()
+    columns = [value, capped]
+    sums = [x for c in columns for x in (F.regr_slope(c, y).alias(f"_b_{c}"), F.avg(F.when(F.col(c).isNotNull(), y)).alias(f"_y_{c}"))]
+    fit = df.groupBy(*entity, F.month(time).alias("_cal")).agg(*sums, F.count(F.when(both, 1)).alias("_years"))
+    j = df.withColumn("_cal", F.month(time)).join(fit, [*entity, "_cal"])
+    free = [F.when(F.col("_years") >= least, F.col(c) - F.coalesce(f"_b_{c}", F.lit(0.0)) * (y - F.col(f"_y_{c}"))) for c in columns]
+    return j.withColumns({f"{value}_detrended": free[0], f"{capped}_detrended": F.when(free[1].isNotNull(), F.least(free[0], free[1]))}).drop("_cal", "_years", *[f"_{k}_{c}" for k in "by" for c in columns])

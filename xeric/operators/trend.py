@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from xeric.functions.special import solve
+
 
 def pair_slopes(df: DataFrame, entity: list[str], t: str = "t", v: str = "v") -> DataFrame:
     """(entity, slope, sign) of every pair of an entity's rows, from one sorted array per entity.
@@ -74,3 +76,29 @@ def chow(df: DataFrame, entity: list[str], x: str, y: str, split) -> DataFrame:
     one = df.groupBy(*entity).agg(rss.alias("one"))
     f = F.try_divide((F.col("one") - F.col("two")) / 2, F.col("two") / (F.col("n") - 4))
     return one.join(two, entity).filter("sides = 2").select(*entity, "n", f.alias("f"))
+
+
+def ols_cusum(df: DataFrame, entity: list[str], y: str, predictors: list[str], time: str = "month", least: int = 10) -> DataFrame:
+    """``entity, n, statistic, p, change_at``: whether a regression's coefficients stay the same, by its summed residuals.
+
+    The statistic is the largest absolute running sum of the residuals over sigma sqrt(n), sigma with n - k - 1 degrees of
+    freedom for k predictors; p is that of a Brownian bridge. ``change_at`` is the earliest time of the largest sum. Rows with
+    a null in any column are left out. Entities of under ``least`` rows, or fewer than k + 2, give no row, and those with
+    predictors that depend on each other or without residuals nulls. Sums, residuals and running sums share one shuffle on the entity.
+    """
+    w = Window.partitionBy(*entity)
+    k = len(predictors)
+    d = df.dropna(subset=[*entity, y, *predictors]).select(*entity, time, *[F.col(c).cast("double").alias(c) for c in (y, *predictors)])
+    rows = [F.array(*[F.covar_pop(a, b).over(w) for b in (*predictors, y)]) for a in predictors]
+    d = d.withColumns({"_system": F.array(*rows), "_n": F.count("*").over(w), **{f"_m_{c}": F.avg(c).over(w) for c in (y, *predictors)}})
+    d = d.withColumn("_b", solve(F.col("_system"), k))
+    e = F.col(y) - F.col(f"_m_{y}")
+    for i, c in enumerate(predictors):
+        e = e - F.col("_b")[i] * (F.col(c) - F.col(f"_m_{c}"))
+    d = d.withColumn("_e", e).withColumn("_run", F.abs(F.sum("_e").over(w.orderBy(time).rowsBetween(Window.unboundedPreceding, 0))))
+    largest = F.max_by(F.struct(F.col("_run").alias("run"), F.col(time).alias("at")), F.struct("_run", -F.unix_date(F.col(time).cast("date"))))
+    g = d.groupBy(*entity).agg(F.count("*").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("rss"), largest.alias("l"), F.sum(F.col(y) * F.col(y)).alias("size")).filter((F.col("n") >= least) & (F.col("n") >= k + 2))
+    x = F.when(F.col("rss") > 1e-20 * F.col("size"), F.col("l.run") / F.sqrt(F.col("rss") / (F.col("n") - k - 1) * F.col("n")))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.when(i % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * i * i * x * x))
+    p = F.when(x < 0.2, 1.0).when(x >= 0.2, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, t: s + t))))
+    return g.select(*entity, "n", x.alias("statistic"), p.alias("p"), F.when(x.isNotNull(), F.col("l.at")).alias("change_at"))
