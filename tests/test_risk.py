@@ -139,6 +139,8 @@ def test_polynomials_left_out_as_if_fitted_anew():
     assert error == pytest.approx(np.sqrt(np.mean(np.square(left))), rel=1e-6)
     falling = bias.monotone_polynomial(x, y[::-1].copy())
     assert falling is None and bias.monotone_polynomial(np.ones(5), y[:5]) is None
+    # The last point alone fixes the line at its place.
+    assert bias.monotone_polynomial(np.array([1.0] * 6 + [100.0]), np.arange(7.0)) is None
 
 
 def test_bias_tier_of_few_pairs_leans_on_all_months(spark):

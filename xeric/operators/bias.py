@@ -55,24 +55,27 @@ def bias_tier(pairs: DataFrame, entity: list[str], model: str = "x", station: st
 def monotone_polynomial(x: np.ndarray, y: np.ndarray, points: int = 50) -> tuple[np.ndarray, float] | None:
     """Coefficients (highest power first) and leave-one-out error of the best polynomial that neither falls nor is negative.
 
-    Degrees up to min(3, max(1, (n - 1) // 3)) are tried; residuals left out come from the hat matrix, without refitting.
+    Degrees up to min(3, max(1, (n - 1) // 3)), n - 2 at most, are tried; residuals left out come from the hat matrix,
+    without refitting. A degree is passed over where one point all but fixes the curve at its own place.
     """
     n = len(x)
     if n < 3 or np.ptp(x) <= 0:
         return None
     best = None
     grid = np.linspace(x.min(), x.max(), points)
-    for degree in range(min(3, max(1, (n - 1) // 3)), 0, -1):
+    for degree in range(min(3, n - 2, max(1, (n - 1) // 3)), 0, -1):
         basis = np.vander((x - x.mean()) / x.std(), degree + 1)
         q, r = np.linalg.qr(basis)
         if np.abs(np.diag(r)).min() < 1e-10:
             continue
         c = np.linalg.solve(r, q.T @ y)
         shape = np.vander((grid - x.mean()) / x.std(), degree + 1) @ c
-        if (np.diff(shape) < -1e-9).any() or (shape < 0).any():
+        if (np.diff(shape) < -1e-6).any() or (shape < -1e-6).any():
             continue
-        left_out = (y - basis @ c) / np.maximum(1 - (q * q).sum(1), 1e-9)
-        error = float(np.sqrt((left_out**2).mean()))
+        free = 1 - (q * q).sum(1)
+        if (free < 1e-6).any():
+            continue
+        error = float(np.sqrt((((y - basis @ c) / free) ** 2).mean()))
         if best is None or error < best[1] - 1e-12:
             best = (c, error)
     return best
@@ -81,14 +84,14 @@ def monotone_polynomial(x: np.ndarray, y: np.ndarray, points: int = 50) -> tuple
 def quantile_mapping(pairs: DataFrame, entity: list[str], model: str = "x", station: str = "y", time: str = "month") -> DataFrame:
     """Monotone polynomial from sorted model to sorted station values by entity and calendar month, applied to each row.
 
-    Returns ``entity, time, mapped, degree, loo_rmse``; where no polynomial is fit the value stays and degree is 0. A
-    group is one calendar month's record, whose size doesn't grow with the number of entities.
+    Returns ``entity, time, mapped, degree, loo_rmse``; where no polynomial is fit the value stays and degree is 0.
+    Pairs with a null, a non-finite value or a negative model value fit nothing. A group is one calendar month's record, whose size doesn't grow with the number of entities.
     """
     d = pairs.select(*entity, F.col(time).alias("month"), F.month(time).alias("_m"), F.col(model).cast("double").alias("x"), F.col(station).cast("double").alias("y"))
     kinds = dict(d.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf["x"].notna() & pdf["y"].notna()
+        ok = np.isfinite(pdf["x"]) & np.isfinite(pdf["y"]) & (pdf["x"] >= 0)
         x, y = np.sort(pdf.loc[ok, "x"].to_numpy()), np.sort(pdf.loc[ok, "y"].to_numpy())
         fit = monotone_polynomial(x, y)
         out = pdf[[*entity, "month"]].copy()
