@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -106,3 +107,39 @@ def test_codec_without_and_with_lexicon(tmp_path):
         flat, counts = codec.encode(texts)
         ends = np.cumsum(counts)
         assert [flat[e - k : e].tolist() for k, e in zip(counts, ends, strict=True)] == want
+
+
+def test_lexicon_holds_the_most_frequent_words_of_all_rows(spark, tmp_path):
+    from collections import Counter
+
+    # Each word is frequent in one row of 3000 alone, so a part of the rows can't tell.
+    names = ["".join("bcdfghjklm"[int(c)] for c in f"{i:04d}") for i in range(3000)]
+    rows = [(i, f"it's {w} {w}, {w}\n{w}" if i % 300 == 0 else f"it's {w}") for i, w in enumerate(names)] + [(3000, None)]
+    cut = bpe.word_pattern().findall
+    count = Counter(w for _, t in rows for w in cut(t or ""))
+    want = {w for w, n in count.items() if n > 1}
+    assert len(want) == 14  # it, 's, comma, new line and a word with its space of each of ten rows
+    path = tmp_path / "lexicon"
+    path.write_bytes(bpe.frequent_words_file(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bpe.model_path(), n_words=len(want)))
+    lexicon = Lexicon(str(path))
+    asked = [w.encode() for w in count]
+    n = np.array([len(w) for w in asked])
+    found = lexicon.find(np.frombuffer(b"".join(asked), np.uint8), np.cumsum(n) - n, n)
+    assert {w for w, k in zip(count, found, strict=True) if k >= 0} == want
+
+
+def test_words_are_counted_as_the_pattern_cuts_them(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = odd_texts(7)
+    white = re.compile(f"[{bpe.WHITE}]+").fullmatch
+    cut = bpe.word_pattern().findall
+    want = Counter(w for t in texts for w in cut(t) if len(w) <= bpe.LEXICON_CHARS and not white(w))
+    for held in (1, 500, 10**9):
+        monkeypatch.setattr(bpe, "COUNTED_CHARS", held)
+        got = Counter()
+        for b in bpe._word_counts([pa.RecordBatch.from_arrays([pa.array(texts[k::3])], names=["body"]) for k in range(3)]):
+            got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        assert {w: n for w, n in got.items() if not white(w)} == want

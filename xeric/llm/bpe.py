@@ -8,6 +8,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,12 @@ from .merging import MergeTable, _gather, merge_all
 from .token_counts import slices
 
 MODEL = "byte_bpe_50k.json"
-#: The lexicon holds the most frequent words of a sample of so many documents at most: it alters speed, not results.
-SAMPLE_DOCS = 1500
+#: The lexicon holds so many of the most frequent words of all texts: it alters speed, not results.
 LEXICON_WORDS = 40_000
 #: Longer words, in characters, are left to the merges.
 LEXICON_CHARS = 32
+#: A task counts the words of about so many characters before it gives their counts out.
+COUNTED_CHARS = 10_000_000
 SLICE_CHARS = 3_000_000
 WHITE = "\t\n\x0b\f\r \x85\xa0  -     　"
 
@@ -47,6 +49,7 @@ def _ranges(kind: str) -> str:
     return "".join(out)
 
 
+@cache
 def word_pattern() -> re.Pattern:
     """The byte-level pre-tokenizer's pattern, its property classes written out."""
     letters, numbers = _ranges("L"), _ranges("N")
@@ -165,14 +168,36 @@ class Codec:
 
 
 def _word_counts(batches):
-    """Batches of whole texts -> how often each word of up to LEXICON_CHARS characters is in them."""
+    """Batches of whole texts -> how often each word of up to LEXICON_CHARS characters is in them, in parts that add up.
+
+    A space begins a word unless it is in a run of white space. So texts are cut at spaces, and only distinct pieces are
+    cut into words. The counts are exact but for runs of white space, which are parted at their spaces.
+    """
     import pyarrow as pa
 
-    found, cut = Counter(), word_pattern().findall
+    cut = word_pattern().findall
+    first, later, read = Counter(), Counter(), 0
+
+    def counted():
+        found = Counter()
+        for space, pieces in (("", first), (" ", later)):
+            for piece, n in pieces.items():
+                for w in cut(space + piece):
+                    if len(w) <= LEXICON_CHARS:
+                        found[w] += n
+            pieces.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
     for batch in batches:
         for t in batch.column(0).to_pylist():
-            found.update(w for w in cut(t) if len(w) <= LEXICON_CHARS)
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            pieces = t.split(" ")
+            first[pieces[0]] += 1
+            later.update(pieces[1:])
+            read += len(t)
+            if read >= COUNTED_CHARS:
+                yield counted()
+                read = 0
+    yield counted()
 
 
 def _compiled(path: str):
@@ -190,14 +215,12 @@ def _compiled(path: str):
     return run
 
 
-def frequent_words_file(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, n_words: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """Compile a lexicon of the most frequent words in a bounded sample of whole texts, chosen by a hash of the id.
+def frequent_words_file(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS, text_col: str = "text") -> bytes:
+    """Compile a lexicon of the ``n_words`` most frequent words of all rows' whole texts.
 
     The texts are counted where they lie; one task compiles the words, whose number and length are bounded.
     """
-    n = max(1, docs.count())
-    part = docs.filter(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(n)) < sample_docs).select(text_of(text_col).alias("body"))
-    counts = part.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_of(text_col).alias("body")).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialise(counts.orderBy(F.desc("n"), "word").limit(n_words).select("word"), "lexicon-words")
     made = words.repartition(1).mapInArrow(_compiled(path), "data binary").first()
     return bytes(made[0]) if made else compile_lexicon({})
@@ -244,7 +267,7 @@ def _encoded(path: str, lexicon: str, with_ids: bool, digests: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = True, digests: bool = False, sample_docs: int = SAMPLE_DOCS, n_words: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, with_ids: bool = True, digests: bool = False, n_words: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, ids`` of each row's whole text under the model file at ``path``.
 
     With ``digests`` also the SHA-256 of the decimal ids joined by commas and of the text decoded from the ids, as
@@ -254,7 +277,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True, digests: bool = Fa
     columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    name = share_file(spark, frequent_words_file(docs, path, sample_docs, n_words, id_col, text_col), "lexicon")
+    name = share_file(spark, frequent_words_file(docs, path, n_words, text_col), "lexicon")
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, n_tokens long" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string" * digests
