@@ -56,3 +56,19 @@ def test_near_copies_from_80_percent_go(spark):
     assert [c for _, c in comps.values()] == [1, 1, 3]
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert {r["doc_id"] for r in out.collect()} == {1, 3}
+
+
+def test_lexicon_of_the_last_stage_is_counted_over_all_rows(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    from xeric.llm.lexicon import Lexicon
+
+    sent, share = [], bpe.share_file
+    monkeypatch.setattr(bpe, "share_file", lambda spark, data, stem: sent.append(data) or share(spark, data, stem))
+    words = ["".join("bcdfghjklm"[int(c)] for c in f"{i:04d}") for i in range(3000)]
+    docs = spark.createDataFrame([(i, w, "en", "s", 0, "", "", 0) for i, w in enumerate(words)], SCHEMA).repartition(3)
+    corpus_pipeline.encode(spark, docs, "")
+    (tmp_path / "lexicon").write_bytes(sent[0])
+    n = np.array([len(w) for w in words])
+    found = Lexicon(str(tmp_path / "lexicon")).find(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum(n) - n, n)
+    assert (found >= 0).all()
