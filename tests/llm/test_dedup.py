@@ -186,3 +186,36 @@ def test_prefixes_of_similar_sets_meet():
             a, b = set(sets[i].tolist()), set(sets[j].tolist())
             if 5 * len(a & b) >= 4 * len(a | b):
                 assert keys[i] & keys[j]
+
+
+def rows_made_by_joins(spark, key, run):
+    """The result of ``run``, and the rows that each kind of join on ``key`` made meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    ids = lambda: [x.executionId() for x in map(store.executionsList().apply, range(store.executionsList().size()))]
+    bus.waitUntilEmpty(30_000)
+    before, made = set(ids()), {}
+    out = run()
+    bus.waitUntilEmpty(30_000)
+    for i in set(ids()) - before:
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and f"[{key}#" in node.desc():
+                kind = node.desc().split("]")[-1].split(",")[1].strip()
+                for m in map(node.metrics().apply, range(node.metrics().size())):
+                    if m.name() == "number of output rows" and (n := values.get(m.accumulatorId())).isDefined():
+                        made[kind] = made.get(kind, 0) + int(n.get().replace(",", ""))
+    return out, made
+
+
+def test_minhash_joins_make_no_row_for_a_lone_band(spark):
+    """One large group of near copies doesn't send the bands of all other documents through a join that keeps them."""
+    base, lone = [f"w{i}" for i in range(150)], 400
+    rows = [(i, " ".join([*base[: 3 * i + 5], f"n{i}", *base[3 * i + 6 :]])) for i in range(40)]
+    rows += [(100 + i, " ".join(f"u{i}_{k}" for k in range(8))) for i in range(lone)]
+    want = near_components(rows)
+    assert len({c for _, c in want.values()}) == lone + 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, made = rows_made_by_joins(spark, "key", lambda: minhash.near_duplicates(docs, 0.85).collect())
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+    assert 0 < sum(made.values()) < minhash.BANDS * lone / 2, made

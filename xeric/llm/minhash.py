@@ -375,7 +375,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, base: DataFrame, words: int, th
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows (key, id, component) of keys that hold several components, with each key's rows as ``m``."""
     keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-    return join_skewed(rows, materialise(keys.filter("lo <> hi").select("key", "m"), "minhash-mixed"), ["key"], count="m").select("key", "id", "component", "m")
+    return rows.join(materialise(keys.filter("lo <> hi").select("key", "m"), "minhash-mixed"), "key").select("key", "id", "component", "m")
 
 
 def _hashes(batches):
@@ -466,7 +466,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     heads = materialise(nodes.join(member.filter("id = head").select("id"), "id").select("id", "n", "p1", "sig", "bands"), "minhash-heads")
     bands = heads.select("id", F.explode("bands").alias("key"))
     buckets = materialise(bands.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("m")).filter("m > 1"), "minhash-keys")
-    held = materialise(join_skewed(bands, buckets, ["key"], count="m").select("key", "id", "low", "m"), "minhash-buckets")
+    # Both sides are plain shuffles, whose large buckets Spark splits; salts would need a join that gives a row for each band.
+    held = materialise(bands.join(buckets, "key").select("key", "id", "low", "m"), "minhash-buckets")
 
     sizes = heads.select("id", "n", "sig")
     stars = materialise(held.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "minhash-stars")
