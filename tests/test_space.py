@@ -121,3 +121,27 @@ def test_nearest_of_none(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0)], "a int, x double, y double")
     got = grids.nearest_feature(points, spark.createDataFrame([], "k long, fx double, fy double"), "a", "k").collect()
     assert [tuple(r) for r in got] == [(1, None, None)]
+
+
+def tables(monkeypatch, module):
+    """The tables that a module writes from now on: (name, rows, plan)."""
+    out, write = [], module.written
+
+    def kept(df, name):
+        d = write(df, name)
+        out.append((name, d.count(), df._jdf.queryExecution().executedPlan().toString()))
+        return d
+
+    monkeypatch.setattr(module, "written", kept)
+    return out
+
+
+def test_nearest_looks_a_place_up_once(spark, monkeypatch):
+    """Many points at few places: no table but that of the points has a row for each, and no level sorts its rows."""
+    made = tables(monkeypatch, grids)
+    points = spark.range(4000).select("id", (grids.F.col("id") % 7 * 1.5).alias("x"), (grids.F.col("id") % 5 * 2.5).alias("y"))
+    features = spark.range(900).select(grids.F.col("id").alias("k"), (grids.F.col("id") % 30 * 0.7).alias("fx"), (grids.F.col("id") / 30).alias("fy"))
+    got = grids.nearest_feature(points, features, "id", "k")
+    assert got.count() == 4000 and got.select("k").distinct().count() <= 35
+    assert all(n <= 900 for name, n, _ in made if name != "points")
+    assert not any("Window" in plan for _, _, plan in made)
