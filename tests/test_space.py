@@ -145,3 +145,18 @@ def test_nearest_looks_a_place_up_once(spark, monkeypatch):
     assert got.count() == 4000 and got.select("k").distinct().count() <= 35
     assert all(n <= 900 for name, n, _ in made if name != "points")
     assert not any("Window" in plan for _, _, plan in made)
+
+
+def test_nearest_keeps_few_nodes_a_place(spark, monkeypatch):
+    """Points at 3000 places among 20,000 features: some nodes for each place and level, not all children of a node."""
+    made = tables(monkeypatch, grids)
+    at = lambda c, n: grids.F.pmod(grids.F.xxhash64(c, grids.F.lit(n)), grids.F.lit(100_003)) / 1000.0
+    points = spark.range(3000).select("id", at("id", 1).alias("x"), at("id", 2).alias("y"))
+    features = spark.range(20_000).select(grids.F.col("id").alias("k"), at("id", 3).alias("fx"), at("id", 4).alias("fy"))
+    got = {r["id"]: (r["k"], r["distance"]) for r in grids.nearest_feature(points, features, "id", "k").collect()}
+    near = [n for name, n, _ in made if name.startswith("near")]
+    assert near and max(near) <= 4 * 3000 and not any("Window" in plan for _, _, plan in made)
+    f = features.toPandas()
+    for r in points.limit(300).collect():
+        d = np.sqrt((f["fx"] - r["x"]) * (f["fx"] - r["x"]) + (f["fy"] - r["y"]) * (f["fy"] - r["y"]))
+        assert got[r["id"]] == (f["k"][d == d.min()].min(), d.min())
