@@ -160,3 +160,14 @@ def test_nearest_keeps_few_nodes_a_place(spark, monkeypatch):
     for r in points.limit(300).collect():
         d = np.sqrt((f["fx"] - r["x"]) * (f["fx"] - r["x"]) + (f["fy"] - r["y"]) * (f["fy"] - r["y"]))
         assert got[r["id"]] == (f["k"][d == d.min()].min(), d.min())
+
+
+def test_pairs_of_points_and_polygons_are_not_written(spark, monkeypatch):
+    """Points in many polygons: no table has a row for each pair; long lists of a cell are cut into rows."""
+    made = tables(monkeypatch, polygons)
+    monkeypatch.setattr(polygons, "LISTED", 8)
+    shapes = [(k, [(0, 0), (40 + k / 1000, 0), (40, 40), (0, 40)], False) for k in range(60)]
+    points = spark.range(2000).select("id", (grids.F.col("id") % 37 + 1.5).alias("x"), (grids.F.col("id") % 31 + 2.5).alias("y"))
+    got = polygons.points_in_polygons(points, frame(spark, shapes), "id", "basin")
+    assert got.count() == got.distinct().count() == 60 * 2000
+    assert max(n for _, n, _ in made) < 60 * 2000
